@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Application id -> folder, for sessions that name none.
 _OWN: dict[str, str] = {}
@@ -47,6 +48,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, fields: str) -> StructType:
+    """A copy of ``schema`` with the fields of a DDL string added."""
+    return StructType([*schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
     """True if ``df`` (which should be materialized) may be broadcast."""
     limit = min(BROADCAST_ROWS, BROADCAST_BYTES // max(1, row_bytes))
