@@ -31,7 +31,7 @@ CYCLE = (5, 2, 1)
 #: A source is repeated at most so many times.
 MAX_EPOCHS = 3
 #: Rows that a key range should hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def n_words(text: Column) -> Column:
