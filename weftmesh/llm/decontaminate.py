@@ -118,9 +118,9 @@ class Index:
         doc_of = np.repeat(np.arange(piece.n_docs), n_words)
         hits = np.flatnonzero(self.filter[(every >> U(64 - FILTER_BITS)).astype(np.int64)])
         hits = hits[doc_of[hits] == doc_of[hits + SHINGLE - 1]] if len(hits) else hits
-        if len(hits):
-            lo, hi = np.searchsorted(self.flat, every[hits], "left"), np.searchsorted(self.flat, every[hits], "right")
-            n = hi - lo
+        lo, hi = np.searchsorted(self.flat, every[hits], "left"), np.searchsorted(self.flat, every[hits], "right")
+        n = hi - lo
+        if n.any():  # the filter also lets some other shingles through
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             place, length = np.repeat(hits, n), self.lengths[self.owner[at]]
             asked = np.unique(np.stack([doc_of[place], length, place]), axis=1)
@@ -169,16 +169,14 @@ class Index:
                         best[key] = found
 
 
-#: Indexes that this worker has built, by broadcast id.
-_BUILT: dict[int, Index] = {}
+#: The last block that this worker has indexed, and its index.
+_BUILT: list = []
 
 
 def _index(shared) -> Index:
-    key = id(shared.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Index(*shared.value)
-    return _BUILT[key]
+    if not _BUILT or _BUILT[0] is not shared.value:
+        _BUILT[:] = [shared.value, Index(*shared.value)]
+    return _BUILT[1]
 
 
 def blocks(items: DataFrame) -> Iterator[tuple[list, list]]:

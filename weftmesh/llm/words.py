@@ -15,7 +15,10 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; a longer document is a piece of its own.
-PIECE = 2 << 20
+PIECE = (1 << 20) - 1024
+
+# Arrow's own pools keep what they free; workers share an executor's memory with others.
+pa.set_memory_pool(pa.system_memory_pool())
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
