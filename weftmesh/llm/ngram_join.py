@@ -8,19 +8,20 @@ near copies never have to be listed as pairs.
 2. Similar classes are partitioned into groups: classes that share a pair of
    minimum hashes are compared with the least class of that key, and verified
    links are closed to groups.
-3. The token-group matrix has a row for each token and group: the union of the
-   members' prefix tokens.  Under one order of all tokens, a set of n tokens
-   that links to another shares one of its first ``n - ceil(0.8 n) + 1`` tokens
-   with that set's first tokens, so only these tokens are stored.
-4. A class queries the groups other than its own: the number of its prefix
-   tokens in the group's union bounds the overlap with any member.  Groups
-   whose bound can't reach the threshold stay closed.
-5. Qualifying groups are opened: query and member pairs of fitting sizes are
-   verified on whole sets.  The result is exact for any grouping and any order.
-
-Tokens that are common in a bounded sample of documents come last in the order,
-so common passages are seldom among prefix tokens.  This moves work, not
-results: the order is the same for all documents.
+3. The token-group matrix has a row for each token and group that holds it: the
+   union of the members' tokens.  Tokens of one group only leave it at once:
+   they can't be shared with another group.  A first matrix has the tokens below
+   a fixed share RANGE of the hash space; a class that already there has more
+   tokens of its own group than it may miss can't link to any other group.  The
+   second matrix has all tokens of the classes that are left.
+4. The overlap of a class with another group's union is bounded: a class's
+   tokens are ordered by the number of groups that hold them (tokens of one
+   group first), and tokens before the first one that the union holds are
+   outside of it.  For sizes a and b, a linking pair shares ``(4a + 4b) / 9``
+   tokens, so the class may miss ``a - ceil((4a + 4b) / 9)``, and likewise the
+   member.  Groups whose bound can't reach the threshold stay closed.
+5. Qualifying groups are opened: class and member pairs of fitting sizes are
+   verified on whole sets.  The result is exact for any grouping.
 
 Edge cases: a text without words has an empty set and stays alone; with fewer
 than five words the whole sequence is one shingle; repeated rows, also of one
@@ -42,34 +43,24 @@ from ..plans.components import connected_components
 from ..plans.storage import materialize, sized_join
 from .words import U, mix, pieces, shingle_sets
 
-#: Documents whose tokens are counted to find common ones, and the bounds of what is kept of them.
-SAMPLE_DOCS, SAMPLE_MIN, SAMPLE_TOKENS = 20_000, 3, 500_000
+#: Share of the hash space whose tokens the first matrix has.
+RANGE = 0.3
 #: Pairs of minimum hashes by which similar documents are grouped.
 GROUP_KEYS = 3
 #: Elements of a token's pairings held at once.
-EXPAND = 2_000_000
+EXPAND = 250_000
 
-_TOKEN_BITS = U((1 << 56) - 1)
+_LIMIT = int(RANGE * (1 << 63))
 _SEEDS = mix(np.arange(77, 77 + 2 * GROUP_KEYS, dtype=U)) | U(1)
 
 
-def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
-
-
-def _tokens(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """Shingle hashes as int64 in the order of all tokens: by level of commonness, then by hash."""
-    tokens = shingles & _TOKEN_BITS
-    if common is not None and len(common[0]) and len(tokens):
-        known, level = common
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        tokens = tokens | np.where(known[at] == tokens, level[at], U(0))
-    return np.unique(tokens).view(np.int64)
+def _tokens(shingles: np.ndarray) -> np.ndarray:
+    """Shingle hashes as ascending int64 of 63 bits."""
+    return np.unique(shingles >> U(1)).view(np.int64)
 
 
 def _keys(tokens: np.ndarray) -> np.ndarray:
-    raw = tokens.view(U) & _TOKEN_BITS
-    least = [int((mix(raw * s)).min()) for s in _SEEDS]
+    least = [int((mix(tokens.view(U) * s)).min()) for s in _SEEDS]
     return np.array([mix(np.array([least[2 * k] ^ (least[2 * k + 1] >> 1) ^ k], U))[0] for k in range(GROUP_KEYS)], U).view(np.int64)
 
 
@@ -78,126 +69,135 @@ def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return int(x.sum(dtype=U).view(np.int64)), int(mix(x + U(1)).sum(dtype=U).view(np.int64))
 
 
-def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch.column("text"), True):
-            tokens = [_tokens(s, None) for s in shingle_sets(piece)]
-            values, counts = np.unique(np.concatenate(tokens), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["token", "n"])
-
-
-def common_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens held by at least SAMPLE_MIN of a sample of SAMPLE_DOCS documents, with their level bits."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
-    counted = sample.mapInArrow(_sample_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.where(f"n >= {SAMPLE_MIN}").orderBy(F.desc("n"), "token").limit(SAMPLE_TOKENS).toArrow()
-    tokens, n = rows.column("token").to_numpy().astype(np.int64), rows.column("n").to_numpy()
-    order = np.argsort(tokens)
-    level = np.floor(np.log2(np.maximum(n, 2))).astype(U) << U(56)
-    return tokens[order].view(U), level[order]
-
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else [], pa.int64()))
 
-def _sketches(common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for piece in pieces(batch.column("text"), True):
-                cols: list[list] = [[], [], [], [], [], [], []]
-                for shingles in shingle_sets(piece):
-                    tokens = _tokens(shingles, common.value)
-                    n = len(tokens)
-                    if not n:
-                        row = (0, 0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    else:
-                        prefix = tokens[: prefix_length(n)]
-                        row = (n, *_set_hash(tokens), int(prefix[-1]), int((prefix > int(_TOKEN_BITS)).sum()), prefix, _keys(tokens))
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                flat = [pa.array(c, pa.int64()) for c in cols[:5]]
-                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), pa.array(np.concatenate(c), pa.int64())) for c in cols[5:]]
-                yield pa.RecordBatch.from_arrays([ids.slice(piece.first, piece.n_docs), *flat, *lists], ["doc_id", "n", "h1", "h2", "last", "n_common", "prefix", "keys"])
 
-    return run
+_NONE = np.zeros(0, np.int64)
 
 
-def _pairings(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, group) of each token held by both, once a token: queries with fitting sizes and other groups."""
-    order = np.lexsort((rows["group"], rows["token"]))
-    token, group, node, n = (rows[k][order] for k in ("token", "group", "node", "n"))
-    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    first, length = edges[:-1], np.diff(edges)
-    mixed = group[first] != group[first + length - 1]
-    first, length = first[mixed], length[mixed]
-    k = 0
-    while k < len(first):
-        total = np.cumsum(length[k : k + 100_000].astype(np.int64) ** 2)
-        to = k + max(1, int(np.searchsorted(total, EXPAND, "right")))
-        if to == k + 1 and length[k] ** 2 > EXPAND:
-            step = max(1, EXPAND // int(length[k]))
-            blocks = [(np.arange(first[k] + s, min(first[k] + s + step, first[k] + length[k])), first[k], length[k]) for s in range(0, int(length[k]), step)]
-            for left, a, m in blocks:
-                i, j = np.repeat(left, m), np.tile(np.arange(a, a + m), len(left))
-                yield from _fitting(i, j, token, group, node, n)
-        else:
-            f, m = first[k:to], length[k:to]
-            each = np.repeat(m, m)
-            i = np.repeat(np.concatenate([np.arange(a, a + b) for a, b in zip(f, m, strict=True)]), each)
-            base = np.repeat(np.repeat(f, m), each)
-            j = base + (np.arange(len(i)) - np.repeat(np.concatenate([[0], np.cumsum(each)[:-1]]), each))
-            yield from _fitting(i, j, token, group, node, n)
-        k = to
-
-
-def _fitting(i, j, token, group, node, n):
-    fit = (group[i] != group[j]) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
-    i, j = i[fit], j[fit]
-    if not len(i):
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for piece in pieces(batch.column("text"), True):
+            n, low, h1, h2, keys = [], [], [], [], []
+            for shingles in shingle_sets(piece):
+                tokens = _tokens(shingles)
+                a, b = _set_hash(tokens) if len(tokens) else (0, 0)
+                n.append(len(tokens))
+                low.append(int(np.searchsorted(tokens, _LIMIT)))
+                h1.append(a)
+                h2.append(b)
+                keys.append(_keys(tokens) if len(tokens) else _NONE)
+            columns = [ids.slice(piece.first, piece.n_docs), *[pa.array(c, pa.int64()) for c in (n, low, h1, h2)], _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "low", "h1", "h2", "keys"])
+
+
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows (token, group, node) of a partition's tokens -> those of tokens of several groups, with their number."""
+    batches = list(batches)
+    if not batches:
         return
-    order = np.lexsort((group[j], i))  # each i is one row: one token and one query
-    i, g = i[order], group[j][order]
-    once = np.concatenate([[True], (i[1:] != i[:-1]) | (g[1:] != g[:-1])])
-    yield node[i[once]], g[once]
-
-
-def _matrix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition's tokens -> (query, group, how many of these tokens they share)."""
+    table = pa.Table.from_batches(batches)
+    token, group, node = (table.column(k).to_numpy() for k in ("token", "group", "node"))
+    order = np.lexsort((group, token))
+    token, group, node = token[order], group[order], node[order]
+    new_token = np.concatenate([[True], token[1:] != token[:-1]])
+    new_group = new_token | np.concatenate([[True], group[1:] != group[:-1]])
+    first = np.flatnonzero(new_token)
+    groups = np.add.reduceat(new_group.astype(np.int64), first)
+    each = np.repeat(groups, np.diff(np.concatenate([first, [len(token)]])))
+    keep = each > 1
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(token[keep]), pa.array(each[keep])], ["node", "token", "groups"])
+
+
+def _fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """Sizes fit, and each side's tokens before the shared one are no more than it may miss."""
+    share = (4 * (n + m) + 8) // 9
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (at <= n - share) & (bt <= m - share)
+
+
+def _pairings(token, group, size, node, n, at) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(class, group) pairs whose bound holds at some token; of two groups the smaller one's classes ask."""
+    order = np.lexsort((at, n, group, token))
+    token, group, size, node, n, at = (x[order] for x in (token, group, size, node, n, at))
+    new_token = np.concatenate([[True], token[1:] != token[:-1]])
+    new_entry = new_token | np.concatenate([[True], (group[1:] != group[:-1]) | (n[1:] != n[:-1])])
+    # A group's entry of one size stands for its members: the one with the least place.
+    entry = np.flatnonzero(new_entry)
+    first = np.flatnonzero(new_token)
+    rows = np.diff(np.concatenate([first, [len(token)]]))
+    entry_first = np.searchsorted(entry, first)
+    entries = np.diff(np.concatenate([entry_first, [len(entry)]]))
+    mixed = group[first] != group[first + rows - 1]
+    first, rows, entry_first, entries = first[mixed], rows[mixed], entry_first[mixed], entries[mixed]
+    # A token's rows are cut so that rows times entries stay within bounds.
+    work: list[tuple[np.ndarray, ...]] = []
+    big = rows * entries > EXPAND
+    for k in np.flatnonzero(big):
+        step = max(1, EXPAND // int(entries[k]))
+        for s in range(0, int(rows[k]), step):
+            work.append((np.array([first[k] + s]), np.array([min(step, rows[k] - s)]), entry_first[[k]], entries[[k]]))
+    small = np.flatnonzero(~big)
+    total = np.cumsum(rows[small] * entries[small])
+    cut = 0
+    while cut < len(small):
+        base = total[cut - 1] if cut else 0
+        to = max(cut + 1, int(np.searchsorted(total, base + EXPAND, "right")))
+        part = small[cut:to]
+        work.append((first[part], rows[part], entry_first[part], entries[part]))
+        cut = to
+    for f, r, ef, e in work:
+        i = np.repeat(f, r) + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)
+        width, begin = np.repeat(e, r), np.repeat(ef, r)
+        ii = np.repeat(i, width)
+        jj = entry[np.repeat(begin, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+        asks = (size[ii] < size[jj]) | ((size[ii] == size[jj]) & (group[ii] < group[jj]))
+        good = (group[ii] != group[jj]) & asks & _fits(n[ii], at[ii], n[jj], at[jj])
+        if good.any():
+            yield node[ii[good]], group[jj[good]]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = list(batches)
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    rows = {k: table.column(k).to_numpy() for k in ("token", "group", "node", "n")}
-    for q, g in _pairings(rows):
-        pairs, counts = _count_pairs(q, g)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(counts, pa.int64())], ["query", "group", "shared"])
+    for q, g in _pairings(*[table.column(k).to_numpy() for k in ("token", "group", "size", "node", "n", "at")]):
+        order = np.lexsort((g, q))
+        q, g = q[order], g[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (g[1:] != g[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(q[once], pa.int64()), pa.array(g[once], pa.int64())], ["node", "group"])
 
 
-def _count_pairs(q: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs, shape (2, n), and how often each occurs."""
-    order = np.lexsort((g, q))
-    q, g = q[order], g[order]
-    at = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (g[1:] != g[:-1])]))
-    return np.stack([q[at], g[at]]), np.diff(np.concatenate([at, [len(q)]]))
+def _sets(below: int | None):
+    """(node, h1, text) -> (node, tokens): a class's tokens, or those below a limit; rows of other sets go."""
 
-
-def _whole_sets(common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, wanted = batch.column("node"), batch.column("h1").to_numpy()
             for piece in pieces(batch.column("text"), True):
                 keep, sets = [], []
                 for k, shingles in enumerate(shingle_sets(piece)):
-                    tokens = _tokens(shingles, common.value)
+                    tokens = _tokens(shingles)
                     if len(tokens) and _set_hash(tokens)[0] == wanted[piece.first + k]:
                         keep.append(piece.first + k)
-                        sets.append(tokens)
+                        sets.append(tokens if below is None else tokens[: np.searchsorted(tokens, below)])
                 if keep:
-                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32), pa.array(np.concatenate(sets), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(keep)), lists], ["node", "tokens"])
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(keep)), _lists(sets)], ["node", "tokens"])
 
     return run
 
 
+def _tokens_of(docs: DataFrame, classes: DataFrame, below: int | None) -> DataFrame:
+    """(node, tokens) of the classes (node, doc_id, h1), read from their documents' texts."""
+    wanted = classes.select(F.col("doc_id").alias("_id"), "node", "h1")
+    texts = sized_join(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", 40).select("node", "h1", "text")
+    return texts.mapInArrow(_sets(below), "node bigint, tokens array<bigint>")
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = []
@@ -214,64 +214,67 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, common, name: str) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Of the candidate pairs (a, b) those that link, by their whole sets, recomputed from the texts."""
     pairs = materialize(pairs, f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(classes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("_id"), "node", "h1"), f"{name}-ends")
-    texts = sized_join(docs.select("doc_id", "text"), wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", 40).select("node", "h1", "text")
-    sets = materialize(texts.mapInArrow(_whole_sets(common), "node bigint, tokens array<bigint>"), f"{name}-sets")
+    sets = materialize(_tokens_of(docs, materialize(classes.join(ends, "node", "left_semi"), f"{name}-ends"), None), f"{name}-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     return materialize(both.select("a", "b", "left", "right").mapInArrow(_linked, "a bigint, b bigint").distinct(), f"{name}-links")
 
 
+def _shared(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(node, tokens) -> (node, token, groups): the tokens that several groups hold."""
+    stored = sized_join(tokens, grouped.select("node", "group"), "node", "inner", 32)
+    rows = stored.select("node", "group", F.explode("tokens").alias("token"))
+    return rows.repartition("token").mapInArrow(_shared_tokens, "node bigint, token bigint, groups bigint")
+
+
+def _qualifying(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(node, group): groups whose union may overlap a class of another group enough."""
+    most = F.floor(F.col("n") / 5)  # what a class may miss in the smallest set that it can link to
+    counted = _shared(_tokens_of(docs, grouped, _LIMIT), grouped).groupBy("node").agg(F.count("*").alias("held"))
+    left = grouped.join(counted, "node", "left").where(F.col("low") - F.coalesce("held", F.lit(0)) <= most).drop("held")
+    left = materialize(left, "ngram-left")
+    held = _shared(_tokens_of(docs, left, None), left).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("groups", "token"))).alias("held"))  # a class's own tokens
+    alone = F.col("n") - F.size("held")
+    first = F.slice("held", F.lit(1), F.greatest(F.lit(0), most + 1 - alone).cast("int"))
+    matrix = left.join(held, "node").select("node", "group", "size", "n", alone.cast("bigint").alias("alone"), F.posexplode(first).alias("k", "h"))
+    matrix = matrix.select(F.col("h.token").alias("token"), "group", "size", "node", "n", (F.col("alone") + F.col("k")).alias("at"))
+    return matrix.repartition("token").mapInArrow(_candidates, "node bigint, group bigint").distinct()
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> one row per row of docs: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    common = spark.sparkContext.broadcast(common_tokens(docs))
-    fields = "doc_id bigint, n bigint, h1 bigint, h2 bigint, last bigint, n_common bigint, prefix array<bigint>, keys array<bigint>"
-    sketches = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_sketches(common), fields)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sketches = docs.mapInArrow(_sketches, "doc_id bigint, n bigint, low bigint, h1 bigint, h2 bigint, keys array<bigint>")
     sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "ngram-sketches")
 
     # 1. classes of equal sets; the class's node is the row of its least doc_id
     by_set = ["h1", "h2", "n"]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")
-    members = sketches.where("n > 0").groupBy(*by_set).agg(least).select(*by_set, F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "low")).alias("m")
+    members = sketches.where("n > 0").groupBy(*by_set).agg(least).select(*by_set, F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node"), F.col("m.low").alias("low"))
     members = materialize(members, "ngram-members")
-    full = sketches.select(F.col("row").alias("node"), "last", "n_common", "prefix", "keys")
-    classes = materialize(members.join(full, "node"), "ngram-classes")
+    classes = members.select("node", "doc_id", "h1")
 
     # 2. groups of similar classes
-    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
+    keys = sketches.select(F.col("row").alias("node"), "n", "keys").join(members.select("node"), "node", "left_semi")
+    keyed = materialize(keys.select("node", "n", F.explode("keys").alias("key")), "ngram-keys")
     leaders = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.node").alias("a"), F.col("m.n").alias("na"))
     stars = keyed.join(leaders, "key").where("node <> a and 5 * n >= 4 * na and 5 * na >= 4 * n").select("a", F.col("node").alias("b")).distinct()
-    first_links = _verify(docs, classes, stars, common, "ngram-star")
+    first_links = _verify(docs, classes, stars, "ngram-star")
     groups = materialize(connected_components(first_links), "ngram-groups")
-    grouped = sized_join(classes.drop("keys"), groups, "node", "left", 32).withColumn("group", F.coalesce("component", "node"))
-    grouped = materialize(grouped.drop("component", "h1", "h2", "doc_id"), "ngram-grouped")
-
-    # 3. the token-group matrix; common tokens that only one group holds join nothing
-    tokens = grouped.select("node", "group", "n", F.explode("prefix").alias("token"))
-    is_common = F.col("token") > int(_TOKEN_BITS)
-    mixed = tokens.where(is_common).groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
-    mixed = materialize(mixed, "ngram-mixed")
-    rows = tokens.where(~is_common).unionByName(sized_join(tokens.where(is_common), mixed, "token", "left_semi", 16))
-
-    # 4. bounds of query and group
-    shared = rows.repartition("token").mapInArrow(_matrix_rows, "query bigint, group bigint, shared bigint")
-    shared = shared.groupBy("query", "group").agg(F.sum("shared").alias("shared"))
-    asked = grouped.select(F.col("node").alias("query"), "n", "last", (F.size("prefix") - F.col("n_common")).alias("counted"), "n_common")
-    sizes = grouped.groupBy("group").agg(F.min("n").alias("least_n"), F.max("last").alias("most_last"))
-    bound = shared.join(asked, "query").join(sizes, "group").where("last <= most_last")
-    fewest = F.greatest("least_n", F.ceil(F.col("n") * 0.8 - 1e-9))
-    may_miss = F.floor(F.col("n") - (F.col("n") + fewest) * 4 / 9 + 1e-9)
-    open_groups = bound.where(F.col("shared") >= F.col("counted") - may_miss).select("query", F.col("n").alias("nq"), "group")
-
-    # 5. qualifying groups are opened
-    opened = open_groups.join(grouped.select(F.col("node").alias("member"), F.col("n").alias("nm"), "group"), "group").where("5 * nq >= 4 * nm and 5 * nm >= 4 * nq")
+    sizes = groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size"))
+    groups = materialize(groups.withColumnRenamed("component", "group").join(sizes, "group"), "ngram-sizes")
+    grouped = sized_join(members.select("node", "doc_id", "h1", "n", "low"), groups, "node", "left", 40).withColumn("group", F.coalesce("group", "node")).withColumn("size", F.coalesce("size", F.lit(1)))
+    grouped = materialize(grouped, "ngram-grouped")
+
+    # 3. to 5. qualifying groups are opened
+    sized = grouped.select("node", "n", "group")
+    asked = _qualifying(docs, grouped).withColumnRenamed("node", "query").join(sized.select(F.col("node").alias("query"), F.col("n").alias("nq")), "query")
+    opened = asked.join(sized.select(F.col("node").alias("member"), F.col("n").alias("nm"), "group"), "group").where("5 * nq >= 4 * nm and 5 * nm >= 4 * nq")
     pairs = opened.select(F.least("query", "member").alias("a"), F.greatest("query", "member").alias("b")).distinct()
-    links = _verify(docs, classes, pairs, common, "ngram-open").union(first_links)
+    links = _verify(docs, classes, pairs, "ngram-open").union(first_links)
     components = materialize(connected_components(links), "ngram-components")
 
     named = sized_join(members, components, "node", "left", 32).withColumn("component", F.coalesce("component", "node"))
