@@ -302,7 +302,7 @@ def test_rule_index_matches_brute_force():
 
 def test_licences_and_inheritance(spark):
     files = [
-        (1, "a/b/c.txt", "some words of prose\nLicensed under the Apache License, Version 2.0."),
+        (1, "a/b/c.txt", "some words of prose that outnumber the words of its notice by far\nLicensed under the Apache License, Version 2.0."),
         (2, "a/LICENSE", "Released under the MIT License."),
         (3, "a/b/d.txt", "plain prose without a notice"),
         (4, "x/y/z.txt", "plain prose"), (5, "a/b/e/f.txt", None), (6, "a/b/e/f.txt", ""), (7, None, "all rights of the reserved kind are words"),
