@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from weftmesh.llm import decontaminate, license_scan, ngram_join, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, toxicity, url_filter
@@ -357,6 +358,33 @@ def test_quality_classifier(spark):
     assert {r.score for r in quality_classifier.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_reads_whole_words(monkeypatch):
+    """The character input is the mean over all grams of a word, however long."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Network.fresh(np.zeros(0, np.uint64), rng)
+    for lot in (toxicity.GRAM_LOT, 7):
+        monkeypatch.setattr(toxicity, "GRAM_LOT", lot)
+        texts = ["x" * 10_000, "x" * 9_000 + "kill" + "x" * 996, "a bc Def ghij Ünïcödé_wörd/over-eighteen_bytes", "", "x" * 18, "x" * 17 + "y"]
+        (piece,) = toxicity.pieces(toxicity.pa.array(texts), True)
+        vocab, inverse = toxicity.vocabulary(piece, net.known)
+        x = net.inputs(vocab)
+        seen = [w.encode().lower() for t in texts for w in words(t)]
+        for raw, place in zip(seen, inverse, strict=True):
+            codes = []
+            for at in range(-1, max(len(raw) - toxicity.CHAR_GRAM + 1, 0)):
+                code = 0
+                for k in range(toxicity.CHAR_GRAM):
+                    value = 7 if at + k < 0 else int(toxicity._LOWER[raw[at + k]]) if at + k < len(raw) else 9
+                    code += value * int(toxicity.PLACES[k])
+                codes.append(code % (1 << 64))
+            rows = (toxicity.mix(np.array(codes, np.uint64)) % np.uint64(toxicity.CHAR_BUCKETS)).astype(int)
+            assert np.allclose(x[place, toxicity.WORD_DIM :], net.weights["char"][rows].mean(axis=0, dtype=float), atol=1e-6)
+        scores = net.score(piece)
+        assert scores[0] != scores[1] and scores[4] != scores[5]
+        one = [net.score(p) for t in texts for p in toxicity.pieces(toxicity.pa.array([t]), True)]
+        assert np.allclose(scores, np.concatenate(one))
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark, toxic=True)
     net = toxicity.train(docs, labels, ~toxicity.held_out())

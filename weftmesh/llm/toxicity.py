@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input joins a learned vector of the word (if it is known) and the mean
-of learned vectors of its 4-byte character grams.  Two GRUs read a window of 32
+of learned vectors of all its 4-byte character grams.  Two GRUs read a window of 32
 words in both directions, attention pools their states, and a logistic unit
 scores the window.  Every text is covered by windows that overlap by half; its
 score is the calibrated greatest window score.
@@ -35,14 +35,14 @@ SAMPLE_DOCS, KNOWN_WORDS = 700, 8192
 THRESHOLD = 0.5
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
-CHAR_GRAM, CHAR_BUCKETS, MAX_GRAMS = 4, 4096, 16
+CHAR_GRAM, CHAR_BUCKETS = 4, 4096
 EPOCHS, BATCH, RATE, LEAST_STEPS = 5, 256, 8e-3, 250
 #: Share of a toxic document's windows that count as toxic while fitting.
 TOXIC_SHARE = 0.3
 #: Chance that a known word is read by its characters only while fitting.
 HIDE_WORD = 0.4
-#: Windows scored at once.
-LOT = 4096
+#: Windows scored at once; character grams whose vectors are gathered at once.
+LOT, GRAM_LOT = 4096, 1 << 16
 EMPTY = -12.0
 
 
@@ -52,12 +52,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Distinct words of a piece: hash, known-word number (0 unknown) and character grams."""
+    """Distinct words of a piece: hash, known-word number (0 unknown) and character grams.
+
+    Grams of word w are grams[gram_at[w]:gram_at[w + 1]].
+    """
 
     hashes: np.ndarray
     known: np.ndarray
     grams: np.ndarray
-    n_grams: np.ndarray
+    gram_at: np.ndarray
+
+    @property
+    def n_grams(self) -> np.ndarray:
+        return np.diff(self.gram_at)
+
+    def take(self, some: np.ndarray) -> Vocabulary:
+        n = self.n_grams[some]
+        at = np.concatenate([[0], np.cumsum(n)])
+        grams = self.grams[np.repeat(self.gram_at[some] - at[:-1], n) + np.arange(at[-1])]
+        return Vocabulary(self.hashes[some], self.known[some], grams, at)
+
+    def gram_lots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words, starts) of runs of at most about 2 * GRAM_LOT grams; starts has one place more, for the end.
+
+        A word of more than GRAM_LOT grams comes in parts, cut at the same places in any company.
+        """
+        parts = -(-self.n_grams // GRAM_LOT)
+        word = np.repeat(np.arange(len(parts)), parts)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.append(self.gram_at[word] + nth * GRAM_LOT, self.gram_at[-1])
+        cuts = np.flatnonzero(np.diff(start[:-1] // GRAM_LOT, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts, len(word))[1:], strict=True):
+            yield word[a:b], start[a : b + 1]
 
 
 def vocabulary(piece: Piece, known: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
@@ -65,21 +91,25 @@ def vocabulary(piece: Piece, known: np.ndarray) -> tuple[Vocabulary, np.ndarray]
     hashes, first, inverse = np.unique(piece.hashes, return_index=True, return_inverse=True)
     start, length = piece.start[first], (piece.end - piece.start)[first]
     # The word with a mark before it: grams at places -1 .. length - CHAR_GRAM, one at least.
-    n = np.clip(length - CHAR_GRAM + 2, 1, MAX_GRAMS)
-    at = np.arange(MAX_GRAMS)[None, :] - 1
-    codes = np.zeros((len(hashes), MAX_GRAMS), U)
-    for k in range(CHAR_GRAM):
-        place = at + k
-        inside = (place >= 0) & (place < length[:, None])
-        byte = piece.data[np.clip(start[:, None] + place, 0, max(0, len(piece.data) - 1))] if len(piece.data) else np.zeros_like(codes, np.uint8)
-        codes += np.where(inside, _LOWER[byte], np.where(place < 0, U(7), U(9))) * PLACES[k]
-    codes = (mix(codes) % U(CHAR_BUCKETS)).astype(np.int32)
+    n = np.maximum(length - CHAR_GRAM + 2, 1)
+    gram_at = np.concatenate([[0], np.cumsum(n)])
+    grams = np.empty(gram_at[-1], np.int32)
+    for a in range(0, len(grams), 1 << 20):
+        place = np.arange(a, min(a + (1 << 20), len(grams)))
+        word = np.searchsorted(gram_at, place, "right") - 1
+        at, begin, end = place - gram_at[word] - 1, start[word], length[word]
+        codes = np.zeros(len(at), U)
+        for k in range(CHAR_GRAM):
+            spot = at + k
+            byte = piece.data[begin + np.clip(spot, 0, end - 1)]
+            codes += np.where(spot < 0, U(7), np.where(spot < end, _LOWER[byte], U(9))) * PLACES[k]
+        grams[a : a + len(at)] = mix(codes) % U(CHAR_BUCKETS)
     if len(known):
         spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         number = np.where(known[spot] == hashes, spot + 1, 0)
     else:
         number = np.zeros(len(hashes), np.int64)
-    return Vocabulary(hashes, number, codes, n), inverse
+    return Vocabulary(hashes, number, grams, gram_at), inverse
 
 
 def windows(piece: Piece, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,9 +145,10 @@ class Network:
         w = self.weights
         out = np.empty((len(words.hashes), WORD_DIM + CHAR_DIM), np.float32)
         out[:, :WORD_DIM] = w["word"][words.known if known is None else known]
-        for a in range(0, len(out), 16384):
-            mask = np.arange(MAX_GRAMS)[None, :] < words.n_grams[a : a + 16384, None]
-            out[a : a + 16384, WORD_DIM:] = (w["char"][words.grams[a : a + 16384]] * mask[:, :, None]).sum(axis=1) / words.n_grams[a : a + 16384, None]
+        total = np.zeros((len(out), CHAR_DIM))
+        for word, start in words.gram_lots():
+            np.add.at(total, word, np.add.reduceat(w["char"][words.grams[start[0] : start[-1]]], start[:-1] - start[0], axis=0, dtype=np.float64))
+        out[:, WORD_DIM:] = total / words.n_grams[:, None]
         return out
 
     def _run(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
@@ -274,8 +305,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
             if not held[p.first + k]:
                 own, y = np.unique(inverse[p.at[k] : p.at[k + 1]]), int(labels[p.first + k])
                 of_class[y] += 1
-                inside = np.arange(MAX_GRAMS)[None, :] < words.n_grams[own, None]
-                grams[np.unique(words.grams[own][inside]), y] += 1
+                grams[np.unique(words.take(own).grams), y] += 1
                 for h in words.hashes[own].tolist():
                     seen.setdefault(h, np.zeros(2))[y] += 1
     often = sorted((h for h, n in seen.items() if n.sum() >= 3), key=lambda h: (-seen[h].sum(), h))[:KNOWN_WORDS]
@@ -306,7 +336,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
                 at = inverse[np.minimum(start[pick, None] + np.arange(WINDOW), len(inverse) - 1)]
                 distinct, ids = np.unique(at, return_inverse=True)
                 ids = ids.reshape(at.shape)
-                some = Vocabulary(words.hashes[distinct], words.known[distinct], words.grams[distinct], words.n_grams[distinct])
+                some = words.take(distinct)
                 known = np.where(rng.random(len(distinct)) < HIDE_WORD, 0, some.known)
                 x, kept = net.inputs(some, known), {}
                 z = net.logits(x, ids, mask, kept)
@@ -314,9 +344,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Network:
                 g, dx = net.gradients(x, ids, mask, kept, dz)
                 g["word"], g["char"] = np.zeros_like(net.weights["word"]), np.zeros_like(net.weights["char"])
                 np.add.at(g["word"], known, dx[:, :WORD_DIM])
-                inside = np.arange(MAX_GRAMS)[None, :] < some.n_grams[:, None]
-                each = np.repeat((dx[:, WORD_DIM:] / some.n_grams[:, None]).astype(np.float32), some.n_grams, axis=0)
-                np.add.at(g["char"], some.grams[inside], each)
+                each = (dx[:, WORD_DIM:] / some.n_grams[:, None]).astype(np.float32)
+                for word, cuts in some.gram_lots():
+                    np.add.at(g["char"], some.grams[cuts[0] : cuts[-1]], np.repeat(each[word], np.diff(cuts), axis=0))
                 steps += 1
                 rate = RATE * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps) * (1 - 0.8 * epoch / rounds)
                 for name, value in net.weights.items():
