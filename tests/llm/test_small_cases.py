@@ -316,6 +316,27 @@ def test_licences_and_inheritance(spark):
     assert found[5].license == found[6].license == "MIT" and found[4].license is None and found[7].own_license is None
 
 
+def test_licence_bound_drops_nothing():
+    """The skip before the cosine keeps every segment that best() scores at the threshold, repeated words included."""
+    common = {b"all": 50_000, b"the": 50_000, b"of": 50_000, b"to": 50_000, b"or": 50_000, b"and": 50_000}
+    found = {t: common.get(t, 1_000) for _, text in license_scan.TEMPLATES for t in license_scan._terms(text.encode())}
+    matcher = license_scan.Matcher.of(license_scan.TEMPLATES, found, 100_000)
+    hint = license_scan.hint_of(matcher)
+    rng = random.Random(2)
+    texts = ["All rights reserved. All rights reserved. Acme"]
+    for _ in range(300):
+        own = rng.choice(license_scan.TEMPLATES)[1].split() * rng.randint(1, 3)
+        texts.append(" ".join(own + [rng.choice(["Acme", "other", "words"]) for _ in range(rng.randint(0, 6))]))
+    kept = 0
+    for text in texts:
+        score, k = matcher.best(license_scan._terms(text.encode()))
+        name, top, *_ = matcher.document(text.encode(), hint)
+        wanted = (matcher.names[-k], score) if score >= license_scan.SIMILARITY else (None, 0.0)
+        assert (name, top) == wanted
+        kept += name is not None
+    assert matcher.document(texts[0].encode(), hint)[0] == "proprietary" and 0 < kept < len(texts)
+
+
 def test_licence_hint_drops_nothing(spark):
     matcher = license_scan.Matcher.of(license_scan.TEMPLATES, {}, 1000)
     hint = license_scan.hint_of(matcher)

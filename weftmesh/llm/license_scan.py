@@ -97,9 +97,10 @@ class Matcher:
         covered, top, name = np.zeros(len(lines), bool), 0.0, None
         for a, b in dict.fromkeys(segments):
             own = [t for x in terms[a:b] for t in x]
-            # Only template words add to a cosine: their share of the squared norm bounds its square.
-            known = sum(self.idf.get(t, 0.0) ** 2 for t in set(own))
-            if known < SIMILARITY**2 * (known + sum(self.rare**2 for t in set(own) if t not in self.idf)):
+            # Only template words add to a cosine: their share of the squared norm, counts included as in best(), bounds its square.
+            counts = Counter(own).items()
+            known = sum((n * self.idf[t]) ** 2 for t, n in counts if t in self.idf)
+            if known < SIMILARITY**2 * (known + sum((n * self.rare) ** 2 for t, n in counts if t not in self.idf)) - 1e-6:
                 continue
             score, k = self.best(own)
             if score >= SIMILARITY:
