@@ -316,6 +316,31 @@ def test_licences_and_inheritance(spark):
     assert found[5].license == found[6].license == "MIT" and found[4].license is None and found[7].own_license is None
 
 
+def test_licence_weights_of_all_words(spark):
+    """Every word has its own document frequency, held by the driver or looked up; equal to brute force."""
+    rng = random.Random(4)
+    texts = [" ".join(["by", "the"] * (k % 10 < 9) + [f"w{rng.randint(0, 40)}" for _ in range(12)] + ["license", "software"] * (k % 20 == 0)) for k in range(300)]
+    texts += ["Released under the MIT License by", "by Licensed under CC BY-NC 4.0.\nw1 w2", "All rights reserved. w3 w3", "All rights reserved. w1"] * 2
+    texts += [" ".join(rng.choice(license_scan.TEMPLATES)[1].split() + [f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 3))]) for _ in range(60)] + [None, ""]
+    table = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(texts)], "doc_id bigint, path string, text string")
+    df = Counter(t for text in texts for t in set(license_scan._terms((text or "").encode())))
+    matcher = license_scan.Matcher.of(license_scan.TEMPLATES, df, len(texts))
+    expected = {}
+    for k, text in enumerate(texts):
+        lines = [license_scan._terms(x) for x in (text or "").encode().split(b"\n")]
+        scores = [matcher.best(x) for x in [*lines, [t for x in lines for t in x]]]
+        top = max([s for s, _ in scores if s >= license_scan.SIMILARITY], default=0.0)
+        expected[k] = round(top, 9)
+    for common in (20_000, 3):
+        fitted = license_scan.fit(table, common=common)
+        assert {bytes(r.term): r.n for r in fitted.counts.collect()} == df
+        found = {r.doc_id: round(r.own_score, 9) for r in license_scan.scan(table, fitted).collect()}
+        assert found == expected
+    fitted, hint = license_scan.fit(table, common=3), license_scan.hint_of(matcher)
+    assert any(fitted.matcher.unknown(fitted.matcher.segments((t or "").encode(), hint)) for t in texts)  # some are looked up
+    assert expected[300] > 0.9 and sum(s > 0 for s in expected.values()) > 20
+
+
 def test_licence_bound_drops_nothing():
     """The skip before the cosine keeps every segment that best() scores at the threshold, repeated words included."""
     common = {b"all": 50_000, b"the": 50_000, b"of": 50_000, b"to": 50_000, b"or": 50_000, b"and": 50_000}

@@ -2,8 +2,10 @@
 
 Every line, every paragraph and the whole of every text is compared with each
 template: vectors of term counts times inverse document frequency, counted over
-all documents.  Only words of templates can add to a cosine, so a segment's
-cosine is bounded by sums over these words before any vector is built.  A
+all documents for every word.  The counts are a table; the driver holds those of
+template words and of the COMMON most frequent ones.  Any other word weighs at
+least what the rarest of these does, which bounds a segment's cosine; only for
+segments that pass this bound are their other words looked up in the table.  A
 document's own licence is that of its best segment; a document most of whose
 words lie in such segments is a licence file, and speaks for its directory.
 
@@ -19,6 +21,7 @@ least path; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,6 +52,11 @@ SIMILARITY = 0.7
 #: A document is a licence file if so much of its words lie in matching segments.
 FILE_SHARE = 0.5
 
+#: Words, the most frequent first, whose counts the driver and every task hold.
+COMMON = 20_000
+#: Distinct words that a counting task holds at most before it hands them on.
+COUNT_WORDS = 100_000
+
 _EDGES = b".,;:!?\"'()[]{}*#/<>"
 
 
@@ -58,18 +66,27 @@ def _terms(line: bytes) -> list[bytes]:
 
 @dataclass
 class Matcher:
-    """Templates as weighted vectors; idf by template term, ``rare`` for any other word."""
+    """Templates as weighted vectors; idf by template term and common word, of any other word at least ``least``.
+
+    ``rare`` is the weight of a word in no document.
+    """
 
     idf: dict[bytes, float]
     rare: float
+    documents: int = 0
+    at_most: int = 0
+    least: float = 0.0
+    words: set[bytes] = field(default_factory=set)
     names: list[str] = field(default_factory=list)
     vectors: list[dict[bytes, float]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, templates: list[tuple[str, str]], found: dict[bytes, int], documents: int) -> Matcher:
+    def of(cls, templates: list[tuple[str, str]], found: dict[bytes, int], documents: int, at_most: int = 0) -> Matcher:
+        """found: documents by word, of all template words that occur and any others; no other word is in more than ``at_most``."""
         vocabulary = sorted({t for _, text in templates for t in _terms(text.encode())})
         weight = lambda df: float(np.log((1 + documents) / (1 + df)) + 1)
-        out = cls({t: weight(found.get(t, 0)) for t in vocabulary}, weight(0))
+        idf = {t: weight(found.get(t, 0)) for t in {*vocabulary, *found}}
+        out = cls(idf, weight(0), documents, at_most, weight(at_most), set(vocabulary))
         for name, text in templates:
             vector = {t: n * out.idf[t] for t, n in Counter(_terms(text.encode())).items()}
             norm = sum(v * v for v in vector.values()) ** 0.5
@@ -77,32 +94,61 @@ class Matcher:
             out.vectors.append({t: v / norm for t, v in vector.items()})
         return out
 
-    def best(self, terms: list[bytes]) -> tuple[float, int]:
+    def weight(self, t: bytes, others: dict[bytes, int]) -> float:
+        known = self.idf.get(t)
+        return known if known is not None else float(np.log((1 + self.documents) / (1 + others[t])) + 1) if t in others else self.rare
+
+    def best(self, terms: list[bytes], others: dict[bytes, int] | None = None) -> tuple[float, int]:
         """(cosine, template) of the most similar template; (0, -1) without terms."""
-        vector = {t: n * self.idf.get(t, self.rare) for t, n in Counter(terms).items()}
+        vector = {t: n * self.weight(t, others or {}) for t, n in Counter(terms).items()}
         norm = sum(v * v for v in vector.values()) ** 0.5
         scores = [sum(v * template.get(t, 0.0) for t, v in vector.items()) / norm if norm else 0.0 for template in self.vectors]
         return max(((round(s, 12), -k) for k, s in enumerate(scores)), default=(0.0, 1)) if norm else (0.0, 1)
 
-    def document(self, text: bytes, hint: re.Pattern) -> tuple[str | None, float, int, int]:
-        """(licence, cosine, words in matching segments, all words) over the whole text."""
+    def segments(self, text: bytes, hint: re.Pattern) -> list[tuple[int, int, list[bytes]]]:
+        """(first line, end, terms) of lines, paragraphs and the whole text that may reach SIMILARITY."""
         if not hint.search(text):
+            return []
+        lines, out = [_terms(x) for x in text.split(b"\n")], []
+        spans = [(k, k + 1) for k, t in enumerate(lines) if t]
+        gaps = [-1, *(k for k, t in enumerate(lines) if not t), len(lines)]
+        spans += [(a + 1, b) for a, b in zip(gaps[:-1], gaps[1:], strict=True) if b - a > 2]
+        spans += [(0, len(lines))] if len(lines) > 1 else []
+        for a, b in dict.fromkeys(spans):
+            own = [t for x in lines[a:b] for t in x]
+            # Only template words add to a cosine: their share of the squared norm, counts included as in best(), bounds its square.
+            inside = outside = 0.0
+            for t, n in Counter(own).items():
+                v = (n * self.idf.get(t, self.least)) ** 2
+                if t in self.words:
+                    inside += v
+                else:
+                    outside += v
+            if inside >= SIMILARITY**2 * (inside + outside) - 1e-6:
+                out.append((a, b, own))
+        return out
+
+    def unknown(self, segments: list[tuple[int, int, list[bytes]]]) -> list[bytes]:
+        """Words whose counts the segments' cosines need beside those held: of segments that may reach SIMILARITY with them at least."""
+        need: set[bytes] = set()
+        for _, _, own in segments:
+            rare = {t for t in own if t not in self.idf}
+            if rare and self.best(own, dict.fromkeys(rare, self.at_most))[0] >= SIMILARITY - 1e-9:
+                need |= rare
+        return sorted(need)
+
+    def document(self, text: bytes, hint: re.Pattern, others: dict[bytes, int] | None = None, segments: list[tuple[int, int, list[bytes]]] | None = None) -> tuple[str | None, float, int, int]:
+        """(licence, cosine, words in matching segments, all words) over the whole text.
+
+        others: documents by word, of the words in :meth:`unknown`; segments: if they are known already.
+        """
+        segments = self.segments(text, hint) if segments is None else segments
+        if not segments:
             return None, 0.0, 0, len(text.split())
         lines = text.split(b"\n")
-        terms = [_terms(x) for x in lines]
-        segments = [(k, k + 1) for k, t in enumerate(terms) if t]
-        gaps = [-1, *(k for k, t in enumerate(terms) if not t), len(lines)]
-        segments += [(a + 1, b) for a, b in zip(gaps[:-1], gaps[1:], strict=True) if b - a > 2]
-        segments += [(0, len(lines))] if len(lines) > 1 else []
         covered, top, name = np.zeros(len(lines), bool), 0.0, None
-        for a, b in dict.fromkeys(segments):
-            own = [t for x in terms[a:b] for t in x]
-            # Only template words add to a cosine: their share of the squared norm, counts included as in best(), bounds its square.
-            counts = Counter(own).items()
-            known = sum((n * self.idf[t]) ** 2 for t, n in counts if t in self.idf)
-            if known < SIMILARITY**2 * (known + sum((n * self.rare) ** 2 for t, n in counts if t not in self.idf)) - 1e-6:
-                continue
-            score, k = self.best(own)
+        for a, b, own in segments:
+            score, k = self.best(own, others)
             if score >= SIMILARITY:
                 covered[a:b] = True
                 if score > top:
@@ -129,56 +175,115 @@ def hint_of(matcher: Matcher) -> re.Pattern:
     return re.compile(b"|".join(re.escape(t) for t in sorted(needed)), re.IGNORECASE)
 
 
-def _frequencies(vocabulary: list[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(vocabulary)
-        for batch in batches:
-            count: Counter = Counter()
-            texts = batch.column("text").cast(pa.binary())
-            for text in texts:
-                raw = text.as_py() or b""
-                count.update(known.intersection(_terms_fast(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
-
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): documents by word, summed over as much as COUNT_WORDS allows."""
+    count: Counter = Counter()
+    handed_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+    for batch in batches:
+        for text in batch.column("text").cast(pa.binary()):
+            count.update(_terms_fast(text.as_py() or b""))
+            if len(count) > COUNT_WORDS:
+                yield handed_on()
+                count.clear()
+    yield handed_on()
 
 
 def _terms_fast(raw: bytes) -> set[bytes]:
-    return {w.strip(_EDGES) for w in set(raw.lower().split())}
+    return {w.strip(_EDGES) for w in set(raw.lower().split())} - {b""}
+
+
+@dataclass
+class Fitted:
+    """A matcher and the table (term, n) of documents by word."""
 
+    matcher: Matcher
+    counts: DataFrame
 
-def fit(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Matcher:
-    """Count template terms over all documents."""
-    vocabulary = sorted({t for _, text in templates for t in _terms(text.encode())})
-    counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r.term.encode(): r.n for r in counted.collect()}  # at most the templates' terms
-    return Matcher.of(templates, found, docs.count())
+
+def fit(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, common: int = COMMON) -> Fitted:
+    """Count the documents of every word."""
+    spark = docs.sparkSession
+    counts = materialize(docs.select("text").mapInArrow(_frequencies, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "license-terms")
+    vocabulary = spark.createDataFrame([(bytearray(t),) for t in sorted({t for _, text in templates for t in _terms(text.encode())})], "term binary")
+    often = counts.orderBy(F.desc("n"), "term").limit(common).collect()  # at most ``common`` rows
+    own = counts.join(F.broadcast(vocabulary), "term").collect()  # at most the templates' terms
+    at_most = often[-1].n if len(often) == common else 0
+    return Fitted(Matcher.of(templates, {bytes(r.term): r.n for r in [*often, *own]}, docs.count(), at_most), counts)
+
+
+_RESULT = "own_license string, own_score double, license_words bigint, n_words bigint"
+
+
+def _arrays(rows: list[tuple]) -> list[pa.Array]:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
 
 
 def _own(shared):
+    """Results of texts that the held counts settle; of others the text, its digest and the words to look up."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value
         hint = hint_of(matcher)
         for batch in batches:
-            rows = [matcher.document(t.as_py() or b"", hint) for t in batch.column("text").cast(pa.binary())]
-            name, score, inside, words = zip(*rows, strict=True) if rows else ((), (), (), ())
+            texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+            need, rows = [], []
+            for t in texts:
+                segments = matcher.segments(t, hint)
+                need.append(matcher.unknown(segments))
+                rows.append((None, None, None, None) if need[-1] else matcher.document(t, hint, segments=segments))
+            kept = [t if n else None for t, n in zip(texts, need, strict=True)]
+            digest = [hashlib.sha256(t).digest() if t is not None else None for t in kept]
             others = [k for k, n in enumerate(batch.schema.names) if n != "text"]
-            kinds = zip((name, score, inside, words), (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in others], *[pa.array(c, k) for c, k in kinds]], [*[batch.schema.names[k] for k in others], "own_license", "own_score", "license_words", "n_words"])
+            more = [*_arrays(rows), pa.array(kept, pa.binary()), pa.array(digest, pa.binary()), pa.array(need, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in others], *more], [*[batch.schema.names[k] for k in others], "own_license", "own_score", "license_words", "n_words", "raw", "digest", "need"])
+
+    return run
+
+
+def _settled(shared):
+    """(digest, raw, found: array of (term, n)) -> digest and result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = shared.value
+        hint = hint_of(matcher)
+        for batch in batches:
+            counts = [{r["term"]: r["n"] for r in found.as_py() or []} for found in batch.column("found")]
+            rows = [matcher.document(t.as_py(), hint, c) for t, c in zip(batch.column("raw"), counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *_arrays(rows)], ["digest", "own_license", "own_score", "license_words", "n_words"])
 
     return run
 
 
-def scan(files: DataFrame, matcher: Matcher) -> DataFrame:
+def _own_licenses(files: DataFrame, fitted: Fitted) -> DataFrame:
+    """``files`` without text, with own_license, own_score, license_words and n_words."""
+    shared = files.sparkSession.sparkContext.broadcast(fitted.matcher)
+    kept = files.drop("text")
+    first = files.mapInArrow(_own(shared), extended(kept.schema, _RESULT + ", raw binary, digest binary, need array<binary>"))
+    first = materialize(first, "license-first")
+    settled = first.where("digest is null").drop("raw", "digest", "need")
+    open_ = first.where("digest is not null")
+    if open_.isEmpty():
+        return settled
+    texts = materialize(open_.groupBy("digest").agg(F.first("raw").alias("raw"), F.first("need").alias("need")), "license-open")
+    need = texts.select("digest", F.explode("need").alias("term"))
+    wanted = materialize(need.select("term").distinct(), "license-wanted")
+    counts = materialize(sized_join(fitted.counts, wanted, "term", "inner", 40), "license-counts")
+    found = sized_join(need, counts, "term", "inner", 48).groupBy("digest").agg(F.collect_list(F.struct("term", "n")).alias("found"))
+    results = texts.select("digest", "raw").join(found, "digest", "left").mapInArrow(_settled(shared), "digest binary, " + _RESULT)
+    results = materialize(results, "license-results")
+    late = sized_join(open_.select(*kept.columns, "digest"), results, "digest", "inner", 120).drop("digest")
+    return settled.unionByName(late)
+
+
+def scan(files: DataFrame, fitted: Fitted) -> DataFrame:
     """(doc_id, path, text) -> doc_id, path, own_license, own_score, license, license_from, levels_up.
 
     Paths are names joined by ``/``; levels_up is null for own licences and 0 for
     the file's own directory.
     """
-    shared = files.sparkSession.sparkContext.broadcast(matcher)
     files = files.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), "text")
-    schema = extended(files.drop("text").schema, "own_license string, own_score double, license_words bigint, n_words bigint")
-    own = materialize(files.mapInArrow(_own(shared), schema), "license-own")
+    own = materialize(_own_licenses(files, fitted), "license-own")
     own = own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     is_file = F.col("own_license").isNotNull() & (F.col("license_words") >= FILE_SHARE * F.col("n_words"))
     speaks = own.where(is_file).groupBy(F.col("dir").alias("up")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("m"))
