@@ -77,6 +77,7 @@ class Matcher:
     at_most: int = 0
     least: float = 0.0
     words: set[bytes] = field(default_factory=set)
+    needed: set[bytes] = field(default_factory=set)
     names: list[str] = field(default_factory=list)
     vectors: list[dict[bytes, float]] = field(default_factory=list)
 
@@ -110,11 +111,15 @@ class Matcher:
         if not hint.search(text):
             return []
         lines, out = [_terms(x) for x in text.split(b"\n")], []
+        needed = self.needed = self.needed or needed_words(self)
+        holds = [not needed.isdisjoint(t) for t in lines]
         spans = [(k, k + 1) for k, t in enumerate(lines) if t]
         gaps = [-1, *(k for k, t in enumerate(lines) if not t), len(lines)]
         spans += [(a + 1, b) for a, b in zip(gaps[:-1], gaps[1:], strict=True) if b - a > 2]
         spans += [(0, len(lines))] if len(lines) > 1 else []
         for a, b in dict.fromkeys(spans):
+            if True not in holds[a:b]:
+                continue
             own = [t for x in lines[a:b] for t in x]
             # Only template words add to a cosine: their share of the squared norm, counts included as in best(), bounds its square.
             inside = outside = 0.0
@@ -157,12 +162,8 @@ class Matcher:
         return name, top, inside, sum(len(x.split()) for x in lines)
 
 
-def hint_of(matcher: Matcher) -> re.Pattern:
-    """Matches any text in which some segment may reach the threshold: all template words that can matter.
-
-    A segment at SIMILARITY holds a template's heaviest words; it can't do with
-    only words whose joint weight in every template is below the threshold.
-    """
+def needed_words(matcher: Matcher) -> set[bytes]:
+    """Every segment at SIMILARITY holds one of these words."""
     needed: set[bytes] = set()
     for vector in matcher.vectors:
         # Dropping these words leaves a cosine below the threshold, so a match holds one of them.
@@ -172,7 +173,16 @@ def hint_of(matcher: Matcher) -> re.Pattern:
                 break
             needed.add(t)
             left -= v * v
-    return re.compile(b"|".join(re.escape(t) for t in sorted(needed)), re.IGNORECASE)
+    return needed
+
+
+def hint_of(matcher: Matcher) -> re.Pattern:
+    """Matches any text in which some segment may reach the threshold: all template words that can matter.
+
+    A segment at SIMILARITY holds a template's heaviest words; it can't do with
+    only words whose joint weight in every template is below the threshold.
+    """
+    return re.compile(b"|".join(re.escape(t) for t in sorted(needed_words(matcher))), re.IGNORECASE)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
