@@ -2,21 +2,27 @@
 
 Seeds.  Every window of 50 words has an anchor: the least hash among its 10-word
 grams (winnowing).  Two documents that hold one window hold its anchor, so
-documents are joined on anchors, and an anchor of one document only is no seed.
+documents are joined on anchors; an anchor of one document only is no seed.
 
-Extension.  A seed is extended both ways as far as a window of 50 words can
-hold it: the windows around it get a fingerprint of all their words, and a
-window matches if the fingerprint's least document id is smaller than its own.
-Matching windows that overlap or touch chain up to maximal repeats, whose words
-are removed.  Matches are decided by least ids (an aggregation), not by pairs of
-documents, so a passage held by a third of all documents costs a row for each.
+Extension.  Each seed is extended both ways, word by word, against the words
+around the anchor in its first holder (the document with the least id), as far
+as a window around the anchor may reach.  A match of 50 words or more is a
+repeat, kept as an interval; overlapping intervals make maximal repeats.
+
+An anchor of two documents is settled by that.  Of an anchor of more, windows
+that the first holder hasn't may still be shared by others: only those windows
+get a fingerprint of their words, and the least document id that holds one is
+found by an aggregation, not by pairs of documents.  A passage held by a third
+of all documents so costs each of them an extension, not a row a window.
 
 Copies of a whole text are found first, by a hash of the sequence; only the copy
 with the least id goes on.
 
 Edge cases: null text has no words; texts under 50 words are kept; a null doc_id
 counts as larger than any other; rows of one doc_id never remove each other's
-words; an empty table gives an empty result; extra columns are ignored.
+words; equal rows lose equal words; very long texts are handled whole, one at a
+time; an empty table gives an empty result; extra columns, of any name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, sized_join
+from ..plans.storage import discard, materialize, sized_join
 from .words import U, Piece, grams, mix, pieces, rolling
 
 WINDOW, GRAM = 50, 10
-NO_ID = (1 << 63) - 1
+#: Rows of one fingerprint that may meet in one task; fingerprints of more are joined by themselves.
+HEAVY = 5_000
 
 
 def _anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -78,30 +85,128 @@ def _sketches(window: int, gram: int):
     return run
 
 
-def _windows(window: int, gram: int):
+def _contexts(window: int, gram: int):
+    """(node, h1, anchors, text) of first holders -> (anchor, words, center, once): the words around the anchor's first place."""
+    reach = window - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted, held = batch.column("h1").to_numpy(), batch.column("anchors")
+            offsets, values = held.offsets.to_numpy(), held.values.to_numpy()
+            for piece in pieces(batch.column("text"), False):
+                h1, _ = _sequence_hashes(piece)
+                every, hashes = grams(piece.hashes, gram).view(np.int64), piece.hashes.view(np.int64)
+                out: list[list] = [[], [], [], []]
+                for k in range(piece.n_docs):
+                    row, a, b = piece.first + k, piece.at[k], piece.at[k + 1]
+                    if h1[k] != wanted[row] or b - a < window:
+                        continue
+                    mine = np.unique(values[offsets[row] : offsets[row + 1]])
+                    own = every[a : b - gram + 1]
+                    at = np.flatnonzero(np.isin(own, mine))
+                    anchor, first, n = np.unique(own[at], return_index=True, return_counts=True)
+                    for value, p, many in zip(anchor.tolist(), at[first].tolist(), (n > 1).tolist(), strict=True):
+                        begin = max(0, p - reach)
+                        for c, v in zip(out, (value, hashes[a + begin : min(b, a + p + gram + reach)], p - begin, not many), strict=True):
+                            c.append(v)
+                if out[0]:
+                    cols = [pa.array(out[0], pa.int64()), _lists(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "words", "center", "once"])
+
+    return run
+
+
+def extended(own: np.ndarray, at: int, words: np.ndarray, center: int) -> tuple[int, int]:
+    """The match of ``own`` with ``words`` around own[at] and words[center]: its start and end in ``own``."""
+    back = min(at, center)
+    same = own[at - back : at] == words[center - back : center]
+    left = back if same.all() else int(np.argmin(same[::-1]))
+    ahead = min(len(own) - at, len(words) - center)
+    same = own[at : at + ahead] == words[center : center + ahead]
+    right = ahead if same.all() else int(np.argmin(same))
+    return at - left, at + right
+
+
+def _extend(window: int, gram: int):
+    """Seeds of documents -> (node, from, to) repeats by the first holder, and (node, print, from) windows that it leaves open."""
+
+    def document(own: np.ndarray, least: np.ndarray, places: np.ndarray, seeds: _Seeds, begin: int, end: int, own_id: int | None) -> tuple[list, np.ndarray]:
+        """own: word hashes; least: anchor by window; places: place of the anchor of each window; seeds begin..end - 1 are the document's."""
+        spans: list[tuple[int, int]] = []
+        open_ = np.zeros(len(least), bool)
+        at, first = np.unique(places, return_index=True)
+        order = begin + np.argsort(seeds.anchor[begin:end], kind="stable")
+        spot = np.minimum(np.searchsorted(seeds.anchor[order], least[first]), len(order) - 1)
+        known = seeds.anchor[order[spot]] == least[first]
+        for p, start, stop, seed, good in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(least)], order[spot].tolist(), known.tolist(), strict=True):
+            if not good:
+                continue
+            a, b = extended(own, p, seeds.words(seed), seeds.center[seed])
+            if b - a >= window and not seeds.no_first[seed] and (own_id is None or own_id > seeds.first_id[seed]):
+                if spans and a <= spans[-1][1]:
+                    spans[-1] = (min(a, spans[-1][0]), max(b, spans[-1][1]))
+                else:
+                    spans.append((a, b))
+            if not seeds.settled[seed]:
+                starts = np.arange(start, stop)
+                open_[start:stop] = (starts < a) | (starts + window > b)
+        return spans, np.flatnonzero(open_)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nodes, wanted = (batch.column(c).to_numpy() for c in ("id", "node", "h1"))
-            seeds = batch.column("seeds")
-            offsets, values = seeds.offsets.to_numpy(), seeds.values.to_numpy()
+            ids, nodes, wanted = batch.column("id").to_pylist(), batch.column("node").to_pylist(), batch.column("h1").to_numpy()
+            seeds = _Seeds(batch.column("seeds"))
             for piece in pieces(batch.column("text"), False):
                 h1, _ = _sequence_hashes(piece)
+                every = grams(piece.hashes, gram).view(np.int64)
                 least, prints = _anchors(piece.hashes, window, gram).view(np.int64), rolling(piece.hashes, window).view(np.int64)
-                found: list[list[np.ndarray]] = [[], [], [], []]
+                hashes = piece.hashes.view(np.int64)
+                owner, out = [], [[], [], [], [], []]
                 for k in range(piece.n_docs):
-                    row = piece.first + k
-                    a, b = piece.at[k], piece.at[k + 1] - window + 1
-                    if b <= a or h1[k] != wanted[row]:
+                    row, a, b = piece.first + k, piece.at[k], piece.at[k + 1]
+                    if h1[k] != wanted[row] or b - a < window:
                         continue
-                    at = np.flatnonzero(np.isin(least[a:b], values[offsets[row] : offsets[row + 1]]))
-                    for c, v in zip(found, (prints[a:b][at], np.full(len(at), ids[row]), np.full(len(at), nodes[row]), at.astype(np.int32)), strict=True):
+                    mine = least[a : b - window + 1]
+                    places = _first_places(every[a : b - gram + 1], mine)
+                    spans, rest = document(hashes[a:b], mine, places, seeds, seeds.at[row], seeds.at[row + 1], ids[row])
+                    starts = np.array([s for s, _ in spans] + rest.tolist(), np.int64)
+                    ends = np.array([e for _, e in spans] + (rest + window).tolist(), np.int64)
+                    fresh = np.concatenate([np.zeros(len(spans), np.int64), prints[a : b - window + 1][rest]])
+                    is_open = np.arange(len(starts)) >= len(spans)
+                    owner += [ids[row]] * len(starts)
+                    for c, v in zip(out, (np.full(len(starts), nodes[row], np.int64), starts, ends, is_open, fresh), strict=True):
                         c.append(v)
-                if found[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["print", "id", "node", "at"])
+                if owner:
+                    yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *[pa.array(np.concatenate(c)) for c in out]], ["id", "node", "from", "to", "open", "print"])
 
     return run
 
 
+class _Seeds:
+    """The seeds of a batch's documents as flat arrays; those of row k are at[k]:at[k + 1]."""
+
+    def __init__(self, column: pa.ListArray):
+        seeds = column.values
+        self.at = column.offsets.to_numpy()
+        self.anchor = seeds.field("anchor").to_numpy(zero_copy_only=False)
+        self.first_id, self.no_first = seeds.field("first_id").fill_null(0).to_numpy(zero_copy_only=False), seeds.field("first_id").is_null().to_numpy(zero_copy_only=False)
+        self.center = seeds.field("center").fill_null(0).to_numpy(zero_copy_only=False)
+        self.settled = seeds.field("settled").to_numpy(zero_copy_only=False)
+        self._at, self._words = seeds.field("words").offsets.to_numpy(), seeds.field("words").values.to_numpy(zero_copy_only=False)
+
+    def words(self, k: int) -> np.ndarray:
+        return self._words[self._at[k] : self._at[k + 1]]
+
+
+def _first_places(own: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each window the first place from its start on whose gram is the window's least one; these rise with the windows."""
+    values, code = np.unique(own, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    size = len(own) + 1
+    key = code[order] * size + order
+    return order[np.searchsorted(key, np.searchsorted(values, least) * size + np.arange(len(least)))]
+
+
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,15 +221,9 @@ def _kept(window: int):
                     if mark.is_valid:
                         mine = next((m for m in mark.as_py() if m["h1"] == h1[k] and m["h2"] == h2[k]), None)
                         if mine is not None:
-                            keep = np.ones(len(words), bool)
-                            if mine["whole"]:
-                                keep[:] = False
-                            else:
-                                steps = np.zeros(len(words) + 1, np.int64)
-                                at = np.array(mine["at"], np.int64)
-                                np.add.at(steps, at, 1)
-                                np.add.at(steps, at + window, -1)
-                                keep = np.cumsum(steps)[:-1] == 0
+                            keep = np.full(len(words), not mine["whole"])
+                            for span in mine["spans"]:
+                                keep[span["from"] : span["to"]] = False
                             removed[k] = len(words) - int(keep.sum())
                             words = [w for w, good in zip(words, keep, strict=True) if good]
                     texts.append(b" ".join(words).decode("utf-8"))
@@ -134,41 +233,91 @@ def _kept(window: int):
     return run
 
 
+def _by_key(rows: DataFrame, table: DataFrame, key: str, width: int) -> DataFrame:
+    """Inner join with (key, k, ...), k the number of rows of a key.
+
+    Keys that many rows hold are few (one in HEAVY rows at most), so their rows are joined by themselves and,
+    while the keys' counted size allows it, without a shuffle.
+    """
+    heavy = table.where(f"k > {HEAVY}")
+    if heavy.isEmpty():
+        return sized_join(rows, table.drop("k"), key, "inner", width)
+    rest = sized_join(rows, heavy.select(key), key, "left_anti", 16)
+    light = sized_join(rest, table.where(f"k <= {HEAVY}").drop("k"), key, "inner", width)
+    return light.unionByName(sized_join(rows, heavy.drop("k"), key, "inner", width))
+
+
+def _shared_windows(windows: DataFrame, window: int) -> DataFrame:
+    """(id, node, from, print) -> (id, node, from, to): runs of windows that a document with a smaller id holds."""
+    least = windows.groupBy("print").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("none"), F.count("*").alias("k"))
+    least = materialize(least.where("lo < hi or (lo is not null and none)").select("print", "lo", "k"), "repeats-prints")
+    later = _by_key(windows, least, "print", 24).where("id is null or id > lo").select("id", "node", "from")
+    # Windows that follow each other by less than a window make one run: a row that ends where the next gap begins.
+    by_place = Window.partitionBy("node", "id").orderBy("from")
+    new = F.coalesce(F.col("from") - F.lag("from").over(by_place) > window, F.lit(True)).cast("int")
+    runs = later.withColumn("new", new).withColumn("nth", F.sum("new").over(by_place))
+    return runs.groupBy("id", "node", "nth").agg(F.min("from").alias("from"), (F.max("from") + window).alias("to")).drop("nth")
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text) -> one row per row: doc_id, n_words, n_removed, kept_text (kept words, one space apart)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    with_id = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    with_id = docs.withColumnRenamed("doc_id", "id")
     sketches = with_id.mapInArrow(_sketches(window, gram), "id bigint, n bigint, h1 bigint, h2 bigint, anchors array<bigint>")
     sketches = materialize(sketches.where(f"n >= {window}").withColumn("node", F.monotonically_increasing_id()), "repeats-sketches")
 
     # Whole copies: only the first goes on, the others are removed as a whole.
     sequence = ["h1", "h2", "n"]
-    firsts = sketches.groupBy(*sequence).agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("k"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    firsts = sketches.groupBy(*sequence).agg(first, F.count("*").alias("k"))
     firsts = materialize(firsts.select(*sequence, F.col("first.id").alias("first_id"), F.col("first.node").alias("node"), "k"), "repeats-firsts")
-    copies = sketches.select("id", *sequence).join(firsts.where("k > 1").select(*sequence, "first_id"), sequence).where("id > first_id")
-    whole = copies.select("id", "h1", "h2").distinct().select("id", F.struct("h1", "h2", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("at")).alias("mark"))
+    copies = sketches.select("id", *sequence).join(firsts.where("k > 1").select(*sequence, "first_id"), sequence).where("first_id is not null and (id is null or id > first_id)")
+    spans = "array<struct<from:bigint,to:bigint>>"
+    whole = copies.select("id", "h1", "h2").distinct().select("id", F.struct("h1", "h2", F.lit(True).alias("whole"), F.array().cast(spans).alias("spans")).alias("mark"))
 
-    # Seeds: anchors of more than one document.
-    held = sketches.join(firsts.select("node"), "node", "left_semi")
+    # Seeds: anchors of more than one document, each with its first holder.
+    held = sized_join(sketches, firsts.select("node"), "node", "left_semi", 16)
     anchors = materialize(held.select("node", "id", F.explode("anchors").alias("anchor")), "repeats-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    seeds = anchors.join(shared, "anchor").groupBy("node", "id").agg(F.collect_list("anchor").alias("seeds"))
-    seeds = materialize(seeds.join(firsts.select("node", "h1", "h2"), "node").select(F.col("id").alias("_id"), "node", "h1", "h2", "seeds"), "repeats-seeds")
-
-    # Extension: fingerprints of the windows around seeds, and the least id that holds each.
-    texts = sized_join(with_id, seeds, F.col("id") == F.col("_id"), "inner", 600).select("id", "node", "h1", "seeds", "text")
-    windows = texts.mapInArrow(_windows(window, gram), "print bigint, id bigint, node bigint, at int")
-    windows = materialize(windows, "repeats-windows")
-    least = windows.groupBy("print").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("print", "lo")
-    matched = windows.join(least, "print").where("id > lo").groupBy("node", "id").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    parts = matched.join(firsts.select("node", "h1", "h2"), "node").select("id", F.struct("h1", "h2", F.lit(False).alias("whole"), "at").alias("mark"))
+    shared = anchors.groupBy("anchor").agg(first, F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("none"), F.count("*").alias("k"))
+    shared = shared.where("lo < hi or (lo is not null and none)").select("anchor", F.col("first.id").alias("first_id"), F.col("first.node").alias("first_node"), "k")
+    shared = materialize(shared, "repeats-shared")
+
+    # The words around each anchor in its first holder.
+    texts_of = lambda rows, width: sized_join(with_id, rows, F.col("id").eqNullSafe(F.col("_id")), "inner", width)
+    names = firsts.select("node", F.col("first_id").alias("_id"), "h1", "h2")
+    holders = shared.groupBy(F.col("first_node").alias("node")).agg(F.collect_list("anchor").alias("anchors"))
+    holders = materialize(holders.join(names, "node"), "repeats-holders")
+    contexts = texts_of(holders, _measured(holders, F.size("anchors") * 8 + 40)).select("node", "h1", "anchors", "text")
+    contexts = contexts.mapInArrow(_contexts(window, gram), "anchor bigint, words array<bigint>, center int, once boolean")
+    contexts = contexts.groupBy("anchor").agg(F.first(F.struct("words", "center", "once")).alias("c"))  # rows of one id may repeat
+    around = shared.join(contexts, "anchor", "left").select("anchor", "k", "first_id", "c.words", "c.center", (F.coalesce("c.once", F.lit(False)) & (F.col("k") == 2)).alias("settled"))
+    around = materialize(around, "repeats-contexts")
+
+    # Extension of every seed against its first holder.
+    seeds = _by_key(anchors, around, "anchor", _measured(around, F.size("words") * 8 + 40))
+    seeds = seeds.groupBy("node", "id").agg(F.collect_list(F.struct("anchor", "first_id", "words", "center", "settled")).alias("seeds"))
+    seeds = materialize(seeds.join(names.select("node", "h1"), "node").select(F.col("id").alias("_id"), "node", "h1", "seeds"), "repeats-seeds")
+    texts = texts_of(seeds, _measured(seeds, F.size("seeds") * 760 + 40)).select("id", "node", "h1", "seeds", "text")
+    found = texts.mapInArrow(_extend(window, gram), "id bigint, node bigint, `from` bigint, `to` bigint, `open` boolean, print bigint")
+    found = materialize(found, "repeats-found")
+    discard(seeds, around)
+
+    parts = found.where("not open").select("id", "node", "from", "to").unionByName(_shared_windows(found.where("open").select("id", "node", "from", "print"), window))
+    parts = parts.groupBy("id", "node").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    parts = parts.join(names.select("node", "h1", "h2"), "node").select("id", F.struct("h1", "h2", F.lit(False).alias("whole"), "spans").alias("mark"))
 
     marks = whole.unionByName(parts).groupBy(F.col("id").alias("_id")).agg(F.collect_list("mark").alias("marks"))
     marks = materialize(marks, "repeats-marks")
-    joined = sized_join(docs, marks, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left", 600)
+    width = _measured(marks, F.aggregate("marks", F.lit(24), lambda n, m: n + 32 + 16 * F.size(m["spans"])))
+    joined = sized_join(docs, marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left", width)
     return joined.select("doc_id", "text", "marks").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
+def _measured(table: DataFrame, width) -> int:
+    """The mean bytes of a row, counted over the whole table."""
+    return int(table.agg(F.avg(width)).head()[0] or 1) + 1
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest over the whole ``documents`` table."""
     kept = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
