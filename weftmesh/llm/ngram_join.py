@@ -48,7 +48,7 @@ from ..plans.storage import discard, materialize, sized_join
 from .words import U, mix, pieces, shingle_sets
 
 #: Share of the hash space whose tokens the first matrix has.
-RANGE = 0.3
+RANGE = 0.27
 #: Pairs of minimum hashes by which similar documents are grouped.
 GROUP_KEYS = 3
 #: Classes of a bucket that are compared at once, and classes of a stored group.
@@ -376,9 +376,8 @@ def _clusters(docs: DataFrame, sketches: DataFrame, members: DataFrame) -> DataF
     return materialize(components.withColumnRenamed("component", "cluster").join(sizes, "cluster").select("node", "cluster", "size"), "ngram-sizes")
 
 
-def _held_elsewhere(sketches: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The classes that may link to another cluster by the first matrix: tokens below _LIMIT."""
-    low = sketches.select(F.col("row").alias("node"), "low")
+def _held_elsewhere(low: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The classes that may link to another cluster by the first matrix; low (node, low): tokens below _LIMIT."""
     low = sized_join(low, grouped.select("node", "cluster"), "node", "inner", 32)
     rows = low.select("node", "cluster", F.explode("low").alias("token"))
     several = rows.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("token")
@@ -423,12 +422,13 @@ def _opened(asks: DataFrame, stored: DataFrame, sets: DataFrame, name: str) -> D
     return materialize(rows.mapInArrow(_open, "a bigint, b bigint"), f"{name}-links")
 
 
-def _joined_clusters(docs: DataFrame, sketches: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(cluster, component): clusters that are linked with others, by opened groups."""
-    left = materialize(_held_elsewhere(sketches, grouped), "ngram-left")
+def _joined_clusters(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """(cluster, component): clusters of the classes in ``left`` that are linked with others, by opened groups."""
     sets = _tokens_of(docs, left, "ngram-left")
     asking = materialize(_asking(left, sets), "ngram-asking")
-    stored = left.join(left.groupBy("cluster").agg(F.count("*").alias("here")), "cluster").withColumn("parts", _share("here", GROUP))
+    large = left.groupBy("cluster").agg(F.count("*").alias("here")).where(f"here > {GROUP}")
+    large = materialize(large.select("cluster", _share("here", GROUP).alias("parts")), "ngram-large")
+    stored = sized_join(left, large, "cluster", "left", 24).withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
     stored = materialize(stored.select("node", "cluster", "parts", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("part")), "ngram-stored")
     asked = asking.join(stored.select("cluster", "parts").distinct(), "cluster").withColumn("first", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")))
     asked = materialize(asked, "ngram-asked")
@@ -460,11 +460,12 @@ def _components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     fields = "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, low array<bigint>"
     sketches = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches, fields)
-    sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "ngram-sketches")
+    whole = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "ngram-sketches")
+    sketches = materialize(whole.select("doc_id", "text_hash", "row", "n", "h1", "h2", "keys", F.size("low").cast("bigint").alias("n_low")), "ngram-rows")
 
     # 1. classes of equal sets; the class's node is the row of its least doc_id
     by_set = ["h1", "h2", "n"]
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", F.size("low").cast("bigint").alias("n_low"))).alias("m")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n_low")).alias("m")
     members = sketches.where("n > 0").groupBy(*by_set).agg(least)
     members = members.select(*by_set, F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias("node"), F.col("m.n_low").alias("n_low"))
     members = materialize(members, "ngram-members")
@@ -475,7 +476,9 @@ def _components(docs: DataFrame) -> DataFrame:
     grouped = materialize(grouped, "ngram-grouped")
 
     # 3. to 5. qualifying groups are opened
-    components = _joined_clusters(docs, sketches, grouped)
+    left = materialize(_held_elsewhere(whole.select(F.col("row").alias("node"), "low"), grouped), "ngram-left")
+    discard(whole)
+    components = _joined_clusters(docs, left)
     named = sized_join(grouped, components, "cluster", "left", 32).withColumn("component", F.coalesce("component", "cluster"))
     named = materialize(named.select(*by_set, "doc_id", "component"), "ngram-named")
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
