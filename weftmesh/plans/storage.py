@@ -8,9 +8,11 @@ executor costs only the re-read of a file.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ BROADCAST_ROWS = 500_000
 #: Bytes (estimated from a row's width) that a broadcast side may hold at most.
 BROADCAST_BYTES = 48 << 20
 
+#: Rows of an Arrow batch while a table is written.
+ARROW_ROWS = 2_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables; a temporary one only if the session names none."""
@@ -37,6 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """At most ARROW_ROWS rows are handed to Python at once: whole texts and arrays make long rows."""
+    before = spark.conf.get(_ROWS, "10000")
+    spark.conf.set(_ROWS, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
@@ -44,7 +61,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftmesh/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
