@@ -7,6 +7,7 @@ the longest document, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,15 @@ U = np.uint64
 #: Bytes of text handled at once; a longer document is a piece of its own.
 PIECE = (1 << 20) - 1024
 
-# Arrow's own pools keep what they free; workers share an executor's memory with others.
+# Arrow's own pools and the C library keep what is freed; workers share an executor's memory with others.
 pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not every C library has it
+
+    def _TRIM(_: int) -> int:
+        return 0
+
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -110,6 +118,7 @@ def pieces(texts: pa.Array | pa.ChunkedArray, lower: bool) -> Iterator[Piece]:
         part = data[offsets[k] : offsets[to]]
         yield _words(k, part, offsets[k : to + 1] - offsets[k], lower)
         k = to
+    _TRIM(0)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
