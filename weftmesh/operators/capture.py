@@ -6,12 +6,35 @@ of interest ``poi`` (id).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh, MeshError
 from ..plans.components import connected_components
+from ..plans.numbering import numbered, running_sum
 from ..plans.storage import materialize
+from .cells import cells
+from .planar import mesh_of_edges, mesh_of_loops, outside_of_box
+from .polygons import triangulate
+
+LEFT, RIGHT, NONE = "Left", "Right", "None"
+
+
+def cell_distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Steps along the grid's axes between two cells."""
+    return F.abs(a[0] - b[0]) + F.abs(a[1] - b[1])
+
+
+def cell_offset(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The move over the grid from cell a to cell b."""
+    return b[0] - a[0], b[1] - a[1]
+
+
+def boundary_laws() -> dict:
+    """Laws of the boundary side as an attribute of darts: equal sides keep, others give None; a lone value stays; it is never split."""
+    return {"merge": lambda l, r: F.when(l == r, l).otherwise(F.lit(NONE)), "merge_one": lambda v: v, "merge_none": F.lit(NONE), "split": None}  # noqa: E741
 
 
 def orientation_issues(segments: DataFrame) -> DataFrame:
@@ -33,6 +56,8 @@ def overlapping_grid(points: DataFrame, cell: tuple[float, float], max_shifts: i
         if points.where(on_line[0] | on_line[1]).isEmpty():
             break
         origin = [o + c / 2 ** (k + 1) for o, c in zip(origin, cell, strict=True)]
+    else:
+        raise MeshError("points stay on grid lines after all shifts of the grid")
     counts = [int(-(-(row[f"max_{a}"] - o) // c)) + 1 for a, o, c in zip(names, origin, cell, strict=True)]
     return (counts[0], counts[1]), (origin[0], origin[1])
 
@@ -83,8 +108,8 @@ def intersections_per_edge(hits: DataFrame, n_cells: tuple[int, int], cell: tupl
     placed = hits.select("seg_id", eid.cast("bigint").alias("eid"), t.alias("t"))
     within = Window.partitionBy("eid").orderBy("t", "seg_id")
     placed = placed.withColumn("pos", F.row_number().over(within))
-    counts = placed.groupBy("eid").agg(F.count("*").alias("n"))
-    first = counts.withColumn("first_dart", F.lit(4 * nx * ny + 1) + 2 * (F.sum("n").over(Window.orderBy("eid")) - F.col("n")))
+    counts = placed.groupBy("eid").agg((2 * F.count("*")).alias("n"))
+    first = running_sum(counts, ["eid"], "n", "first_dart", 4 * nx * ny + 1)
     return placed.join(first.drop("n"), "eid").select("eid", "pos", "t", "seg_id", "first_dart")
 
 
@@ -106,7 +131,7 @@ def classify_surfaces(mesh: Mesh, table: DataFrame, walls: DataFrame) -> DataFra
     """(fid, surface): surfaces numbered from 0 in the order of their least face."""
     faces = table.select("fid").distinct()
     regions = materialize(flood(faces, shared_edges(mesh, table), walls), "regions")
-    number = regions.select("region").distinct().withColumn("surface", (F.dense_rank().over(Window.orderBy("region")) - 1).cast("bigint"))
+    number = numbered(regions.select("region").distinct(), ["region"], "surface")
     return regions.join(number, "region").select("fid", "surface")
 
 
@@ -117,7 +142,8 @@ def boundary_curves(mesh: Mesh, table: DataFrame, nodes: DataFrame) -> DataFrame
     follow = ends.join(border.select(F.col("d").alias("to"), F.col("vid").alias("end")), "end").join(nodes.select(F.col("vid").alias("end")), "end", "left_anti")
     found = connected_components(follow.select(F.col("d").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("d"), "component")
     named = border.select("d").join(found, "d", "left").select("d", F.coalesce("component", "d").alias("least"))
-    number = named.select("least").distinct().withColumn("curve", (F.dense_rank().over(Window.orderBy("least")) - 1).cast("bigint"))
+    named = materialize(named, "curves")
+    number = numbered(named.select("least").distinct(), ["least"], "curve")
     return named.join(number, "least").select("d", "curve")
 
 
@@ -137,3 +163,198 @@ def clip(mesh: Mesh, table: DataFrame, marked: DataFrame, walls: DataFrame) -> M
     left = table.join(gone, "d", "left_anti").groupBy("vid").agg(F.min("d").alias("new"))
     vertices = mesh.vertices.join(left, "vid").select(F.col("new").alias("vid"), *mesh.axes)
     return mesh.with_(darts=darts, vertices=vertices)
+
+
+# capture: the boundary becomes edges of a grid mesh
+
+
+@dataclass(frozen=True)
+class Captured:
+    """A mesh with a captured boundary.
+
+    ``sides`` (d, u, v) names the points that darts run between: grid corners
+    first, then points of interest (``poi_base`` + 2 id) and crossings (odd
+    places); ``boundary`` (d, side) marks darts along it Left and against it Right;
+    ``nodes`` (vid, id) are the points of interest in the mesh.
+    """
+
+    mesh: Mesh
+    sides: DataFrame
+    boundary: DataFrame
+    nodes: DataFrame
+
+
+def kept_points(segments: DataFrame, hits: DataFrame, poi: DataFrame) -> DataFrame:
+    """(seg_id, s, key, kind): what the mesh keeps of each segment: its start if it is of interest (kind 0), and its crossings (kind 1, key = pos)."""
+    starts = segments.join(poi.select(F.col("id").alias("v0")).distinct(), "v0").select("seg_id", F.lit(0.0).alias("s"), F.col("v0").alias("key"), F.lit(0).alias("kind"))
+    return starts.unionByName(hits.select("seg_id", "s", F.col("pos").cast("bigint").alias("key"), F.lit(1).alias("kind")))
+
+
+def edge_data(segments: DataFrame, kept: DataFrame) -> DataFrame:
+    """(u, v): kept points (structs of kind, seg_id, key) that follow each other along the boundary.
+
+    Segments that keep nothing are skipped by pointer doubling, so a run of them
+    costs the logarithm of its length.  Loops without a crossing are left out: no
+    grid line ties them to the mesh.
+    """
+    crossed = kept.where("kind = 1").select("seg_id").distinct()
+    linked = segments.select(F.col("v0").alias("a"), F.col("v1").alias("b"))
+    loop = materialize(connected_components(linked), "capture-loops")
+    seg_loop = segments.join(loop.select(F.col("node").alias("v0"), "component"), "v0").select("seg_id", "component")
+    tied = materialize(seg_loop.join(crossed, "seg_id").select("component").distinct().join(seg_loop, "component").select("seg_id"), "capture-tied")
+    name = F.struct("kind", "seg_id", "key")
+    kept = materialize(kept.join(tied, "seg_id").select("seg_id", "s", "kind", name.alias("p")), "capture-kept")
+    along = Window.partitionBy("seg_id").orderBy("s", "kind", "p")
+    inner = kept.withColumn("v", F.lead("p").over(along)).where("v is not null").select(F.col("p").alias("u"), "v")
+    ends = kept.groupBy("seg_id").agg(F.min(F.struct("s", "kind", "p"))["p"].alias("first"), F.max(F.struct("s", "kind", "p"))["p"].alias("last"))
+    ends = materialize(ends, "capture-ends")
+    follow = segments.select("seg_id", F.col("v1").alias("v")).join(segments.select(F.col("v0").alias("v"), F.col("seg_id").alias("to")), "v").select("seg_id", "to")
+    follow = follow.join(tied, "seg_id")
+    state = materialize(follow.join(ends.select(F.col("seg_id").alias("to"), F.lit(True).alias("done")), "to", "left").select("seg_id", "to", F.coalesce("done", F.lit(False)).alias("done")), "capture-follow")
+    while not state.where("not done").isEmpty():
+        ahead = state.select(F.col("seg_id").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"))
+        state = state.join(ahead, "to", "left").select("seg_id", F.when(F.col("done"), F.col("to")).otherwise(F.col("to2")).alias("to"), (F.col("done") | F.coalesce("done2", F.lit(True))).alias("done"))
+        state = materialize(state.where("to is not null"), "capture-follow")
+    between = ends.select("seg_id", "last").join(state, "seg_id").join(ends.select(F.col("seg_id").alias("to"), "first"), "to").select(F.col("last").alias("u"), F.col("first").alias("v"))
+    return inner.unionByName(between)
+
+
+def insert_boundary(points: DataFrame, segments: DataFrame, poi: DataFrame, n_cells: tuple[int, int], cell: tuple[float, float], origin: tuple[float, float]) -> Captured:
+    """The grid with the boundary's crossings as vertices and its pieces as edges.
+
+    Between two crossings the boundary is drawn straight, by way of its points of
+    interest.  A crossing of two lines at once is the grid's corner itself.
+    """
+    nx, ny = n_cells
+    spark = points.sparkSession
+    hits = materialize(grid_intersections(segments, points, cell, origin), "capture-hits")
+    corners = spark.range((nx + 1) * (ny + 1)).select("id", (F.lit(origin[0]) + F.col("id") % (nx + 1) * cell[0]).alias("x"), (F.lit(origin[1]) + F.floor(F.col("id") / (nx + 1)) * cell[1]).alias("y"))
+    base = (nx + 1) * (ny + 1)
+    # Crossings by the grid edge they lie on; one at a corner is that corner.
+    along = F.when(F.col("axis") == "x", (F.col("y") - origin[1]) / cell[1]).otherwise((F.col("x") - origin[0]) / cell[0])
+    placed = hits.withColumn("along", along).withColumn("step", F.floor("along").cast("bigint"))
+    twice = hits.groupBy("seg_id", "s").agg(F.countDistinct("axis").alias("axes")).where("axes = 2").select("seg_id", "s", F.lit(True).alias("twice"))
+    placed = placed.join(twice, ["seg_id", "s"], "left")
+    line, step = F.col("line").cast("bigint"), F.col("step")
+    corner = F.when(F.col("axis") == "x", line + (nx + 1) * F.round("along").cast("bigint")).otherwise(F.round("along").cast("bigint") + (nx + 1) * line)
+    at_corner = F.coalesce("twice", F.lit(False)) | (F.col("along") == F.round("along"))
+    placed = numbered(materialize(placed.withColumn("corner", F.when(at_corner, corner)), "capture-placed"), ["seg_id", "pos"], "nth")
+    placed = materialize(placed.withColumn("point", F.coalesce("corner", F.lit(base) + 2 * F.col("nth") + 1)), "capture-crossings")
+    start = F.when(F.col("axis") == "x", line + (nx + 1) * step).otherwise(step + (nx + 1) * line)
+    step_to = F.when(F.col("axis") == "x", F.lit(nx + 1)).otherwise(F.lit(1))
+    on_edge = placed.where("corner is null").select(start.alias("a"), (start + step_to).alias("b"), "along", "point")
+    # Grid edges in pieces between their crossings.
+    i, j = F.col("id") % (nx + 1), F.floor(F.col("id") / (nx + 1))
+    grid_edges = corners.where(i < nx).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(corners.where(j < ny).select(F.col("id").alias("a"), (F.col("id") + nx + 1).alias("b")))
+    whole = grid_edges.join(on_edge.select("a", "b").distinct(), ["a", "b"], "left_anti").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    order = Window.partitionBy("a", "b").orderBy("along", "point")
+    pieces = on_edge.select("a", "b", F.coalesce(F.lag("point").over(order), F.col("a")).alias("u"), F.col("point").alias("v"), F.lead("point").over(order).isNull().alias("last"))
+    pieces = pieces.select("u", "v").union(pieces.where("last").select(F.col("v").alias("u"), F.col("b").alias("v")))
+    # Boundary pieces, by point numbers.
+    data = materialize(edge_data(segments, kept_points(segments, hits, poi)), "capture-edges")
+    number = placed.select("seg_id", F.col("pos").cast("bigint").alias("key"), F.col("point").cast("bigint").alias("point"))
+    for end in ("u", "v"):
+        named = data.select("*", F.col(f"{end}.kind").alias("kind"), F.col(f"{end}.seg_id").alias("seg_id"), F.col(f"{end}.key").alias("key"))
+        crossing = named.where("kind = 1").join(number, ["seg_id", "key"]).withColumn(f"{end}_id", F.col("point")).drop("point")
+        of_interest = named.where("kind = 0").withColumn(f"{end}_id", F.lit(base) + 2 * F.col("key"))
+        data = crossing.unionByName(of_interest).drop("kind", "seg_id", "key")
+    chain = materialize(data.select(F.col("u_id").alias("u"), F.col("v_id").alias("v")).where("u <> v").distinct(), "capture-chain")
+    used = chain.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    poi_points = points.select((F.lit(base) + 2 * F.col("id")).alias("id"), "x", "y").join(used, "id")
+    all_points = corners.unionByName(placed.where("corner is null").select(F.col("point").alias("id"), "x", "y")).unionByName(poi_points)
+    all_points = materialize(all_points, "capture-points")
+    edges = materialize(whole.union(pieces).union(chain.select("u", "v")).distinct(), "capture-drawing")
+    x1, y1 = (all_points.where(F.col("id") == base - 1).select("x", "y").head())
+    mesh, sides = mesh_of_edges(all_points, edges, outside_of_box(float(origin[0]), float(origin[1]), float(x1), float(y1)), "captured")
+    left = sides.join(chain, ["u", "v"]).select("d", F.lit(LEFT).alias("side"))
+    right = sides.join(chain.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"]).select("d", F.lit(RIGHT).alias("side"))
+    boundary = materialize(left.unionByName(right).dropDuplicates(["d"]), "capture-boundary")
+    names = mesh.vertices.select("vid")
+    nodes = sides.where((F.col("u") >= base) & ((F.col("u") - base) % 2 == 0)).groupBy("u").agg(F.min("d").alias("vid")).join(names, "vid").select("vid", ((F.col("u") - base) / 2).cast("bigint").alias("id"))
+    return Captured(mesh, sides, boundary, materialize(nodes, "capture-nodes"))
+
+
+def clip_side(captured: Captured, side: str) -> Captured:
+    """Delete what lies on one side of the boundary: faces reached from its darts of that side without crossing it.
+
+    A region that has darts of both sides is an error: the boundary is open or
+    its loops are oriented against each other.
+    """
+    if side not in (LEFT, RIGHT):
+        raise MeshError("side must be Left or Right")
+    mesh, table = captured.mesh, cells(captured.mesh)
+    marked = materialize(captured.boundary.join(table.select("d", "eid", "fid"), "d"), "clip-marked")
+    walls = marked.select("eid").distinct()
+    regions = materialize(flood(table.select("fid").distinct(), shared_edges(mesh, table), walls), "clip-sides")
+    if not marked.join(regions, "fid").groupBy("region").agg(F.countDistinct("side").alias("n")).where("n > 1").isEmpty():
+        raise MeshError("inconsistent orientation between boundaries")
+    out = clip(mesh, table, marked.where(F.col("side") == side).select("fid").distinct(), walls)
+    left = out.darts.where("not unused").select("d")
+    # Vertices were named by the least dart that is left at each point.
+    moved = captured.sides.join(left, "d").groupBy("u").agg(F.min("d").alias("now"))
+    nodes = captured.sides.join(captured.nodes.select(F.col("vid").alias("d"), "id"), "d").select("u", "id").join(moved, "u").select(F.col("now").alias("vid"), "id")
+    return Captured(out, captured.sides.join(left, "d"), captured.boundary.join(left, "d"), materialize(nodes, "clip-nodes"))
+
+
+def grisubal(points: DataFrame, segments: DataFrame, poi: DataFrame, cell: tuple[float, float], side: str | None = None, keep_all_poi: bool = False) -> Captured:
+    """Capture a boundary in a grid of ``cell`` lengths; ``side`` (Left or Right) is clipped if it is given.
+
+    Points that several segments start or end at are an error.  Points of interest
+    on grid lines are left out unless ``keep_all_poi``.
+    """
+    if not orientation_issues(segments).isEmpty():
+        raise MeshError("inconsistent orientation in the boundary")
+    n_cells, origin = overlapping_grid(points, cell)
+    poi = poi if keep_all_poi else redundant_poi(points, poi, cell, origin)
+    captured = insert_boundary(points, segments, materialize(poi, "capture-poi"), n_cells, cell, origin)
+    return clip_side(captured, side) if side else captured
+
+
+def capture_geometry(points: DataFrame, segments: DataFrame, poi: DataFrame, cell: tuple[float, float], side: str | None = None) -> Captured:
+    """:func:`grisubal` with all points of interest, which become anchored nodes."""
+    return grisubal(points, segments, poi, cell, side, keep_all_poi=True)
+
+
+def classify(mesh: Mesh, nodes: DataFrame) -> dict[str, DataFrame]:
+    """Anchors of a captured mesh: vertex (vid, dim, id), edge (eid, dim, id) and face (fid, dim, id).
+
+    Nodes have dimension 0, boundary curves between nodes 1, and surfaces, the
+    faces within them, 2; what lies on a curve takes it, all else its surface.
+    """
+    table = cells(mesh)
+    used = mesh.darts.where("not unused").select("d")
+    table = materialize(table.join(used, "d", "left_semi"), "classify-cells")
+    curves = materialize(boundary_curves(mesh, table, nodes).join(table.select("d", "vid", "eid"), "d"), "classify-curves")
+    surfaces = materialize(classify_surfaces(mesh, table, curves.select("eid")), "classify-surfaces")
+    faces = surfaces.select("fid", F.lit(2).alias("dim"), F.col("surface").alias("id"))
+    of_face = table.join(surfaces, "fid")
+    anchor = lambda dim, value: F.struct(F.lit(dim).alias("dim"), F.col(value).cast("bigint").alias("id"))
+    edges = of_face.select("eid", anchor(2, "surface").alias("a")).union(curves.select("eid", anchor(1, "curve").alias("a"))).groupBy("eid").agg(F.min("a").alias("a"))
+    ends = curves.join(mesh.darts.select("d", "b1"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1")
+    on_curve = curves.select("vid", "curve").union(ends.select("w", "curve"))
+    vertices = of_face.select("vid", anchor(2, "surface").alias("a")).union(on_curve.select("vid", anchor(1, "curve").alias("a"))).union(nodes.select("vid", anchor(0, "id").alias("a")))
+    vertices = vertices.groupBy("vid").agg(F.min("a").alias("a"))
+    return {"vertex": vertices.select("vid", "a.dim", "a.id"), "edge": edges.select("eid", "a.dim", "a.id"), "face": faces}
+
+
+def first_mesh(points: DataFrame, segments: DataFrame, poi: DataFrame, cell: tuple[float, float], side: str | None = None) -> tuple[Mesh, dict[str, DataFrame]]:
+    """Capture, classify and cut into triangles: a triangle mesh and its anchors.
+
+    Edges and vertices of the captured mesh keep their anchors; new edges and the
+    triangles take the anchor of the face that they lie in.
+    """
+    captured = capture_geometry(points, segments, poi, cell, side)
+    mesh = captured.mesh
+    anchors = classify(mesh, captured.nodes)
+    table = cells(mesh)
+    found = materialize(triangulate(mesh, table, "earclip").where("tri > 0"), "first-triangles")
+    loops = found.select(F.struct("fid", "tri").alias("f"), F.posexplode(F.array("v0", "v1", "v2")).alias("k", "u"))
+    out, sides = mesh_of_loops(loops, mesh.vertices.withColumnRenamed("vid", "id"), "first-mesh")
+    new = materialize(sides.join(cells(out), "d"), "first-cells")
+    ends = mesh.darts.where("not unused").join(table.select("d", "vid", "eid"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1")
+    old_edge = ends.join(anchors["edge"], "eid").select(F.col("vid").alias("u"), F.col("w").alias("v"), F.struct("dim", "id").alias("old"))
+    of_face = new.select("eid", "u", "v", F.col("f.fid").alias("of")).join(anchors["face"].withColumnRenamed("fid", "of"), "of")
+    edge = of_face.join(old_edge, ["u", "v"], "left").groupBy("eid").agg(F.min(F.coalesce("old", F.struct("dim", "id"))).alias("a")).select("eid", "a.dim", "a.id")
+    face = new.select("fid", F.col("f.fid").alias("of")).distinct().join(anchors["face"].withColumnRenamed("fid", "of"), "of").select("fid", "dim", "id")
+    vertex = new.select("vid", "u").distinct().join(anchors["vertex"].withColumnRenamed("vid", "u"), "u").select("vid", "dim", "id")
+    return out, {"vertex": vertex, "edge": edge, "face": face}

@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh, MeshError
+from ..plans.numbering import numbered, running_sum
 from ..plans.storage import materialize
 from .cells import cells, face_corners
 from .edits import schedule, set_images
 from .measure import edge_lengths
-
-
-def _numbered(needs: DataFrame, key: str, first: int) -> DataFrame:
-    """(key, n) -> adds first_dart: a running sum of needs in key order, from ``first`` on."""
-    return needs.withColumn("first_dart", F.lit(first) + F.sum("n").over(Window.orderBy(key)) - F.col("n"))
+from .planar import mesh_of_loops
 
 
 def insert_vertices(mesh: Mesh, table: DataFrame, at: DataFrame) -> tuple[Mesh, DataFrame]:
@@ -42,7 +39,7 @@ def insert_vertices(mesh: Mesh, table: DataFrame, at: DataFrame) -> tuple[Mesh,
     good = asked.join(errors.select("eid"), "eid", "left_anti")
     rank = Window.partitionBy("eid").orderBy("t")
     good = good.withColumn("k", F.row_number().over(rank)).withColumn("m", F.count("*").over(Window.partitionBy("eid")))
-    needs = _numbered(good.groupBy("eid").agg((F.count("*") * F.when(F.max("b2") > 0, 2).otherwise(1)).alias("n")), "eid", first)
+    needs = running_sum(good.groupBy("eid").agg((F.count("*") * F.when(F.max("b2") > 0, 2).otherwise(1)).alias("n")), ["eid"], "n", "first_dart", first)
     good = materialize(good.join(needs.select("eid", "first_dart"), "eid"), "insert-good")
     own = F.col("first_dart") + F.col("k") - 1
     # On the other side the k-th point is the (m + 1 - k)-th met.
@@ -148,18 +145,9 @@ def triangulate(mesh: Mesh, table: DataFrame, method: str = "fan", left: bool =
 
 
 def mesh_of_triangles(triangles: DataFrame, points: DataFrame, corners: int = 3) -> Mesh:
-    """A 2-mesh from (v0, v1, v2): darts numbered by rank, opposite sides sewn by an equality join on their ends."""
+    """A 2-mesh from (v0, v1, v2): darts numbered by triangle, opposite sides sewn by an equality join on their ends."""
     names = [f"v{k}" for k in range(corners)]
-    ranked = triangles.select(*names).withColumn("f", F.row_number().over(Window.orderBy(*names)) - 1)
-    sides = F.array(*[F.struct(F.lit(k).alias("k"), F.col(names[k]).alias("u"), F.col(names[(k + 1) % corners]).alias("v")) for k in range(corners)])
-    side = materialize(ranked.select("f", F.inline(sides)).select((corners * F.col("f") + F.col("k") + 1).cast("bigint").alias("d"), (corners * F.col("f") + (F.col("k") + corners - 1) % corners + 1).cast("bigint").alias("b0"), (corners * F.col("f") + (F.col("k") + 1) % corners + 1).cast("bigint").alias("b1"), "u", "v"), "sides")
-    twin = side.groupBy(F.col("u").alias("v"), F.col("v").alias("u")).agg(F.min("d").alias("b2"))
-    darts = side.join(twin, ["u", "v"], "left").select("d", "b0", "b1", F.coalesce("b2", F.lit(0)).cast("bigint").alias("b2"), F.lit(False).alias("unused"), "u")
-    darts = materialize(darts, "triangle-darts")
-    mesh = Mesh(2, darts.drop("u"), points.limit(0).select(F.col("id").alias("vid"), "x", "y"))
-    table = cells(mesh)
-    vertices = darts.join(table.select("d", "vid"), "d").groupBy("vid").agg(F.min("u").alias("id")).join(points, "id").select("vid", "x", "y")
-    return mesh.with_(vertices=materialize(vertices, "triangle-vertices"))
+    return mesh_of_loops(triangles.select(F.struct(*names).alias("f"), F.posexplode(F.array(*names)).alias("k", "u")), points, "triangles")[0]
 
 
 def corners_of(mesh: Mesh, table: DataFrame) -> DataFrame:
@@ -188,7 +176,7 @@ def cut_long_edges(mesh: Mesh, longest: float, max_rounds: int = 40) -> Mesh:
         top = mesh.vertices.agg(F.max("vid")).head()[0]
         a, b = mesh.vertices.select("vid", F.col("x").alias("ax"), F.col("y").alias("ay")), mesh.vertices.select(F.col("vid").alias("w"), F.col("x").alias("bx"), F.col("y").alias("by"))
         middle = cut.where("d = eid").join(a, "vid").join(b, "w").select("eid", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-        middle = materialize(middle.withColumn("id", F.lit(top) + F.row_number().over(Window.orderBy("eid"))), "middles")
+        middle = materialize(numbered(middle, ["eid"], "id", top + 1), "middles")
         tri = corners_of(mesh, table)
         split = tri.join(cut.select("fid", "eid", F.col("vid").alias("u"), F.col("w")), "fid").join(middle.select("eid", F.col("id").alias("m")), "eid")
         apex = F.col("v0") + F.col("v1") + F.col("v2") - F.col("u") - F.col("w")
