@@ -26,16 +26,19 @@ class Attribute:
 
     ``bind`` is vertex, edge, face, volume or custom.  ``merge(l, r)`` joins two
     values, ``split(v)`` gives (left, right), ``merge_one(v)`` keeps or drops a lone
-    value; a law that is None is an error (InsufficientData) for the operation.
-    ``failed(l, r)`` marks merges that must fail.
+    value, ``merge_none()`` and ``split_none()`` give values where there was none; a
+    law that is None is an error for the operation (InsufficientData; FailedSplit
+    where there is a value to split).  ``failed(l, r)`` marks merges that must fail.
     """
 
     bind: str
     table: DataFrame
     merge: Callable[[Column, Column], Column]
-    split: Callable[[Column], tuple[Column, Column]] = lambda v: (v, v)
+    split: Callable[[Column], tuple[Column, Column]] | None = lambda v: (v, v)
     merge_one: Callable[[Column], Column] | None = None
     failed: Callable[[Column, Column], Column] | None = None
+    merge_none: Callable[[], Column] | None = None
+    split_none: Callable[[], tuple[Column, Column]] | None = None
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,10 @@ class Mesh:
     def contains_attribute(self, name: str) -> bool:
         return name in self.attrs
 
+    def n_attributes(self, name: str) -> int:
+        """Cells that have a value of an attribute."""
+        return self.attrs[name].table.where("value is not null").count()
+
     # counts
 
     def n_darts(self) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..mesh import Mesh, MeshError
@@ -147,9 +147,15 @@ def orbit(mesh: Mesh, policy: str | list[int], starts: DataFrame) -> DataFrame:
         seen = materialize(seen.unionByName(frontier), "orbit")
 
 
-def _by_start():
-    from pyspark.sql import Window
+def orbit_errors(mesh: Mesh, policy: str | list[int], starts: DataFrame) -> DataFrame:
+    """(start, err): starts whose walk can't begin: the null dart, unknown and unused ones."""
+    generators(mesh.dim, policy)
+    known = starts.select(F.col("d").alias("start")).distinct().join(mesh.darts.select(F.col("d").alias("start"), "unused"), "start", "left")
+    err = F.when(F.col("start") == 0, "NullDart").when(F.col("unused").isNull(), "UnknownDart").when(F.col("unused"), "UnusedDart")
+    return known.select("start", err.alias("err")).where("err is not null")
+
 
+def _by_start():
     return Window.partitionBy("start").orderBy("by")
 
 
@@ -159,7 +165,6 @@ def face_corners(mesh: Mesh, table: DataFrame) -> DataFrame:
     The face's open end, if any, comes last.  In three dimensions only the side
     of the id dart is walked.
     """
-    darts = mesh.darts.select("d", "b1")
     here = table.select("d", "fid", "vid")
     # Distance to the face's first dart, walking b1 backwards and stopping there.
     state = mesh.darts.join(here, "d").select("d", "fid", F.when(F.col("d") == F.col("fid"), F.col("d")).otherwise(F.col("b0")).alias("back"), F.when(F.col("d") == F.col("fid"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"))
@@ -168,7 +173,6 @@ def face_corners(mesh: Mesh, table: DataFrame) -> DataFrame:
         far = state.select(F.col("d").alias("back"), F.col("back").alias("back2"), F.col("steps").alias("steps2"))
         state = state.join(far, "back", "left").select("d", "fid", F.coalesce("back2", F.lit(0)).alias("back"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
         state = materialize(state, "corners")
-    del darts
     return state.where("back = fid").join(here.select("d", "vid"), "d").select("fid", F.col("steps").alias("pos"), "d", "vid")
 
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..mesh import Attribute, Mesh, MeshError, is_free
+from ..plans.numbering import numbered
 from ..plans.storage import materialize
 from .cells import cell_ids
 
@@ -32,15 +33,21 @@ def allocate(mesh: Mesh, n: int, unused: bool = False) -> tuple[Mesh, int]:
 
 def reserve(mesh: Mesh, n: int, start: int = 1) -> tuple[Mesh, DataFrame]:
     """Claim the first n unused darts from ``start`` on, going round; an error if there are fewer."""
-    order = Window.orderBy((F.col("d") < start).cast("int"), "d")
-    some = mesh.darts.where("unused").orderBy((F.col("d") < start).cast("int"), "d").limit(n)
-    taken = materialize(some.select("d", F.row_number().over(order).cast("bigint").alias("pos")), "reserved")
+    some = materialize(mesh.darts.where("unused").select("d", (F.col("d") < start).cast("int").alias("round")).orderBy("round", "d").limit(n), "reserved")
+    taken = materialize(numbered(some, ["round", "d"], "pos", 1).select("d", "pos"), "reserved")
     if taken.count() < n:
         raise MeshError(f"could not reserve {n} darts")
     darts = mesh.darts.join(taken.select("d", F.lit(True).alias("_taken")), "d", "left")
     return mesh.with_(darts=darts.withColumn("unused", F.col("unused") & F.col("_taken").isNull()).drop("_taken")), taken
 
 
+def claim(mesh: Mesh, which: DataFrame) -> tuple[Mesh, DataFrame]:
+    """Mark the darts in ``which`` (d) as used: (mesh, (d, was_unused)); unknown darts have no row."""
+    state = materialize(which.select("d").distinct().join(mesh.darts, "d").select("d", F.col("unused").alias("was_unused")), "claimed")
+    darts = mesh.darts.join(state.select("d", F.lit(True).alias("_claimed")), "d", "left")
+    return mesh.with_(darts=darts.withColumn("unused", F.col("unused") & F.col("_claimed").isNull()).drop("_claimed")), state
+
+
 def release(mesh: Mesh, which: DataFrame) -> tuple[Mesh, DataFrame]:
     """Free slots of the darts in ``which`` (d): (mesh, (d, ok, was_unused)); darts with images stay."""
     state = which.select("d").distinct().join(mesh.darts, "d").select("d", is_free(mesh.dim).alias("ok"), F.col("unused").alias("was_unused"))
@@ -213,6 +220,16 @@ def remove_values(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return table.join(gone.select(key), key, "left_anti")
 
 
+def replaced_values(table: DataFrame, key: str, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`write_values`, and for each key of ``new`` the row it had before, its other columns null if it had none."""
+    return write_values(table, key, new), new.select(key).join(table, key, "left")
+
+
+def taken_values(table: DataFrame, key: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`remove_values`, and for each key the row it had before, as :func:`replaced_values`."""
+    return remove_values(table, key, gone), gone.select(key).join(table, key, "left")
+
+
 def vertex_attribute(mesh: Mesh) -> Attribute:
     """Coordinates as an attribute: merged to the middle, duplicated on splits, kept alone."""
     value = F.struct(*[F.col(a) for a in mesh.axes])
@@ -227,46 +244,146 @@ def anchor_attribute(bind: str, table: DataFrame) -> Attribute:
     return Attribute(bind, table, merge, merge_one=lambda v: v, failed=failed)
 
 
+def edge_to_vertex(anchor: Column) -> Column:
+    """An edge's anchor as that of a vertex: a curve, surface or body stays what it is."""
+    return F.struct(anchor["dim"].alias("dim"), anchor["id"].alias("id"))
+
+
+face_to_vertex = face_to_edge = edge_to_vertex
+
+
+def anchor_dim(anchor: Column) -> Column:
+    """0 node, 1 curve, 2 surface, 3 body."""
+    return anchor["dim"]
+
+
 # sews
 
 
-def _regroup(mesh: Mesh, before: DataFrame, after: DataFrame, name: str, attribute: Attribute, joined: bool) -> DataFrame:
-    """The attribute's table after cells were joined (or split): values by old id -> values by new id.
+def _type(table: DataFrame):
+    return table.schema["value"].dataType
+
+
+def _joined_values(moved: DataFrame, attribute: Attribute) -> DataFrame:
+    """(new, value, err): values of cells that several old ones became, folded in the order of old ids, two at a time, by the attribute's laws."""
+    valued = moved.join(attribute.table.withColumnRenamed("cell_id", "old"), "old", "left")
+    rows = valued.groupBy("new").agg(F.array_sort(F.collect_list(F.struct("old", "value"))).alias("vs"))  # a cell's parts are bounded by its darts
+    kind = _type(attribute.table)
+    none = F.lit(None).cast(kind)
+
+    def step(acc, part):
+        left, right = acc["value"], part["value"]
+        both, neither = left.isNotNull() & right.isNotNull(), left.isNull() & right.isNull()
+        failed = F.coalesce(attribute.failed(left, right), F.lit(False)) if attribute.failed else F.lit(False)
+        lone = attribute.merge_one(F.coalesce(left, right)) if attribute.merge_one else none
+        nothing = attribute.merge_none() if attribute.merge_none else none
+        value = F.when(both, attribute.merge(left, right)).when(neither, nothing).otherwise(lone).cast(kind)
+        err = F.when(both & failed, "FailedMerge").when(neither, F.lit(None if attribute.merge_none else "InsufficientData")).when(~both, F.lit(None if attribute.merge_one else "InsufficientData"))
+        return F.struct(value.alias("value"), F.coalesce(acc["err"], err).alias("err"))
+
+    zero = F.struct(F.element_at("vs", 1)["value"].cast(kind).alias("value"), F.lit(None).cast("string").alias("err"))
+    folded = F.aggregate(F.slice("vs", 2, F.size("vs")), zero, step)
+    return rows.select("new", folded.alias("f")).select("new", "f.value", "f.err")
 
-    Values are folded in the order of old ids, two at a time, so a merge that is
-    no sum (a middle, say) has a defined result.
-    """
-    moved = before.select("d", F.col(name).alias("old")).join(after.select("d", F.col(name).alias("new")), "d").select("old", "new").distinct()
-    valued = moved.join(attribute.table.withColumnRenamed("cell_id", "old"), "old")
-    if joined:
-        rows = valued.groupBy("new").agg(F.array_sort(F.collect_list(F.struct("old", "value"))).alias("vs"))
-        # A cell's parts are bounded by its darts.
-        folded = F.aggregate(F.slice("vs", 2, F.size("vs")), F.element_at("vs", 1)["value"], lambda acc, v: attribute.merge(acc, v["value"]))
-        return rows.select(F.col("new").alias("cell_id"), F.when(F.size("vs") == 1, F.element_at("vs", 1)["value"]).otherwise(folded).alias("value"))
-    rank = Window.partitionBy("old").orderBy("new")
-    parts = valued.withColumn("k", F.row_number().over(rank)).withColumn("n", F.count("*").over(Window.partitionBy("old")))
-    left, right = attribute.split(F.col("value"))
-    return parts.select(F.col("new").alias("cell_id"), F.when(F.col("n") == 1, F.col("value")).when(F.col("k") == 1, left).otherwise(right).alias("value"))
 
+def _split_values_of(moved: DataFrame, attribute: Attribute) -> DataFrame:
+    """(new, value, err) of cells that were parts of one old one: each part in order of its id splits off the left value, the last keeps what is left."""
+    kind = _type(attribute.table)
+    parts = moved.groupBy("old").agg(F.array_sort(F.collect_list("new")).alias("news"))
+    rows = parts.join(attribute.table.withColumnRenamed("cell_id", "old"), "old", "left")
+    none = F.lit(None).cast(kind)
 
-def _carry(old: Mesh, new: Mesh, joined: bool, kinds: list[str]) -> Mesh:
-    """Vertices and attributes of the touched kinds follow the cells of the new topology."""
+    def halves(v):
+        left, right = attribute.split(v) if attribute.split else (none, none)
+        empty = attribute.split_none() if attribute.split_none else (none, none)
+        return [F.when(v.isNotNull(), x).otherwise(y).cast(kind) for x, y in zip((left, right), empty, strict=True)]
+
+    def step(acc, _):
+        left, right = halves(acc["rest"])
+        return F.struct(F.concat(acc["out"], F.array(left)).alias("out"), right.alias("rest"))
+
+    zero = F.struct(F.array().cast(f"array<{kind.simpleString()}>").alias("out"), F.col("value").cast(kind).alias("rest"))
+    walked = F.aggregate(F.slice("news", 2, F.size("news")), zero, step, lambda acc: F.concat(acc["out"], F.array(acc["rest"])))
+    err = F.when(F.col("value").isNull(), F.lit(None if attribute.split_none else "InsufficientData")).otherwise(F.lit(None if attribute.split else "FailedSplit"))
+    return rows.select(err.alias("err"), F.inline(F.arrays_zip(F.col("news").alias("new"), walked.alias("value")))).select("new", "value", "err")
+
+
+def _carry(before: dict[str, DataFrame], after: dict[str, DataFrame], old: Mesh, new: Mesh, joined: bool) -> tuple[Mesh, DataFrame]:
+    """Vertices and attributes of the touched kinds follow the cells of the new topology: (mesh, (kind, id, err) of cells whose law fails)."""
     names = {"vertex": "vid", "edge": "eid", "face": "fid"}
-    ids = {k: (materialize(cell_ids(old, k), "ids-before"), materialize(cell_ids(new, k), "ids-after")) for k in kinds}
-    vertices = _regroup(new, *ids["vertex"], "vid", vertex_attribute(old), joined)
-    vertices = vertices.select(F.col("cell_id").alias("vid"), *[F.col("value")[a].alias(a) for a in new.axes])
+    moved = {}
+    for k in before:
+        pairs = before[k].select("d", F.col(names[k]).alias("old")).join(after[k].select("d", F.col(names[k]).alias("new")), "d").select("old", "new").distinct()
+        moved[k] = materialize(pairs, "cells-moved")
+    errors = []
+
+    def table_of(k: str, attribute: Attribute) -> DataFrame:
+        key = "new" if joined else "old"
+        several = moved[k].groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+        touched = materialize(moved[k].join(several, key), "cells-touched")
+        found = materialize(_joined_values(touched, attribute) if joined else _split_values_of(touched, attribute), "cells-values")
+        errors.append(found.where("err is not null").select(F.lit(k).alias("kind"), F.col("new").alias("id"), "err"))
+        still = moved[k].join(touched.select("old").distinct(), "old", "left_anti")
+        rest = attribute.table.withColumnRenamed("cell_id", "old").join(still, "old").select(F.col("new").alias("cell_id"), "value")
+        return rest.unionByName(found.where("value is not null").select(F.col("new").alias("cell_id"), "value"))
+
+    vertices = table_of("vertex", vertex_attribute(old))
+    vertices = materialize(vertices.select(F.col("cell_id").alias("vid"), *[F.col("value")[a].alias(a) for a in new.axes]), "carried")
     attrs = {}
     for key, a in old.attrs.items():
-        table = _regroup(new, *ids[a.bind], names[a.bind], a, joined) if a.bind in ids else a.table
-        attrs[key] = Attribute(**{**a.__dict__, "table": table})
-    return new.with_(vertices=vertices, attrs=attrs)
+        attrs[key] = Attribute(**{**a.__dict__, "table": materialize(table_of(a.bind, a), "carried")}) if a.bind in moved else a
+    return new.with_(vertices=vertices, attrs=attrs), reduce(DataFrame.unionByName, errors)
 
 
 _TOUCHED = {1: ["vertex"], 2: ["vertex", "edge"], 3: ["vertex", "edge", "face"]}
 
 
+def _kinds(mesh: Mesh, i: int) -> list[str]:
+    """Cells that can join or come apart; vertices always, other kinds if an attribute is bound to them."""
+    bound = {a.bind for a in mesh.attrs.values()}
+    return [k for k in _TOUCHED[i] if k == "vertex" or k in bound]
+
+
+def _reached(mesh: Mesh, ops: DataFrame, i: int) -> DataFrame:
+    """(op_id, d): darts whose cells an operation on l and r can change: both, their next ones, and for i = 3 those of whole faces."""
+    pairs = _paired(mesh, ops)[0] if i == 3 else ops
+    ends = pairs.select("op_id", F.explode(F.array("l", "r")).alias("d")).where("d <> 0")
+    return ends.union(ends.join(mesh.darts.select("d", "b1"), "d").where("b1 <> 0").select("op_id", F.col("b1").alias("d"))).distinct()
+
+
+def _applied(mesh: Mesh, ops: DataFrame, i: int, joined: bool, change) -> tuple[Mesh, DataFrame]:
+    """Change the topology and carry values; operations at cells whose law fails are taken back, and the rest is done anew."""
+    kinds, refused, tried = _kinds(mesh, i), None, ops
+    before = {k: materialize(cell_ids(mesh, k), "ids-before") for k in kinds}
+    while True:
+        changed, result = change(mesh, tried, i)
+        changed = changed.with_(darts=materialize(changed.darts, "edited"))
+        after = {k: materialize(cell_ids(changed, k), "ids-after") for k in kinds}
+        out, errors = _carry(before, after, mesh, changed, joined)
+        errors = materialize(errors, "law-errors")
+        if errors.isEmpty():
+            return out, result if refused is None else result.unionByName(refused, allowMissingColumns=True)
+        done = materialize(result, "edit-results")
+        pairs = tried.join(done.where("ok").select("op_id"), "op_id")
+        if "r" not in pairs.columns:
+            pairs = pairs.join(done.select("op_id", "r"), "op_id")
+        reached = _reached(mesh, pairs.select("op_id", "l", "r"), i)
+        hit = reduce(DataFrame.union, [reached.join(after[k], "d").select("op_id", F.lit(k).alias("kind"), F.col(after[k].columns[1]).alias("id")) for k in kinds])
+        bad = hit.join(errors, ["kind", "id"]).groupBy("op_id").agg(F.min("err").alias("err"))
+        bad = materialize(bad.select("op_id", F.lit(False).alias("ok"), "err"), "refused")
+        if bad.isEmpty():
+            raise MeshError("a law fails at a cell that no operation touches")
+        refused = bad if refused is None else refused.unionByName(bad)
+        tried = materialize(tried.join(bad, "op_id", "left_anti"), "edits-left")
+
+
 def sew(mesh: Mesh, ops: DataFrame, i: int) -> tuple[Mesh, DataFrame]:
-    """Link and merge the cells that become one; 2- and 3-sews of edges in one direction fail with BadGeometry."""
+    """Link and merge the cells that become one: (mesh, (op_id, ok, err)).
+
+    2- and 3-sews of edges that run the same way fail with BadGeometry.  Where an
+    attribute's law fails (FailedMerge, InsufficientData), the operations at that
+    cell are not done and all others are.
+    """
     ops = materialize(ops.select("op_id", "l", "r"), "sews")
     result_bad = None
     if i >= 2:
@@ -279,34 +396,38 @@ def sew(mesh: Mesh, ops: DataFrame, i: int) -> tuple[Mesh, DataFrame]:
         side = lambda k: ways.select(F.col("d").alias(k), *[F.col(f"v{a}").alias(f"{k}{a}") for a in mesh.axes])
         same = g.dot(g.vec("l", mesh.dim), g.vec("r", mesh.dim)) >= 0
         result_bad = materialize(ops.join(side("l"), "l").join(side("r"), "r").where(same).select("op_id"), "sew-bad")
-        ops = ops.join(result_bad, "op_id", "left_anti")
-    linked, result = link(mesh, ops, i)
-    linked = linked.with_(darts=materialize(linked.darts, "sewn"))
-    out = _carry(mesh, linked, True, _TOUCHED[i])
+        ops = materialize(ops.join(result_bad, "op_id", "left_anti"), "sews")
+    out, result = _applied(mesh, ops, i, True, link)
     if result_bad is not None:
         result = result.unionByName(result_bad.select("op_id", F.lit(False).alias("ok"), F.lit("BadGeometry").alias("err")))
     return out, result
 
 
 def unsew(mesh: Mesh, ops: DataFrame, i: int) -> tuple[Mesh, DataFrame]:
-    """Unlink and split the values of cells that come apart."""
-    unlinked, result = unlink(mesh, ops, i)
-    unlinked = unlinked.with_(darts=materialize(unlinked.darts, "unsewn"))
-    return _carry(mesh, unlinked, False, _TOUCHED[i]), result
+    """Unlink and split the values of cells that come apart: (mesh, (op_id, ok, err, r)).
+
+    A cell of several parts is split two at a time, in the order of the parts' ids;
+    a failing law (InsufficientData, FailedSplit) undoes the operations there.
+    """
+    return _applied(mesh, materialize(ops.select("op_id", "l"), "unsews"), i, False, unlink)
+
+
+def ready(touched: DataFrame, in_order: bool = False) -> DataFrame:
+    """(op_id, key) -> (op_id): operations that are the first at all their keys, by a hash or, ``in_order``, by op_id."""
+    rank = F.struct("op_id") if in_order else F.struct(F.xxhash64("op_id"), F.col("op_id"))
+    first = touched.groupBy("key").agg(F.min(rank).alias("first"))
+    return touched.join(first, "key").groupBy("op_id").agg(F.min((F.col("first") == rank).cast("int")).alias("ok")).where("ok = 1").select("op_id")
 
 
-def schedule(touched: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(op_id, key) -> (op_id, round): in each round an operation runs if it is the first, by a hash, at all its keys."""
+def schedule(touched: DataFrame, max_rounds: int = 1000, in_order: bool = False) -> DataFrame:
+    """(op_id, key) -> (op_id, round): in each round an operation runs if it is the first (see :func:`ready`) at all its keys."""
     left, out = materialize(touched.select("op_id", "key").distinct(), "schedule"), None
     for n in range(max_rounds):
         if left.isEmpty():
             return out if out is not None else touched.select("op_id", F.lit(0).alias("round")).limit(0)
-        rank = F.struct(F.xxhash64("op_id"), F.col("op_id"))
-        first = left.groupBy("key").agg(F.min(rank).alias("first"))
-        ready = left.join(first, "key").groupBy("op_id").agg(F.min((F.col("first") == rank).cast("int")).alias("ok")).where("ok = 1").select("op_id")
-        ready = materialize(ready.select("op_id", F.lit(n).alias("round")), "schedule-round")
-        out = ready if out is None else out.unionByName(ready)
-        left = materialize(left.join(ready, "op_id", "left_anti"), "schedule")
+        now = materialize(ready(left, in_order).select("op_id", F.lit(n).alias("round")), "schedule-round")
+        out = now if out is None else out.unionByName(now)
+        left = materialize(left.join(now, "op_id", "left_anti"), "schedule")
     raise MeshError("the batch needs too many rounds")
 
 

@@ -13,8 +13,8 @@ from ..mesh import Mesh, MeshError
 from ..plans.numbering import numbered, running_sum
 from ..plans.storage import materialize
 from .cells import cells, face_corners
-from .edits import schedule, set_images
-from .measure import edge_lengths
+from .edits import ready, set_images
+from .measure import edge_lengths, shift
 from .planar import mesh_of_loops
 
 
@@ -197,85 +197,164 @@ def swappable(mesh: Mesh, table: DataFrame) -> DataFrame:
     return side.where("d = eid and b2 <> 0").join(other, "b2").select("eid", F.col("vid").alias("a"), F.col("w").alias("b"), F.col("apex").alias("l"), "r")
 
 
+def _pairs(mesh: Mesh, table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(eid, a, b): wanted edges by their ends, the smaller first; edges keep their name while darts are renumbered."""
+    ends = mesh.darts.join(table.select("d", "eid", "vid"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1").where("d = eid")
+    return ends.join(wanted.select("eid").distinct(), "eid").select("eid", F.least("vid", "w").alias("a"), F.greatest("vid", "w").alias("b"))
+
+
+def _rebuilt(triangles: DataFrame, points: DataFrame, name: str) -> tuple[Mesh, DataFrame]:
+    """The mesh of (v0, v1, v2) over points (id, x, y), and (old, vid): each point's vertex in it."""
+    loops = materialize(triangles, f"{name}-triangles").select(F.struct("v0", "v1", "v2").alias("f"), F.posexplode(F.array("v0", "v1", "v2")).alias("k", "u"))
+    mesh, sides = mesh_of_loops(loops, materialize(points, f"{name}-points"), name)
+    return mesh, materialize(sides.groupBy(F.col("u").alias("old")).agg(F.min("d").alias("vid")), f"{name}-names")
+
+
+def _renamed(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """The rows with a vertex column in the new mesh's names; rows of vertices that are gone go."""
+    return rows.join(names.select(F.col("old").alias(column), F.col("vid").alias("_now")), column).withColumn(column, F.col("_now")).drop("_now")
+
+
+def _sides_of(mesh: Mesh, table: DataFrame, left: DataFrame) -> DataFrame:
+    """(id, eid, a, b, l, r): edges still wanted (id, a, b) as sides of two triangles, as the mesh is now."""
+    quads = swappable(mesh, table).withColumn("p", F.least("a", "b")).withColumn("q", F.greatest("a", "b"))
+    return quads.join(left.select("id", F.col("a").alias("p"), F.col("b").alias("q")), ["p", "q"]).drop("p", "q")
+
+
+def _at(mesh: Mesh, v: str, k: str) -> DataFrame:
+    return mesh.vertices.select(F.col("vid").alias(v), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+
+
 def swap_edges(mesh: Mesh, wanted: DataFrame) -> tuple[Mesh, DataFrame]:
     """Flip edges (eid) between two triangles where the result stays oriented: (mesh, flipped eids).
 
-    Edges that share a triangle go in the order of :func:`schedule`; only its first round is flipped.
+    Edges that share a triangle take turns: a round flips those that come first at
+    both their triangles, the others are judged again on the changed mesh, until no
+    wanted edge can be flipped.  Every edge is flipped once at most.
     """
-    table = cells(mesh)
-    quads = swappable(mesh, table).join(wanted.select("eid"), "eid")
-    at = lambda v, k: mesh.vertices.select(F.col("vid").alias(v), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
-    placed = quads.join(at("a", "a"), "a").join(at("b", "b"), "b").join(at("l", "l"), "l").join(at("r", "r"), "r")
-    turn = lambda p, q, s: (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{s}y") - F.col(f"{q}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{s}x") - F.col(f"{q}x"))
-    fine = materialize(placed.where((turn("l", "a", "r") > 0) & (turn("r", "b", "l") > 0)).select("eid", "a", "b", "l", "r"), "swaps")
-    touched = fine.join(table.select("eid", "fid"), "eid").select(F.col("eid").alias("op_id"), F.col("fid").alias("key"))
-    done = fine.join(schedule(touched).where("round = 0").select(F.col("op_id").alias("eid")), "eid")
-    done = materialize(done, "swapped")
-    gone = table.join(done.select("eid"), "eid", "left_semi").select("fid").distinct()
-    kept = corners_of(mesh, table).join(gone, "fid", "left_anti").select("v0", "v1", "v2")
-    new = done.select(F.inline(F.array(F.struct(F.col("l").alias("v0"), F.col("a").alias("v1"), F.col("r").alias("v2")), F.struct(F.col("r").alias("v0"), F.col("b").alias("v1"), F.col("l").alias("v2")))))
-    points = mesh.vertices.select(F.col("vid").alias("id"), "x", "y")
-    return mesh_of_triangles(materialize(kept.unionByName(new), "swap-triangles"), points), done.select("eid")
+    left = materialize(_pairs(mesh, cells(mesh), wanted).withColumnRenamed("eid", "id"), "swaps-wanted")
+    flipped = left.select(F.col("id").alias("eid")).limit(0)
+    while True:
+        table = cells(mesh)
+        quads = _sides_of(mesh, table, left)
+        placed = quads.join(_at(mesh, "a", "a"), "a").join(_at(mesh, "b", "b"), "b").join(_at(mesh, "l", "l"), "l").join(_at(mesh, "r", "r"), "r")
+        turn = lambda p, q, s: (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{s}y") - F.col(f"{q}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{s}x") - F.col(f"{q}x"))
+        fine = materialize(placed.where((turn("l", "a", "r") > 0) & (turn("r", "b", "l") > 0)).select("id", "eid", "a", "b", "l", "r"), "swaps")
+        if fine.isEmpty():
+            return mesh, flipped
+        # Two edges between the same apexes may not both be flipped: the new edge is a key of its own.
+        touched = fine.join(table.select("eid", "fid"), "eid").select(F.col("id").alias("op_id"), F.col("fid").cast("string").alias("key"))
+        touched = touched.union(fine.select(F.col("id").alias("op_id"), F.concat_ws(":", F.least("l", "r"), F.greatest("l", "r")).alias("key")))
+        done = materialize(fine.join(ready(touched).withColumnRenamed("op_id", "id"), "id"), "swapped")
+        gone = table.join(done.select("eid"), "eid", "left_semi").select("fid").distinct()
+        kept = corners_of(mesh, table).join(gone, "fid", "left_anti").select("v0", "v1", "v2")
+        new = done.select(F.inline(F.array(F.struct(F.col("l").alias("v0"), F.col("a").alias("v1"), F.col("r").alias("v2")), F.struct(F.col("r").alias("v0"), F.col("b").alias("v1"), F.col("l").alias("v2")))))
+        mesh, names = _rebuilt(kept.unionByName(new), mesh.vertices.withColumnRenamed("vid", "id"), "swap")
+        flipped = materialize(flipped.union(done.select("id")), "swaps-done")
+        left = left.join(done.select("id"), "id", "left_anti")
+        left = _renamed(_renamed(left, names, "a"), names, "b")
+        left = materialize(left.select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "swaps-wanted")
 
 
 def collapse_edges(mesh: Mesh, wanted: DataFrame) -> tuple[Mesh, DataFrame]:
-    """Collapse interior edges (eid) of a triangle mesh to their middle: (mesh, collapsed eids).
+    """Collapse interior edges (eid) of a triangle mesh to their middle: (mesh, collapsed eids); see :func:`collapse_anchored`."""
+    mesh, done, _ = collapse_anchored(mesh, wanted)
+    return mesh, done
+
 
-    Refused where an end lies on the boundary, where the ends have more than two
-    common neighbours, or where a triangle would turn over.  Edges whose ends'
-    triangles meet go in the order of :func:`schedule`; its first round is done.
+def collapse_anchored(mesh: Mesh, wanted: DataFrame, vertex_anchors: DataFrame | None = None, edge_anchors: DataFrame | None = None) -> tuple[Mesh, DataFrame, DataFrame | None]:
+    """Collapse edges (eid) of a triangle mesh: (mesh, collapsed eids, vertex anchors in the new mesh).
+
+    Without anchors an edge collapses to its middle.  With anchors (vid, dim, id)
+    and (eid, dim, id) the end of lower dimension stays where it is (equal anchors:
+    the middle), ends of one dimension with other ids don't collapse, and the edge
+    must have the dimension of one end.  Refused too where an end lies on the
+    boundary, where the ends have other than two common neighbours, or where a
+    triangle would turn over.  Edges whose surroundings meet take turns until no
+    wanted edge can collapse; a refused edge holds nobody up.
     """
     table = cells(mesh)
-    quads = swappable(mesh, table).join(wanted.select("eid"), "eid")
-    border = mesh.darts.where("not unused and b2 = 0").join(table.select("d", "vid"), "d").select("vid")
-    ends = mesh.darts.join(table.select("d", "vid"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1")
-    border = materialize(border.union(ends.where("b2 = 0").select("w")).distinct(), "border")
-    inner = quads.join(border.select(F.col("vid").alias("a")), "a", "left_anti").join(border.select(F.col("vid").alias("b")), "b", "left_anti")
-    near = ends.select("vid", "w").union(ends.select("w", "vid")).distinct()
-    near = materialize(near, "near")
-    common = inner.join(near.select(F.col("vid").alias("a"), F.col("w").alias("c")), "a").join(near.select(F.col("vid").alias("b"), F.col("w").alias("c")), ["b", "c"]).groupBy("eid").agg(F.count("*").alias("n")).where("n = 2").select("eid")
-    inner = materialize(inner.join(common, "eid"), "collapsible")
-    tri = materialize(corners_of(mesh, table), "collapse-corners")
-    corner = tri.select("fid", F.explode(F.array("v0", "v1", "v2")).alias("v"))
-    around = inner.select("eid", F.explode(F.array("a", "b")).alias("v")).join(corner, "v").select("eid", "fid").distinct()
-    touched = around.join(tri, "fid").select(F.col("eid").alias("op_id"), F.explode(F.array("v0", "v1", "v2")).alias("key"))
-    chosen = inner.join(schedule(touched).where("round = 0").select(F.col("op_id").alias("eid")), "eid")
-    at = lambda v, k: mesh.vertices.select(F.col("vid").alias(v), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
-    middle = materialize(chosen.join(at("a", "a"), "a").join(at("b", "b"), "b").select("eid", "a", "b", ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my")), "collapse-middles")
-    # Triangles around either end, with the ends at the middle; those of the edge itself vanish.
-    keep = around.join(middle, "eid").join(tri, "fid")
-    has = lambda v: (F.col("v0") == F.col(v)) | (F.col("v1") == F.col(v)) | (F.col("v2") == F.col(v))
-    keep = keep.where(~(has("a") & has("b")))
-    for k in range(3):
-        keep = keep.join(at(f"v{k}", f"p{k}"), f"v{k}")
-        moved = (F.col(f"v{k}") == F.col("a")) | (F.col(f"v{k}") == F.col("b"))
-        keep = keep.withColumn(f"p{k}x", F.when(moved, F.col("mx")).otherwise(F.col(f"p{k}x"))).withColumn(f"p{k}y", F.when(moved, F.col("my")).otherwise(F.col(f"p{k}y")))
-    area = (F.col("p1x") - F.col("p0x")) * (F.col("p2y") - F.col("p1y")) - (F.col("p1y") - F.col("p0y")) * (F.col("p2x") - F.col("p1x"))
-    turned = keep.where(area <= 0).select("eid").distinct()
-    done = materialize(middle.join(turned, "eid", "left_anti"), "collapsed")
-    renamed = done.select(F.col("b").alias("v"), F.col("a").alias("to"))
-    out = tri.select("v0", "v1", "v2")
-    for k in range(3):
-        out = out.join(renamed.select(F.col("v").alias(f"v{k}"), F.col("to").alias(f"t{k}")), f"v{k}", "left").withColumn(f"v{k}", F.coalesce(f"t{k}", f"v{k}")).drop(f"t{k}")
-    out = out.where("v0 <> v1 and v1 <> v2 and v2 <> v0").select("v0", "v1", "v2")
-    points = mesh.vertices.join(done.select(F.col("b").alias("vid")), "vid", "left_anti").join(done.select(F.col("a").alias("vid"), "mx", "my"), "vid", "left")
-    points = points.select(F.col("vid").alias("id"), F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y"))
-    return mesh_of_triangles(materialize(out, "collapse-triangles"), materialize(points, "collapse-points")), done.select("eid")
-
-
-def remesh(mesh: Mesh, target: float, tolerance: float = 0.25, n_rounds: int = 3) -> Iterator[Mesh]:
-    """Rounds of cutting long edges, collapsing short ones, and swapping edges whose swap nears the target length."""
+    left = _pairs(mesh, table, wanted).withColumnRenamed("eid", "id")
+    if edge_anchors is not None:
+        left = left.join(edge_anchors.select(F.col("eid").alias("id"), F.col("dim").alias("edge_dim")), "id", "left")
+    left = materialize(left, "collapse-wanted")
+    collapsed = left.select(F.col("id").alias("eid")).limit(0)
+    while True:
+        quads = _sides_of(mesh, table, left).withColumn("share", F.lit(0.5))
+        if vertex_anchors is not None and edge_anchors is not None:
+            anchor = lambda v: vertex_anchors.select(F.col("vid").alias(v), F.struct("dim", "id").alias(f"{v}_anchor"))  # noqa: B023, E731
+            quads = quads.join(anchor("a"), "a", "left").join(anchor("b"), "b", "left").join(left.select("id", "edge_dim"), "id")
+            ad, bd, ai, bi = F.col("a_anchor.dim"), F.col("b_anchor.dim"), F.col("a_anchor.id"), F.col("b_anchor.id")
+            quads = quads.where(((ad != bd) | (ai == bi)) & ((F.col("edge_dim") == ad) | (F.col("edge_dim") == bd)))
+            quads = quads.withColumn("share", F.when(ad == bd, 0.5).when(ad < bd, 0.0).otherwise(1.0))
+        ends = mesh.darts.join(table.select("d", "vid"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1")
+        border = ends.where("not unused and b2 = 0")
+        border = materialize(border.select("vid").union(border.select("w")).distinct(), "border")
+        inner = quads.join(border.select(F.col("vid").alias("a")), "a", "left_anti").join(border.select(F.col("vid").alias("b")), "b", "left_anti")
+        near = materialize(ends.select("vid", "w").union(ends.select("w", "vid")).distinct(), "near")
+        common = inner.join(near.select(F.col("vid").alias("a"), F.col("w").alias("c")), "a").join(near.select(F.col("vid").alias("b"), F.col("w").alias("c")), ["b", "c"]).groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")
+        inner = materialize(inner.join(common, "id"), "collapsible")
+        tri = materialize(corners_of(mesh, table), "collapse-corners")
+        corner = tri.select("fid", F.explode(F.array("v0", "v1", "v2")).alias("v"))
+        around = inner.select("id", F.explode(F.array("a", "b")).alias("v")).join(corner, "v").select("id", "fid").distinct()
+        part = lambda k: F.col(f"a{k}") + F.col("share") * (F.col(f"b{k}") - F.col(f"a{k}"))
+        middle = inner.join(_at(mesh, "a", "a"), "a").join(_at(mesh, "b", "b"), "b").select("id", "a", "b", "share", part("x").alias("mx"), part("y").alias("my"))
+        middle = materialize(middle, "collapse-middles")
+        # Triangles around either end, with the ends at their new place; those of the edge itself vanish.
+        keep = around.join(middle, "id").join(tri, "fid")
+        has = lambda v: (F.col("v0") == F.col(v)) | (F.col("v1") == F.col(v)) | (F.col("v2") == F.col(v))
+        keep = keep.where(~(has("a") & has("b")))
+        for k in range(3):
+            keep = keep.join(_at(mesh, f"v{k}", f"p{k}"), f"v{k}")
+            moved = (F.col(f"v{k}") == F.col("a")) | (F.col(f"v{k}") == F.col("b"))
+            keep = keep.withColumn(f"p{k}x", F.when(moved, F.col("mx")).otherwise(F.col(f"p{k}x"))).withColumn(f"p{k}y", F.when(moved, F.col("my")).otherwise(F.col(f"p{k}y")))
+        area = (F.col("p1x") - F.col("p0x")) * (F.col("p2y") - F.col("p1y")) - (F.col("p1y") - F.col("p0y")) * (F.col("p2x") - F.col("p1x"))
+        fine = materialize(middle.join(keep.where(area <= 0).select("id").distinct(), "id", "left_anti"), "collapse-fine")
+        if fine.isEmpty():
+            return mesh, collapsed, vertex_anchors
+        touched = around.join(fine.select("id"), "id").join(tri, "fid").select(F.col("id").alias("op_id"), F.explode(F.array("v0", "v1", "v2")).alias("key"))
+        done = materialize(fine.join(ready(touched.distinct()).withColumnRenamed("op_id", "id"), "id"), "collapsed")
+        renamed = done.select(F.col("b").alias("v"), F.col("a").alias("to"))
+        out = tri.select("v0", "v1", "v2")
+        for k in range(3):
+            out = out.join(renamed.select(F.col("v").alias(f"v{k}"), F.col("to").alias(f"t{k}")), f"v{k}", "left").withColumn(f"v{k}", F.coalesce(f"t{k}", f"v{k}")).drop(f"t{k}")
+        out = out.where("v0 <> v1 and v1 <> v2 and v2 <> v0").select("v0", "v1", "v2")
+        points = mesh.vertices.join(done.select(F.col("b").alias("vid")), "vid", "left_anti").join(done.select(F.col("a").alias("vid"), "mx", "my"), "vid", "left")
+        points = points.select(F.col("vid").alias("id"), F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y"))
+        mesh, names = _rebuilt(out, points, "collapse")
+        collapsed = materialize(collapsed.union(done.select("id")), "collapse-done")
+        merged = lambda rows, c: rows.join(renamed.select(F.col("v").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
+        left = merged(merged(left.join(done.select("id"), "id", "left_anti"), "a"), "b").where("a <> b")
+        left = _renamed(_renamed(left, names, "a"), names, "b")
+        left = materialize(left.withColumn("p", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).withColumn("a", F.col("p")).drop("p"), "collapse-wanted")
+        if vertex_anchors is not None:
+            # The lower dimension of the two ends is the new vertex's.
+            both = _renamed(merged(vertex_anchors.select("vid", "dim", "id"), "vid"), names, "vid")
+            vertex_anchors = materialize(both.groupBy("vid").agg(F.min(F.struct("dim", "id")).alias("m")).select("vid", "m.dim", "m.id"), "collapse-anchors")
+        table = cells(mesh)
+
+
+def remesh(mesh: Mesh, target: float, tolerance: float = 0.25, n_rounds: int = 3, n_relax: int = 1, early: bool = False) -> Iterator[Mesh]:
+    """Rounds of relaxing inner vertices, cutting long edges, collapsing short ones, and swapping edges whose swap nears the target length.
+
+    ``early`` ends the rounds when all edges are within the tolerance.
+    """
     for _ in range(n_rounds):
+        table = cells(mesh)
+        if n_relax:
+            mesh = shift(mesh, table, n_relax)
+        lengths = edge_lengths(mesh, table)
+        if early and lengths.where(F.abs(F.col("length") - target) > target * tolerance).isEmpty():
+            return
         mesh = cut_long_edges(mesh, target * (1 + tolerance))
         table = cells(mesh)
         short = edge_lengths(mesh, table).where(F.col("length") < target * (1 - tolerance)).select("eid")
-        mesh, _ = collapse_edges(mesh, short)
+        mesh, _ = collapse_edges(mesh, materialize(short, "short-edges"))
         table = cells(mesh)
         quads = swappable(mesh, table)
-        at = lambda v, k, m=mesh: m.vertices.select(F.col("vid").alias(v), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
-        placed = quads.join(at("a", "a"), "a").join(at("b", "b"), "b").join(at("l", "l"), "l").join(at("r", "r"), "r")
+        placed = quads.join(_at(mesh, "a", "a"), "a").join(_at(mesh, "b", "b"), "b").join(_at(mesh, "l", "l"), "l").join(_at(mesh, "r", "r"), "r")
         error = lambda p, q: F.abs(F.hypot(F.col(f"{p}x") - F.col(f"{q}x"), F.col(f"{p}y") - F.col(f"{q}y")) - target)
-        mesh, _ = swap_edges(mesh, placed.where(error("l", "r") < error("a", "b")).select("eid"))
+        mesh, _ = swap_edges(mesh, materialize(placed.where(error("l", "r") < error("a", "b")).select("eid"), "better-edges"))
         yield mesh
 
 

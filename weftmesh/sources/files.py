@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..mesh import Mesh, MeshError
+from ..mesh import Attribute, Mesh, MeshError
 from ..operators.cells import cells, face_corners
+from ..operators.planar import mesh_of_loops
+from ..plans.numbering import numbered
+from ..plans.storage import materialize
 
 # Section names of the text format, and VTK cell types.
 SECTIONS = ["META", "BETAS", "UNUSED", "VERTICES"]
@@ -184,18 +187,11 @@ def vtk_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def mesh_of_cells(points: DataFrame, cell_table: DataFrame) -> Mesh:
     """A 2-mesh of (cell, vids): darts by cell and place, opposite sides by an equality join on their ends."""
-    faces = cell_table.where(F.size("vids") >= 3)
-    start = F.sum(F.size("vids")).over(Window.orderBy("cell")) - F.size("vids")
-    sized = faces.select("vids", F.size("vids").alias("n"), start.alias("start"))
-    corner = sized.select("n", "start", "vids", F.posexplode("vids").alias("k", "u"))
-    side = corner.select((F.col("start") + F.col("k") + 1).alias("d"), (F.col("start") + (F.col("k") + F.col("n") - 1) % F.col("n") + 1).alias("b0"), (F.col("start") + (F.col("k") + 1) % F.col("n") + 1).alias("b1"), "u", F.element_at("vids", ((F.col("k") + 1) % F.col("n") + 1).cast("int")).alias("v"))
-    twin = side.groupBy(F.col("u").alias("v"), F.col("v").alias("u")).agg(F.min("d").alias("b2"))
-    full = side.join(twin, ["u", "v"], "left")
-    darts = full.select("d", "b0", "b1", F.coalesce("b2", F.lit(0)).cast("bigint").alias("b2"), F.lit(False).alias("unused"))
-    mesh = Mesh(2, darts, points.limit(0).select(F.col("id").alias("vid"), "x", "y"))
-    table = cells(mesh)
-    vertices = full.select("d", "u").join(table.select("d", "vid"), "d").groupBy("vid").agg(F.min("u").alias("id")).join(points, "id").select("vid", "x", "y")
-    return mesh.with_(vertices=vertices)
+    faces = cell_table.where(F.size("vids") >= 3).select(F.col("cell").alias("f"), F.posexplode("vids").alias("k", "u"))
+    mesh, sides = mesh_of_loops(faces, points, "file")
+    # Faces of a file may touch in a corner only: each orbit is a vertex of its own.
+    vertices = sides.select("d", "u").join(cells(mesh).select("d", "vid"), "d").groupBy("vid").agg(F.min("u").alias("id")).join(points, "id").select("vid", "x", "y")
+    return mesh.with_(vertices=materialize(vertices, "file-vertices"))
 
 
 def read_vtk(spark: SparkSession, path: str) -> Mesh:
@@ -220,7 +216,7 @@ def read_geometry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 def vtk_cells(mesh: Mesh) -> tuple[DataFrame, DataFrame]:
     """(pid, x, y) and (pos, type, vids): boundary edges as lines, then faces of three corners and more."""
     table = cells(mesh)
-    points = mesh.vertices.withColumn("pid", F.row_number().over(Window.orderBy("vid")) - 1)
+    points = materialize(numbered(mesh.vertices, ["vid"], "pid"), "vtk-points")
     number = points.select("vid", "pid")
     ends = mesh.darts.where("not unused and b2 = 0 and b1 <> 0").join(table.select("d", "vid"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1")
     lines = ends.join(number, "vid").join(number.select(F.col("vid").alias("w"), F.col("pid").alias("q")), "w").select(F.lit(0).alias("part"), F.col("d").alias("key"), F.lit(VTK_LINE).alias("type"), F.array(F.col("pid").cast("bigint"), F.col("q").cast("bigint")).alias("vids"))
@@ -228,8 +224,8 @@ def vtk_cells(mesh: Mesh) -> tuple[DataFrame, DataFrame]:
     faces = corner.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pid"))), lambda s: s["pid"].cast("bigint")).alias("vids"))
     kind = F.when(F.size("vids") == 3, VTK_TRIANGLE).when(F.size("vids") == 4, VTK_QUAD).otherwise(VTK_POLYGON)
     faces = faces.where(F.size("vids") >= 3).select(F.lit(1).alias("part"), F.col("fid").alias("key"), kind.alias("type"), "vids")
-    both = lines.unionByName(faces)
-    return points.select("pid", "x", "y"), both.select((F.row_number().over(Window.orderBy("part", "key")) - 1).alias("pos"), "type", "vids")
+    both = numbered(lines.unionByName(faces), ["part", "key"], "pos")
+    return points.select("pid", "x", "y"), both.select("pos", "type", "vids")
 
 
 def format_vtk(mesh: Mesh, binary: bool = False) -> bytes:
@@ -263,16 +259,20 @@ def hash_file(spark: SparkSession, path: str) -> int:
 # Parquet
 
 
-def write_mesh(mesh: Mesh, path: str) -> None:
-    mesh.darts.write.parquet(f"{path}/darts")
-    mesh.vertices.write.parquet(f"{path}/vertices")
+def write_mesh(mesh: Mesh, path: str, overwrite: bool = False) -> None:
+    """Parquet tables below ``path``; with ``overwrite`` a mesh there is replaced (it must not be read by this one)."""
+    mode = "overwrite" if overwrite else "error"
+    mesh.darts.write.mode(mode).parquet(f"{path}/darts")
+    mesh.vertices.write.mode(mode).parquet(f"{path}/vertices")
     for name, attribute in mesh.attrs.items():
-        attribute.table.write.parquet(f"{path}/attr_{name}")
+        attribute.table.write.mode(mode).parquet(f"{path}/attr_{name}")
 
 
-def read_mesh(spark: SparkSession, path: str) -> Mesh:
+def read_mesh(spark: SparkSession, path: str, attrs: dict[str, Attribute] | None = None) -> Mesh:
+    """A mesh from Parquet; attrs names its attributes with their laws, whose tables are read (a missing one is an error)."""
     darts = spark.read.parquet(f"{path}/darts")
-    return Mesh(3 if "b3" in darts.columns else 2, darts, spark.read.parquet(f"{path}/vertices"))
+    tables = {k: Attribute(**{**a.__dict__, "table": spark.read.parquet(f"{path}/attr_{k}")}) for k, a in (attrs or {}).items()}
+    return Mesh(3 if "b3" in darts.columns else 2, darts, spark.read.parquet(f"{path}/vertices"), tables)
 
 
 def load_mesh(spark: SparkSession, path: str) -> Mesh:
