@@ -6,7 +6,7 @@ documents are joined on anchors; an anchor of one document only is no seed.
 
 Extension.  Each seed is extended both ways, word by word, against the words
 around the anchor in its first holder (the document with the least id), as far
-as a window around the anchor may reach.  A match of 50 words or more is a
+as windows with that anchor reach there.  A match of 50 words or more is a
 repeat, kept as an interval; overlapping intervals make maximal repeats.
 
 An anchor of two documents is settled by that.  Of an anchor of more, windows
@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import discard, materialize, sized_join
+from ..plans.storage import discard, materialize, sized_join, small_enough
 from .words import U, Piece, grams, mix, pieces, rolling
 
 WINDOW, GRAM = 50, 10
+#: Bytes of a word's hash that matches are extended by.
+WORD_BYTES = 6
 #: Rows of one fingerprint that may meet in one task; fingerprints of more are joined by themselves.
 HEAVY = 5_000
 
@@ -85,9 +87,22 @@ def _sketches(window: int, gram: int):
     return run
 
 
+def _packed(words: list[np.ndarray]) -> pa.BinaryArray:
+    """Word hashes cut to WORD_BYTES bytes each, a row for each array."""
+    flat = np.concatenate(words) if words else np.zeros(0, U)
+    data = np.ascontiguousarray(flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+    offsets = np.concatenate([[0], np.cumsum([WORD_BYTES * len(w) for w in words])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    wide[:, :WORD_BYTES] = data.reshape(-1, WORD_BYTES)
+    return wide.view("<u8").ravel()
+
+
 def _contexts(window: int, gram: int):
-    """(node, h1, anchors, text) of first holders -> (anchor, words, center, once): the words around the anchor's first place."""
-    reach = window - gram
+    """(node, h1, anchors, text) of first holders -> (anchor, words, center, once): the words of all windows with that anchor at its first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,22 +110,23 @@ def _contexts(window: int, gram: int):
             offsets, values = held.offsets.to_numpy(), held.values.to_numpy()
             for piece in pieces(batch.column("text"), False):
                 h1, _ = _sequence_hashes(piece)
-                every, hashes = grams(piece.hashes, gram).view(np.int64), piece.hashes.view(np.int64)
+                every, least = grams(piece.hashes, gram).view(np.int64), _anchors(piece.hashes, window, gram).view(np.int64)
                 out: list[list] = [[], [], [], []]
                 for k in range(piece.n_docs):
                     row, a, b = piece.first + k, piece.at[k], piece.at[k + 1]
                     if h1[k] != wanted[row] or b - a < window:
                         continue
-                    mine = np.unique(values[offsets[row] : offsets[row + 1]])
-                    own = every[a : b - gram + 1]
-                    at = np.flatnonzero(np.isin(own, mine))
-                    anchor, first, n = np.unique(own[at], return_index=True, return_counts=True)
-                    for value, p, many in zip(anchor.tolist(), at[first].tolist(), (n > 1).tolist(), strict=True):
-                        begin = max(0, p - reach)
-                        for c, v in zip(out, (value, hashes[a + begin : min(b, a + p + gram + reach)], p - begin, not many), strict=True):
+                    mine = least[a : b - window + 1]
+                    places, begin = np.unique(_first_places(every[a : b - gram + 1], mine), return_index=True)
+                    end = np.append(begin[1:], len(mine)) + window - 1
+                    anchor = mine[begin]
+                    known = np.isin(anchor, values[offsets[row] : offsets[row + 1]])
+                    _, first, back, n = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+                    for j in np.flatnonzero(known & (first[back] == np.arange(len(anchor)))):
+                        for c, v in zip(out, (anchor[j], piece.hashes[a + begin[j] : a + end[j]], places[j] - begin[j], n[back[j]] == 1), strict=True):
                             c.append(v)
                 if out[0]:
-                    cols = [pa.array(out[0], pa.int64()), _lists(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())]
+                    cols = [pa.array(out[0], pa.int64()), _packed(out[1]), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())]
                     yield pa.RecordBatch.from_arrays(cols, ["anchor", "words", "center", "once"])
 
     return run
@@ -130,12 +146,11 @@ def extended(own: np.ndarray, at: int, words: np.ndarray, center: int) -> tuple[
 def _extend(window: int, gram: int):
     """Seeds of documents -> (node, from, to) repeats by the first holder, and (node, print, from) windows that it leaves open."""
 
-    def document(own: np.ndarray, least: np.ndarray, places: np.ndarray, seeds: _Seeds, begin: int, end: int, own_id: int | None) -> tuple[list, np.ndarray]:
-        """own: word hashes; least: anchor by window; places: place of the anchor of each window; seeds begin..end - 1 are the document's."""
+    def document(own: np.ndarray, least: np.ndarray, places: np.ndarray, seeds: _Seeds, order: np.ndarray, own_id: int | None) -> tuple[list, np.ndarray]:
+        """own: word hashes; least: anchor by window; places: place of the anchor of each window; order: the document's seeds by anchor."""
         spans: list[tuple[int, int]] = []
         open_ = np.zeros(len(least), bool)
         at, first = np.unique(places, return_index=True)
-        order = begin + np.argsort(seeds.anchor[begin:end], kind="stable")
         spot = np.minimum(np.searchsorted(seeds.anchor[order], least[first]), len(order) - 1)
         known = seeds.anchor[order[spot]] == least[first]
         for p, start, stop, seed, good in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(least)], order[spot].tolist(), known.tolist(), strict=True):
@@ -154,27 +169,27 @@ def _extend(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nodes, wanted = batch.column("id").to_pylist(), batch.column("node").to_pylist(), batch.column("h1").to_numpy()
-            seeds = _Seeds(batch.column("seeds"))
+            ids, seeds = batch.column("id").to_pylist(), _Seeds(batch.column("seeds"))
             for piece in pieces(batch.column("text"), False):
                 h1, _ = _sequence_hashes(piece)
                 every = grams(piece.hashes, gram).view(np.int64)
                 least, prints = _anchors(piece.hashes, window, gram).view(np.int64), rolling(piece.hashes, window).view(np.int64)
-                hashes = piece.hashes.view(np.int64)
+                hashes = piece.hashes & U((1 << 8 * WORD_BYTES) - 1)
                 owner, out = [], [[], [], [], [], []]
                 for k in range(piece.n_docs):
                     row, a, b = piece.first + k, piece.at[k], piece.at[k + 1]
-                    if h1[k] != wanted[row] or b - a < window:
+                    own = seeds.of(row, h1[k], ids[row])
+                    if not len(own) or b - a < window:
                         continue
                     mine = least[a : b - window + 1]
                     places = _first_places(every[a : b - gram + 1], mine)
-                    spans, rest = document(hashes[a:b], mine, places, seeds, seeds.at[row], seeds.at[row + 1], ids[row])
+                    spans, rest = document(hashes[a:b], mine, places, seeds, own, ids[row])
                     starts = np.array([s for s, _ in spans] + rest.tolist(), np.int64)
                     ends = np.array([e for _, e in spans] + (rest + window).tolist(), np.int64)
                     fresh = np.concatenate([np.zeros(len(spans), np.int64), prints[a : b - window + 1][rest]])
                     is_open = np.arange(len(starts)) >= len(spans)
                     owner += [ids[row]] * len(starts)
-                    for c, v in zip(out, (np.full(len(starts), nodes[row], np.int64), starts, ends, is_open, fresh), strict=True):
+                    for c, v in zip(out, (np.full(len(starts), seeds.node[own[0]], np.int64), starts, ends, is_open, fresh), strict=True):
                         c.append(v)
                 if owner:
                     yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *[pa.array(np.concatenate(c)) for c in out]], ["id", "node", "from", "to", "open", "print"])
@@ -188,14 +203,23 @@ class _Seeds:
     def __init__(self, column: pa.ListArray):
         seeds = column.values
         self.at = column.offsets.to_numpy()
-        self.anchor = seeds.field("anchor").to_numpy(zero_copy_only=False)
+        plain = lambda name: seeds.field(name).to_numpy(zero_copy_only=False)
+        self.anchor, self.node, self.h1, self.settled = (plain(name) for name in ("anchor", "node", "h1", "settled"))
+        self.id, self.no_id = seeds.field("id").fill_null(0).to_numpy(zero_copy_only=False), seeds.field("id").is_null().to_numpy(zero_copy_only=False)
         self.first_id, self.no_first = seeds.field("first_id").fill_null(0).to_numpy(zero_copy_only=False), seeds.field("first_id").is_null().to_numpy(zero_copy_only=False)
         self.center = seeds.field("center").fill_null(0).to_numpy(zero_copy_only=False)
-        self.settled = seeds.field("settled").to_numpy(zero_copy_only=False)
-        self._at, self._words = seeds.field("words").offsets.to_numpy(), seeds.field("words").values.to_numpy(zero_copy_only=False)
+        words = seeds.field("words").fill_null(b"")
+        self._at = np.frombuffer(words.buffers()[1], np.int32)[words.offset :]
+        self._words = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+
+    def of(self, row: int, h1: int, own_id: int | None) -> np.ndarray:
+        """The seeds of a row's text, in the order of their anchors."""
+        some = np.arange(self.at[row], self.at[row + 1])
+        some = some[(self.h1[some] == h1) & (self.no_id[some] if own_id is None else ~self.no_id[some] & (self.id[some] == own_id))]
+        return some[np.argsort(self.anchor[some], kind="stable")]
 
     def words(self, k: int) -> np.ndarray:
-        return self._words[self._at[k] : self._at[k + 1]]
+        return _unpacked(self._words[self._at[k] : self._at[k + 1]])
 
 
 def _first_places(own: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -277,30 +301,38 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     # Seeds: anchors of more than one document, each with its first holder.
     held = sized_join(sketches, firsts.select("node"), "node", "left_semi", 16)
-    anchors = materialize(held.select("node", "id", F.explode("anchors").alias("anchor")), "repeats-anchors")
+    anchors = materialize(held.select("node", "id", "h1", F.explode("anchors").alias("anchor")), "repeats-anchors")
     shared = anchors.groupBy("anchor").agg(first, F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("none"), F.count("*").alias("k"))
     shared = shared.where("lo < hi or (lo is not null and none)").select("anchor", F.col("first.id").alias("first_id"), F.col("first.node").alias("first_node"), "k")
     shared = materialize(shared, "repeats-shared")
 
     # The words around each anchor in its first holder.
-    texts_of = lambda rows, width: sized_join(with_id, rows, F.col("id").eqNullSafe(F.col("_id")), "inner", width)
     names = firsts.select("node", F.col("first_id").alias("_id"), "h1", "h2")
     holders = shared.groupBy(F.col("first_node").alias("node")).agg(F.collect_list("anchor").alias("anchors"))
     holders = materialize(holders.join(names, "node"), "repeats-holders")
-    contexts = texts_of(holders, _measured(holders, F.size("anchors") * 8 + 40)).select("node", "h1", "anchors", "text")
-    contexts = contexts.mapInArrow(_contexts(window, gram), "anchor bigint, words array<bigint>, center int, once boolean")
-    contexts = contexts.groupBy("anchor").agg(F.first(F.struct("words", "center", "once")).alias("c"))  # rows of one id may repeat
-    around = shared.join(contexts, "anchor", "left").select("anchor", "k", "first_id", "c.words", "c.center", (F.coalesce("c.once", F.lit(False)) & (F.col("k") == 2)).alias("settled"))
-    around = materialize(around, "repeats-contexts")
-
-    # Extension of every seed against its first holder.
-    seeds = _by_key(anchors, around, "anchor", _measured(around, F.size("words") * 8 + 40))
-    seeds = seeds.groupBy("node", "id").agg(F.collect_list(F.struct("anchor", "first_id", "words", "center", "settled")).alias("seeds"))
-    seeds = materialize(seeds.join(names.select("node", "h1"), "node").select(F.col("id").alias("_id"), "node", "h1", "seeds"), "repeats-seeds")
-    texts = texts_of(seeds, _measured(seeds, F.size("seeds") * 760 + 40)).select("id", "node", "h1", "seeds", "text")
+    contexts = sized_join(with_id, holders, F.col("id").eqNullSafe(F.col("_id")), "inner", _measured(holders, F.size("anchors") * 8 + 40)).select("node", "h1", "anchors", "text")
+    contexts = contexts.mapInArrow(_contexts(window, gram), "anchor bigint, words binary, center int, once boolean")
+    contexts = materialize(contexts, "repeats-contexts")
+    around = contexts.groupBy("anchor").agg(F.first(F.struct("words", "center", "once")).alias("c"))  # rows of one id may repeat
+    settled = F.coalesce("c.once", F.lit(False)) & (F.col("k") == 2)
+    around = shared.join(around, "anchor", "left").select("anchor", "k", "first_id", "c.words", "c.center", settled.alias("settled"))
+
+    # Extension of every seed against its first holder: seeds meet their documents' texts by a hash of the id.
+    heavy = shared.where(f"k > {HEAVY}").select("anchor")
+    if heavy.isEmpty():
+        seeds = anchors.join(around.drop("k"), "anchor")
+    else:  # anchors that many documents hold are few: their rows are joined by themselves
+        seeds = sized_join(anchors, heavy, "anchor", "left_anti", 16).join(around.where(f"k <= {HEAVY}").drop("k"), "anchor")
+        seeds = seeds.unionByName(sized_join(anchors, materialize(around.where(f"k > {HEAVY}").drop("k"), "repeats-heavy"), "anchor", "inner", 600))
+    seeds = seeds.groupBy(F.xxhash64("id").alias("key")).agg(F.collect_list(F.struct("id", "node", "h1", "anchor", "first_id", "words", "center", "settled")).alias("seeds"))
+    seeded = materialize(sized_join(anchors, shared.select("anchor"), "anchor", "left_semi", 16).select(F.xxhash64("id").alias("key")).distinct(), "repeats-seeded")
+    keyed = with_id.withColumn("key", F.xxhash64("id"))
+    if small_enough(seeded, 16):  # then only texts with seeds are moved
+        keyed = keyed.join(F.broadcast(seeded), "key", "left_semi")
+    texts = keyed.join(seeds, "key").select("id", "seeds", "text")
     found = texts.mapInArrow(_extend(window, gram), "id bigint, node bigint, `from` bigint, `to` bigint, `open` boolean, print bigint")
     found = materialize(found, "repeats-found")
-    discard(seeds, around)
+    discard(contexts, anchors)
 
     parts = found.where("not open").select("id", "node", "from", "to").unionByName(_shared_windows(found.where("open").select("id", "node", "from", "print"), window))
     parts = parts.groupBy("id", "node").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
