@@ -175,10 +175,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, rows: int) -> DataFrame:
-    """(label, text) of at most ``rows`` labelled documents, those with the least hash of the id."""
+    """(doc_id, label, text) of at most ``rows`` labelled documents, those with the least hash of the id; of rows of one id the least text."""
     usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.min(column).alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed, column: str = "quality", rows: int = SAMPLE_ROWS) -> Forest:

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import unused
+
 #: Whitespace of all word definitions here: space and \t to \r.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -38,39 +40,40 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the STATS columns, each computed from the whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [c for c in docs.columns if c not in STATS]
+    words, lines, grams, any_, pairs_, at = unused(docs.columns, "_words", "_lines", "_grams", "_any", "_pairs", "_at")
     first = docs.select(
         *own,
-        F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("_words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"),
+        F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias(words),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias(lines),
     )
-    n = F.size("_words")
-    window = lambda i: F.xxhash64(*[F.element_at("_words", i + F.lit(k)) for k in range(1, 6)])
+    n = F.size(words)
+    window = lambda i: F.xxhash64(*[F.element_at(words, i + F.lit(k)) for k in range(1, 6)])
     second = first.select(
         *own,
         n.cast("bigint").alias("n_words"),
         F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size(lines).cast("bigint").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         F.regexp_count(text, F.lit(r"[\p{Lu}]")).cast("bigint").alias("n_upper"),
         F.regexp_count(text, F.lit(r"[\p{L}]")).cast("bigint").alias("n_letters"),
         F.regexp_count(text, F.lit(r"[|]")).cast("bigint").alias("n_pipes"),
-        F.size(F.array_distinct("_words")).cast("bigint").alias("n_distinct"),
-        F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), window)).otherwise(F.array().cast("array<bigint>")).alias("_grams"),
+        F.size(F.array_distinct(words)).cast("bigint").alias("n_distinct"),
+        F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), window)).otherwise(F.array().cast("array<bigint>")).alias(grams),
     )
-    third = second.withColumn("_any", F.size(F.array_distinct("_grams")) < F.size("_grams"))
-    pairs = F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    fourth = third.withColumn("_pairs", F.when(F.col("_any"), pairs))
-    held = lambda k: F.get("_pairs", k)["h"]  # noqa: E731  null beyond either end
-    twice = F.filter("_pairs", lambda e, k: (e["h"] == F.coalesce(held(k + 1), e["h"] + 1)) | (F.when(k > 0, held(k - 1)).otherwise(e["h"] + 1) == e["h"]))
-    fifth = fourth.withColumn("_at", F.when(F.col("_any"), F.sort_array(F.transform(twice, lambda e: e["i"]))))
+    third = second.withColumn(any_, F.size(F.array_distinct(grams)) < F.size(grams))
+    pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    fourth = third.withColumn(pairs_, F.when(F.col(any_), pairs))
+    held = lambda k: F.get(pairs_, k)["h"]  # noqa: E731  null beyond either end
+    twice = F.filter(pairs_, lambda e, k: (e["h"] == F.coalesce(held(k + 1), e["h"] + 1)) | (F.when(k > 0, held(k - 1)).otherwise(e["h"] + 1) == e["h"]))
+    fifth = fourth.withColumn(at, F.when(F.col(any_), F.sort_array(F.transform(twice, lambda e: e["i"]))))
     gaps = F.aggregate(
-        F.col("_at"),
+        F.col(at),
         F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")),
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(5), p - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return fifth.withColumn("n_repeat_words", F.when(F.col("_any"), gaps).otherwise(F.lit(0)).cast("bigint")).drop("_grams", "_any", "_pairs", "_at")
+    return fifth.withColumn("n_repeat_words", F.when(F.col(any_), gaps).otherwise(F.lit(0)).cast("bigint")).drop(grams, any_, pairs_, at)
 
 
 def base_failed() -> Column:
@@ -138,8 +141,7 @@ def judge(stats: DataFrame, rules: dict[str, Column] | None = None, threshold: f
     rules = rules or default_rules()
     names = list(rules)
     pattern = F.concat_ws(",", *[F.coalesce(v.cast("string"), F.lit("-")) for v in rules.values()])
-    voted = stats.withColumn("_votes", pattern)
-    counted = {r[0]: r[1] for r in voted.groupBy("_votes").count().collect()}  # at most 3 ** len(rules) rows
+    counted = {r[0]: r[1] for r in stats.groupBy(pattern.alias("votes")).count().collect()}  # at most 3 ** len(rules) rows
     seen = [(tuple(None if x == "-" else int(x) for x in key.split(",")), k) for key, k in sorted(counted.items())]
     prior, likely = estimate(seen, len(names))
     z = F.lit(math.log(prior / (1 - prior)))
@@ -147,7 +149,7 @@ def judge(stats: DataFrame, rules: dict[str, Column] | None = None, threshold: f
         weight = {v: math.log(likely[j][1][v] / likely[j][0][v]) for v in (0, 1)}
         z = z + F.when(vote == 1, F.lit(weight[1])).when(vote == 0, F.lit(weight[0])).otherwise(F.lit(0.0))
     return (
-        voted.drop("_votes")
+        stats
         .withColumn("quality_probability", 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z)))))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))

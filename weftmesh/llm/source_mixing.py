@@ -15,7 +15,8 @@ Edge cases: null text has size 0 and is never taken; a null source is a source o
 its own, last in order; repeated rows each count and tie (equal rows are
 interchangeable); sources of size 0 get target 0; an empty table gives an empty
 result; u comes from a hash of the id and seed, so reruns agree.  Documents with
-a null id share one u and are ordered among themselves by size and text hash.
+a null id share one u and are ordered among themselves by size and a hash of
+their quality and other columns.
 """
 
 from __future__ import annotations
@@ -67,9 +68,14 @@ def mix(sized: DataFrame, seed: int = 7, cycle: tuple[int, ...] = CYCLE, max_epo
     """(doc_id, source, size, quality) -> adds source_size, target and taken.
 
     ``sized`` is read several times: pass a materialized table.  Other columns are
-    carried; those named source_size, target or taken are replaced.
+    carried, whatever their names; those named source_size, target or taken are
+    replaced.
     """
     sized = sized.drop("source_size", "target", "taken")
+    own = sized.columns
+    more = [c for c in own if c not in ("doc_id", "source", "size", "quality")]
+    carried = F.struct(*[F.col(f"`{c}`") for c in more]) if more else F.lit(None).cast("string")
+    sized = sized.select("doc_id", "source", "size", "quality", carried.alias("_carried"))
     per_source = sized.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"), F.count("*").alias("_rows"), F.avg("quality").alias("_mean"))
     targets = source_targets(per_source.select("source", "source_size"), cycle, max_epochs)
     per_source = per_source.drop("source_size").withColumnRenamed("source", "_s")
@@ -94,13 +100,13 @@ def mix(sized: DataFrame, seed: int = 7, cycle: tuple[int, ...] = CYCLE, max_epo
     # Only the range in which the budget ends is ordered; the other rows each stand alone.
     within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", "_tie")
     inside = F.col("_end").isNotNull() & (F.col("_range") == F.col("_end"))
-    placed = placed.withColumn("_tie", F.xxhash64("quality")) if "_tie" not in placed.columns else placed
+    placed = placed.withColumn("_tie", F.xxhash64("quality", "_carried") if not more or "map<" not in sized.schema["_carried"].dataType.simpleString() else F.xxhash64("quality"))
     last = placed.where(inside).withColumn("_upto", F.col("_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     last = last.withColumn("_once", (F.col("_upto") - F.col("size") / 2 <= F.col("_budget")).cast("int"))
     rest = placed.where(~inside).withColumn("_upto", F.lit(0).cast("bigint")).withColumn("_once", (F.col("_end").isNotNull() & (F.col("_range") < F.col("_end"))).cast("int"))
     both = last.unionByName(rest)
     out = both.withColumn("taken", ((F.col("_epochs") + F.when(F.col("_budget") > 0, F.col("_once")).otherwise(0)) * F.col("size")).cast("bigint"))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return out.select(*[F.col(f"_carried.`{c}`").alias(c) if c in more else F.col(c) for c in own], "source_size", "target", "taken")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

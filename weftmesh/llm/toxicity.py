@@ -366,7 +366,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed, column: str = "toxic", ro
     """Fit on at most ``rows`` documents of each class, those with the least hash of the id."""
     usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.min(column).alias("label"))
     least = lambda v: usable.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(least(0).union(least(1))), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(least(0).union(least(1))), "doc_id")
+    sample = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.coalesce(F.min("text"), F.lit("")).alias("text"))  # of rows of one id the least text
     rows_ = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
     return fit(rows_.column("text").to_pylist(), rows_.column("label").to_numpy().astype(np.float64))
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import extended, materialize
+from .words import unused
 
 #: Fixed values: (host, path start, verdict).
 LISTED = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -86,13 +87,16 @@ class Rules:
     def of(cls, found: list[tuple[frozenset, str, float, float]]) -> Rules:
         """Sort, and prune rules that a more general one makes needless."""
         kept: list[tuple[frozenset, str, float, float]] = []
-        for rule in sorted(found, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1])):
-            if not any(k[1] == rule[1] and k[0] <= rule[0] for k in kept):
-                kept.append(rule)
         index: dict[str, list[int]] = {}
-        for n, rule in enumerate(kept):
+        for rule in sorted(found, key=lambda r: (-r[2], -r[3], len(r[0]), sorted(r[0]), r[1])):
+            inside: dict[int, int] = {}
+            for n in (n for t in rule[0] for n in index.get(t, ())):
+                inside[n] = inside.get(n, 0) + 1
+            if any(k == len(kept[n][0]) and kept[n][1] == rule[1] for n, k in inside.items()):
+                continue
             for t in rule[0]:
-                index.setdefault(t, []).append(n)
+                index.setdefault(t, []).append(len(kept))
+            kept.append(rule)
         return cls(kept, index)
 
     def match(self, have: list[str]) -> int | None:
@@ -115,14 +119,14 @@ def mine(parsed: DataFrame, rows: int = SAMPLE_ROWS, support: float = MIN_SUPPOR
     return Rules.of([(frozenset(r.antecedent), r.consequent[0].removeprefix("verdict="), r.confidence, r.support) for r in implied.collect()])
 
 
-def _judged(shared):
+def _judged(shared, token_column: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, known = shared.value, {}
         for batch in batches:
             if len(known) > 100_000:
                 known.clear()
             best = []
-            for have in batch.column("_tokens").to_pylist():
+            for have in batch.column(token_column).to_pylist():
                 key = tuple(have)
                 if key not in known:
                     known[key] = rules.match(have)
@@ -130,8 +134,8 @@ def _judged(shared):
             verdict = pa.array(["allow" if n is None else rules.rules[n][1] for n in best], pa.string())
             confidence = pa.array([None if n is None else rules.rules[n][2] for n in best], pa.float64())
             why = pa.array([None if n is None else " ".join(sorted(rules.rules[n][0])) for n in best], pa.string())
-            keep = [k for k, name in enumerate(batch.schema.names) if name != "_tokens"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], verdict, confidence, why], [*[batch.schema.names[k] for k in keep], "_mined", "confidence", "mined_rule"])
+            keep = [k for k, name in enumerate(batch.schema.names) if name != token_column]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], verdict, confidence, why], [*[batch.schema.names[k] for k in keep], *names])
 
     return run
 
@@ -139,15 +143,16 @@ def _judged(shared):
 def judge(pages: DataFrame, rules_listed=LISTED) -> DataFrame:
     """Adds host, path, rule, verdict, confidence and mined_rule to all columns of ``pages`` (replacing such columns)."""
     pages = pages.drop("host", "path", "rule", "verdict", "confidence", "mined_rule")
+    said, have, mined = unused(pages.columns, "_listed", "_tokens", "_mined")
     host, path = host_and_path(F.col("url"))
     parsed = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = listed(F.col("host"), F.col("path"), rules_listed)
-    parsed = parsed.withColumn("rule", rule).withColumn("_verdict", verdict).withColumn("_tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
-    shared = pages.sparkSession.sparkContext.broadcast(mine(parsed.select("url", "_verdict", "_tokens")))
-    schema = extended(parsed.drop("_tokens").schema, "_mined string, confidence double, mined_rule string")
-    out = parsed.mapInArrow(_judged(shared), schema)
+    parsed = parsed.withColumn("rule", rule).withColumn(said, verdict).withColumn(have, tokens(F.col("url"), F.col("host"), F.col("path")))
+    shared = pages.sparkSession.sparkContext.broadcast(mine(parsed.select("url", F.col(said).alias("_verdict"), F.col(have).alias("_tokens"))))
+    schema = extended(parsed.drop(have).schema, f"{mined} string, confidence double, mined_rule string")
+    out = parsed.mapInArrow(_judged(shared, have, [mined, "confidence", "mined_rule"]), schema)
     by_list = F.col("rule").isNotNull()
-    out = out.withColumn("verdict", F.coalesce("_verdict", "_mined")).withColumn("confidence", F.when(~by_list, F.col("confidence"))).withColumn("mined_rule", F.when(~by_list, F.col("mined_rule")))
+    out = out.withColumn("verdict", F.coalesce(said, mined)).withColumn("confidence", F.when(~by_list, F.col("confidence"))).withColumn("mined_rule", F.when(~by_list, F.col("mined_rule")))
     return out.select(*pages.columns, "host", "path", "rule", "verdict", "confidence", "mined_rule")
 
 

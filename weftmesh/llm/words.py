@@ -163,3 +163,14 @@ def shingle_sets(piece: Piece, n: int = 5) -> Iterator[np.ndarray]:
             yield np.array([short_gram(piece.hashes[a:b])], U)
         else:
             yield np.zeros(0, U)
+
+
+def unused(names: list[str], *stems: str) -> tuple[str, ...]:
+    """Column names from the stems that clash with none of ``names`` (which Spark compares without case)."""
+    taken = {n.lower() for n in names}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return tuple(out)
