@@ -481,8 +481,10 @@ def _components(docs: DataFrame) -> DataFrame:
     components = _joined_clusters(docs, left)
     named = sized_join(grouped, components, "cluster", "left", 32).withColumn("component", F.coalesce("component", "cluster"))
     named = materialize(named.select(*by_set, "doc_id", "component"), "ngram-named")
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = materialize(named.join(ids, "component").select(*by_set, "component", "component_id"), "ngram-ids")
+    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1")
+    ids = materialize(ids.select("component", "component_id"), "ngram-least")
+    named = sized_join(named, ids, "component", "left", 24).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    ids = materialize(named.select(*by_set, "component", "component_id"), "ngram-ids")
     some = sketches.where("n > 0").select("doc_id", "text_hash", *by_set).join(ids, by_set).select("doc_id", "text_hash", "n", "component", "component_id")
     none = sketches.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("bigint").alias("component"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)

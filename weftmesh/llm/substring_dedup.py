@@ -41,7 +41,7 @@ WINDOW, GRAM = 50, 10
 #: Bytes of a word's hash that matches are extended by.
 WORD_BYTES = 6
 #: Rows of one fingerprint that may meet in one task; fingerprints of more are joined by themselves.
-HEAVY = 5_000
+HEAVY = 1_000
 
 
 def _anchors(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
