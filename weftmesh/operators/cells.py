@@ -166,6 +166,10 @@ def face_corners(mesh: Mesh, table: DataFrame) -> DataFrame:
     of the id dart is walked.
     """
     here = table.select("d", "fid", "vid")
+    if mesh.dim == 3:
+        # Darts of the other side go round without ever meeting the id dart.
+        side = table.where("d = fid").select("fid", "volid")
+        here = table.join(side, ["fid", "volid"]).select("d", "fid", "vid")
     # Distance to the face's first dart, walking b1 backwards and stopping there.
     state = mesh.darts.join(here, "d").select("d", "fid", F.when(F.col("d") == F.col("fid"), F.col("d")).otherwise(F.col("b0")).alias("back"), F.when(F.col("d") == F.col("fid"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"))
     state = materialize(state, "corners")

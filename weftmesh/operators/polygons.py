@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,26 +122,33 @@ def triangulate(mesh: Mesh, table: DataFrame, method: str = "fan", left: bool =
     """(fid, tri, v0, v1, v2, err): faces by a checked fan or by ear clipping.
 
     Faces of three corners come back as they are with AlreadyTriangulated, smaller
-    ones with UndefinedFace.  A face's corners are few and meet in one group;
-    faces are spread over all tasks.
+    ones with UndefinedFace.  A face's corners are few and meet in one row; faces
+    are spread over all tasks.
     """
     if method not in ("fan", "earclip"):
         raise MeshError("method must be fan or earclip")
-    corner = face_corners(mesh, table).join(mesh.vertices, "vid").select("fid", "pos", "vid", "x", "y")
-
-    def run(face: pd.DataFrame) -> pd.DataFrame:
-        face = face.sort_values("pos")
-        fid, vids, points = int(face.fid.iloc[0]), face.vid.tolist(), list(zip(face.x, face.y, strict=True))
-        if len(vids) < 3:
-            err, found = "UndefinedFace", []
-        elif len(vids) == 3:
-            err, found = "AlreadyTriangulated", [(0, 1, 2)]
-        else:
-            err, found = _fan(points) if method == "fan" else _ears(points, left)
-        rows = [(fid, k + 1, *(vids[i] for i in t), err) for k, t in enumerate(found)] or [(fid, 0, None, None, None, err)]
-        return pd.DataFrame(rows, columns=["fid", "tri", "v0", "v1", "v2", "err"]).astype({"v0": "Int64", "v1": "Int64", "v2": "Int64"})
-
-    return corner.groupBy("fid").applyInPandas(run, "fid bigint, tri bigint, v0 bigint, v1 bigint, v2 bigint, err string")
+    corner = face_corners(mesh, table).join(mesh.vertices, "vid")
+    faces = corner.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("pos", "vid", "x", "y"))).alias("corners"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows = batch.column("corners"), []
+            at, flat = lists.offsets.to_pylist(), lists.values
+            vids = flat.field("vid").to_pylist()
+            points = list(zip(flat.field("x").to_pylist(), flat.field("y").to_pylist(), strict=True))
+            for fid, a, b in zip(batch.column("fid").to_pylist(), at[:-1], at[1:], strict=True):
+                if b - a < 3:
+                    err, found = "UndefinedFace", []
+                elif b - a == 3:
+                    err, found = "AlreadyTriangulated", [(0, 1, 2)]
+                else:
+                    err, found = _fan(points[a:b]) if method == "fan" else _ears(points[a:b], left)
+                rows += [(fid, k + 1, *(vids[a + i] for i in t), err) for k, t in enumerate(found)] or [(fid, 0, None, None, None, err)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["fid", "tri", "v0", "v1", "v2", "err"])
+
+    return faces.mapInArrow(run, "fid bigint, tri bigint, v0 bigint, v1 bigint, v2 bigint, err string")
 
 
 def mesh_of_triangles(triangles: DataFrame, points: DataFrame, corners: int = 3) -> Mesh:

@@ -20,6 +20,9 @@ from .functions import geometry as g
 from .mesh import Attribute, Mesh, validate
 from .operators import capture, delaunay, edits, measure, overlay, polygons
 from .operators.cells import boundary_darts, cell_counts, cell_ids, cells, face_corners, i_cell, iter_cells, orbit, vertex_graph
+from .operators.cells import orbit_errors as cell_errors
+from .operators import viewer
+from .plans.numbering import numbered, running_sum
 from .plans.storage import materialize
 from .sources import files, grids
 
@@ -79,17 +82,17 @@ def hexahedra(spark: SparkSession, sf_dir: str) -> Mesh:
 def order_values(spark: SparkSession, sf_dir: str, darts: int = 4) -> DataFrame:
     """(cell_id, value): the order's price at its face's id dart."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return orders.select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).alias("c"), F.col("o_totalprice").alias("value")).select((darts * F.col("c") + 1).cast("bigint").alias("cell_id"), "value")
+    return numbered(orders, ["o_orderkey"], "c").select("c", F.col("o_totalprice").alias("value")).select((darts * F.col("c") + 1).cast("bigint").alias("cell_id"), "value")
 
 
 def polygon_mesh(spark: SparkSession, sf_dir: str) -> Mesh:
     items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).alias("items"))
     big = items.where(F.size("items") >= 4).select(F.col("l_orderkey").alias("cell"), F.posexplode("items").alias("k", "item"), F.size("items").alias("n"))
     angle = 2 * math.pi * F.col("k") / F.col("n")
-    start = big.groupBy("cell").agg(F.max("n").alias("m")).withColumn("start", F.sum("m").over(Window.orderBy("cell")) - F.col("m")).select("cell", "start")
+    start = running_sum(big.groupBy("cell").agg(F.max("n").cast("bigint").alias("m")), ["cell"], "m", "start").select("cell", "start")
     corner = big.join(start, "cell")
     d = F.col("start") + F.col("k") + 1
-    full = corner.select(d.alias("d"), (F.col("start") + (F.col("k") + F.col("n") - 1) % F.col("n") + 1).alias("b0"), (F.col("start") + (F.col("k") + 1) % F.col("n") + 1).alias("b1"), F.lit(0).cast("bigint").alias("b2"), F.lit(False).alias("unused"), (F.col("item.l_quantity") * F.cos(angle)).alias("x"), (F.col("item.l_quantity") * F.sin(angle)).alias("y"))
+    full = corner.select(d.alias("d"), (F.col("start") + (F.col("k") + F.col("n") - 1) % F.col("n") + 1).alias("b0"), (F.col("start") + (F.col("k") + 1) % F.col("n") + 1).alias("b1"), F.lit(0).cast("bigint").alias("b2"), F.lit(False).alias("unused"), F.round(F.col("item.l_quantity") * F.cos(angle), 6).alias("x"), F.round(F.col("item.l_quantity") * F.sin(angle), 6).alias("y"))
     full = materialize(full, "polygons")
     return Mesh(2, full.drop("x", "y"), full.select(F.col("d").alias("vid"), "x", "y"))
 
@@ -145,6 +148,14 @@ corners as (
   from cells a join cells b on b.d = a.b1 join cells c on c.d = b.b1)
 """
 
+#: Edges of the split grid: the corner after a dart's own by its number in the cell.
+_TRI_EDGES = _TRI[: _TRI.index("cells as (")].rstrip().rstrip(",") + """,
+far as (select d, b2, cx, cy, cx - case when k in (2, 5, 6) then 1 else 0 end + case when k in (1, 4, 5) then 1 else 0 end as fx, cy - case when k in (3, 4, 6) then 1 else 0 end + case when k in (2, 5, 6) then 1 else 0 end as fy from darts),
+edges as (
+  select d as eid, cx + ((7 * cx + 3 * cy) % 8) / 32.0::double as px, cy + ((5 * cx + 2 * cy) % 8) / 32.0::double as py,
+    fx + ((7 * fx + 3 * fy) % 8) / 32.0::double as qx, fy + ((5 * fx + 2 * fy) % 8) / 32.0::double as qy from far where b2 = 0 or d < b2)
+"""
+
 _HEX = """
 with p as (select count(*)::bigint as n from part),
 s as (select greatest(1, ceil(pow(n, 1 / 3.0::double) - 1e-9))::bigint as nx, n from p),
@@ -209,6 +220,28 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(box[k] for k in ("min_x", "max_x", "min_y", "max_y"))], "min_x double, max_x double, min_y double, max_y double")
 
 
+@query("""with p as (select count(*)::bigint as n from supplier), s as (select greatest(1, ceil(pow(n, 1 / 3.0::double) - 1e-9))::bigint as a, n from p),
+g as (select a, greatest(1, ceil(n / (a * a)))::bigint as h from s),
+cell as (select x, y, z from g, unnest(range(0, a)) i(x), unnest(range(0, a)) j(y), unnest(range(0, h)) k(z)),
+bit(b) as (values (0), (1)),
+corner as (select c.x, c.y, c.z, p.b as dx, q.b as dy, r.b as dz from cell c, bit p, bit q, bit r),
+odd as (select *, (x + dx + y + dy + z + dz) % 2 as parity from corner),
+tets as (
+  select sum(x + dx) as sx, sum(y + dy) as sy, sum(z + dz) as sz, sum((x + dx) ** 2 + 3 * (y + dy) ** 2 + 7 * (z + dz) ** 2) as sq from odd where parity = PARITY group by x, y, z
+  union all
+  select 4 * (x + dx) + (1 - 2 * dx), 4 * (y + dy) + (1 - 2 * dy), 4 * (z + dz) + (1 - 2 * dz),
+    3 * (x + dx) ** 2 + (x + 1 - dx) ** 2 + 3 * (3 * (y + dy) ** 2 + (y + 1 - dy) ** 2) + 7 * (3 * (z + dz) ** 2 + (z + 1 - dz) ** 2) from odd where parity <> PARITY)
+select sx::double as sx, sy::double as sy, sz::double as sz, sq::double as sq from tets""".replace("PARITY", "0"))
+def tet_grid_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over the corners of each tetrahedron of a split grid: five to a cell, the middle one at corners of one parity."""
+    n = _table(spark, sf_dir, "supplier").count()
+    a = max(1, math.ceil(n ** (1 / 3) - 1e-9))
+    mesh = grids.grid(spark, 3, [a, a, max(1, -(-n // (a * a)))], (1.0, 1.0, 1.0), split_cells=True).written()
+    corner = cells(mesh).select("volid", "vid").distinct().join(mesh.vertices, "vid")
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    return corner.groupBy("volid").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("sz"), F.sum(x * x + 3 * y * y + 7 * z * z).alias("sq")).drop("volid")
+
+
 # cells and orbits
 
 
@@ -254,10 +287,12 @@ def iter_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iter_cells(hexahedra(spark, sf_dir).written(), "volume")
 
 
-@query(_GRID + "select a.d as start, b.d from cells a join cells b using (vid) where a.d % 97 = 1")
+@query(_GRID + """select d.d as start, 4 * (d.cx + t.dx + d.nx * (d.cy + t.dy)) + t.k as d
+from darts d, (values (1, 0, 0), (2, -1, 0), (3, -1, -1), (4, 0, -1)) t(k, dx, dy) where d.cx + t.dx between 0 and d.nx - 1 and d.cy + t.dy between 0 and d.ny - 1""")
 def vertex_i_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All darts at the vertex of every dart."""
     mesh = quads(spark, sf_dir).written()
-    return i_cell(mesh, "vertex", mesh.darts.where("d % 97 = 1").select("d"))
+    return i_cell(mesh, "vertex", mesh.darts.select("d"))
 
 
 @query(_GRID + "select fid as start, case k when 1 then 0 when 2 then 1 when 4 then 2 else 3 end::bigint as pos, d from cells")
@@ -288,9 +323,18 @@ def boundary_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary_darts(hexahedra(spark, sf_dir))
 
 
-@query("select unnest(['b1(b0(d)) = d', 'b0(b1(d)) = d', 'b2(b2(d)) = d', 'b2(d) <> d', 'unused darts are free']) as rule, 0::bigint as violations")
-def valid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(quads(spark, sf_dir).written())
+@query(_GRID + """, bad as (select d, case when d % 10 = 0 then 0 else b0 end as b0, case when d % 15 = 0 then 1 else b1 end as b1, case when d % 14 = 0 then d else b2 end as b2, d % 9 = 0 as unused from darts)
+select 'b1(b0(d)) = d' as rule, count(*) as violations from bad a left join bad b on b.d = a.b0 where a.b0 <> 0 and b.b1 is distinct from a.d
+union all select 'b0(b1(d)) = d', count(*) from bad a left join bad b on b.d = a.b1 where a.b1 <> 0 and b.b0 is distinct from a.d
+union all select 'b2(b2(d)) = d', count(*) from bad a left join bad b on b.d = a.b2 where a.b2 <> 0 and b.b2 is distinct from a.d
+union all select 'b2(d) <> d', count(*) from bad where b2 = d
+union all select 'unused darts are free', count(*) from bad where unused and not (b0 = 0 and b1 = 0 and b2 = 0)""")
+def invalid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations in a grid whose images were changed by rule."""
+    mesh = quads(spark, sf_dir)
+    d = F.col("d")
+    bad = mesh.darts.select("d", F.when(d % 10 == 0, 0).otherwise(F.col("b0")).alias("b0"), F.when(d % 15 == 0, 1).otherwise(F.col("b1")).alias("b1"), F.when(d % 14 == 0, d).otherwise(F.col("b2")).alias("b2"), (d % 9 == 0).alias("unused"))
+    return validate(mesh.with_(darts=bad).written())
 
 
 @query(_GRID + ", inner_v as (select vid from cells group by vid having min(b2) > 0) select a.vid, b.vid as neighbour from cells a join cells b on b.d = a.b2 where a.vid in (select vid from inner_v)")
@@ -407,6 +451,99 @@ def unsewn_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.unsew(mesh, ops, 2)[0].vertices
 
 
+_MARKED = _APART + """, marked as (select s.d, s.twin, s.d % 7 as dim, s.d % 5 as id, t.d % 7 as dim2, t.d % 5 as id2, s.c, s.ix, s.k from sewn s left join sewn t on t.d = s.twin),
+pairs as (select least(d, twin) as vid, min(d) as d, bool_or(dim = dim2 and id <> id2) as fails, any_value(case when k in (2, 3) and ix % 2 = 0 then c else c - 1 end) as c from marked where twin is not null group by 1),
+refused as (select c from pairs group by c having bool_or(fails))
+"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> tuple[Mesh, DataFrame]:
+    """The spread quads with an anchor (d % 7, d % 5) at every vertex."""
+    mesh, ops = _apart(spark, sf_dir)
+    anchors = mesh.darts.select(F.col("d").alias("cell_id"), F.struct((F.col("d") % 7).alias("dim"), (F.col("d") % 5).alias("id")).alias("value"))
+    return mesh.add_attribute("anchor", edits.anchor_attribute("vertex", materialize(anchors, "anchors"))), ops
+
+
+@query(_MARKED + "select 4 * c + 2 as op_id, not bool_or(fails) as ok, case when bool_or(fails) then 'FailedMerge' end as err from pairs group by c")
+def sew_law_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sews whose vertices' anchors can't be merged are refused, the others done."""
+    mesh, ops = _marked(spark, sf_dir)
+    return edits.sew(mesh, ops, 2)[1]
+
+
+@query(_MARKED + """select d as cell_id, dim, id from marked m where twin is null or case when k in (2, 3) and ix % 2 = 0 then c else c - 1 end in (select c from refused)
+union all select least(d, twin), case when dim <= dim2 then dim else dim2 end, case when dim <= dim2 then id else id2 end from marked m where d < twin and case when k in (2, 3) and ix % 2 = 0 then c else c - 1 end not in (select c from refused)""")
+def sewn_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors after these sews: the lower dimension wins where two vertices became one."""
+    mesh, ops = _marked(spark, sf_dir)
+    return edits.sew(mesh, ops, 2)[0].attrs["anchor"].table.select("cell_id", "value.dim", "value.id")
+
+
+@query(_GRID + """, own as (select d, vid, case when cx % 2 = 1 and cx < nx then ix else -1 end as part from cells), parts as (select vid, part, min(d) as new from own group by all),
+ranked as (select vid, new, row_number() over (partition by vid order by new) as r, count(*) over (partition by vid) as n, (vid % 101)::double as v from parts)
+select new as cell_id, case when n = 1 then v when r < n then v / pow(2, r) else v / pow(2, r - 1) end as value from ranked""")
+def unsewn_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at vertices that come apart are halved part by part, so that they add up to what was there."""
+    mesh = quads(spark, sf_dir).written()
+    table = materialize(mesh.vertices.select(F.col("vid").alias("cell_id"), (F.col("vid") % 101).cast("double").alias("value")), "values")
+    mesh = mesh.add_attribute("load", Attribute("vertex", table, lambda a, b: a + b, split=lambda v: (v / 2, v / 2)))
+    nx, _ = _side(spark, sf_dir)
+    ops = mesh.darts.where((F.floor((F.col("d") - 1) / 4) % nx % 2 == 0) & (F.col("d") % 4 == 2) & (F.col("b2") != 0)).select(F.col("d").alias("op_id"), F.col("d").alias("l"))
+    return edits.unsew(mesh, ops, 2)[0].attrs["load"].table
+
+
+@query("with n as (select count(*)::bigint as n from orders), i as (select unnest(range(1, n + 1)) as k, n from n), j as (select k, n, k % 2 = 1 and k < n as first, k % 2 = 0 as second from i) select 2 * k - 1 as vid, case when second then k - 0.25::double else k::double end as x, 0.0::double as y from j where not second union all select 2 * k, case when first then k + 0.75::double else k + 0.5::double end, 0.0::double from j")
+def one_sewn_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two darts in a row, each odd one sewn to the next: the end of the first and the start of the second become one vertex."""
+    n = _table(spark, sf_dir, "orders").count()
+    zero = F.lit(0).cast("bigint")
+    darts = materialize(spark.range(1, 2 * n + 1).select(F.col("id").alias("d"), zero.alias("b0"), zero.alias("b1"), F.when(F.col("id") % 2 == 1, F.col("id") + 1).otherwise(F.col("id") - 1).alias("b2"), F.lit(False).alias("unused")), "rods")
+    at = darts.select(F.col("d").alias("vid"), (F.floor((F.col("d") + 1) / 2) + F.when(F.col("d") % 2 == 0, 0.5).otherwise(0.0)).alias("x"), F.lit(0.0).alias("y"))
+    ops = darts.where(f"d % 4 = 1 and d < {2 * n - 1}").select(F.col("d").alias("op_id"), F.col("d").alias("l"), (F.col("d") + 2).alias("r"))
+    return edits.sew(Mesh(2, darts, materialize(at, "rod-ends")), ops, 1)[0].vertices
+
+
+_BLOCKS = _HEX + """, own as (select d, c, b3, x, y, z, c % nx as ix, nx, (c - c % nx) as row_ from (select d.*, s.nx from darts d, (select nx from g) s)),
+kept as (select d, case when b3 > 0 and (b3 - 1) // 24 // nx = c // nx and (b3 - 1) // 24 <> c and (least(c, (b3 - 1) // 24) % nx) % 2 = 0 then b3 else 0 end as b3, x, y, z, c, row_, nx from own)
+"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[Mesh, DataFrame]:
+    """Hexahedra apart from each other (each with its own vertices), and 3-sews of each even one with the next along x."""
+    mesh = hexahedra(spark, sf_dir).written()
+    nx = _cube(spark, sf_dir)[0]
+    table = cells(mesh)
+    cell = F.floor((F.col("d") - 1) / 24)
+    at = table.select("d", "vid").join(mesh.vertices, "vid").groupBy(cell.alias("c"), "vid", "x", "y", "z").agg(F.min("d").alias("own"))
+    other = F.floor((F.col("b3") - 1) / 24)
+    pair = mesh.darts.where((F.col("b3") > 0) & (F.col("d") % 4 == 1) & (cell % nx % 2 == 0) & (other == cell + 1))
+    ops = materialize(pair.select(F.col("d").alias("op_id"), F.col("d").alias("l"), F.col("b3").alias("r")), "block-sews")
+    apart = mesh.with_(darts=materialize(mesh.darts.withColumn("b3", F.lit(0).cast("bigint")), "blocks"), vertices=materialize(at.select(F.col("own").alias("vid"), "x", "y", "z"), "block-corners"))
+    return apart, ops
+
+
+@query(_BLOCKS + "select d, b3 from kept")
+def three_sewn_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh, ops = _blocks(spark, sf_dir)
+    return edits.sew(mesh, ops, 3)[0].darts.select("d", "b3")
+
+
+@query(_BLOCKS + "select min(d) as vid, x::double as x, y::double as y, z::double as z from kept group by x, y, z, row_, nx, case when c % nx = nx - 1 and nx % 2 = 1 then nx else (c % nx) // 2 end")
+def three_sewn_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of two blocks that were sewn are one vertex, at the middle of both."""
+    mesh, ops = _blocks(spark, sf_dir)
+    return edits.sew(mesh, ops, 3)[0].vertices
+
+
+@query(_BLOCKS + "select count(*) as darts, 0::bigint as linked, count(distinct (c, x, y, z)) as vertices from kept")
+def three_unsewn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sews undone: no dart is linked, and every block has its own corners again."""
+    mesh, ops = _blocks(spark, sf_dir)
+    sewn = edits.sew(mesh, ops, 3)[0].written()
+    out = edits.unsew(sewn, ops.select("op_id", "l"), 3)[0]
+    return out.darts.agg(F.count("*").alias("darts"), F.sum((F.col("b3") > 0).cast("bigint")).alias("linked")).crossJoin(out.vertices.agg(F.count("*").alias("vertices")))
+
+
 # attributes
 
 
@@ -430,10 +567,15 @@ def split_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.split_values(attribute, ops)[0]
 
 
-@query(_VALUES + ", a as (select cell_id, cell_id % 3 as dim, cell_id % 2 as id from v), j as (select a.cell_id, a.dim as d1, a.id as i1, b.dim as d2, b.id as i2 from a join a b on b.cell_id = a.cell_id + 4 where (a.cell_id - 1) // 4 % 2 = 0) select cell_id as op_id, 'FailedMerge' as err from j where d1 = d2 and i1 <> i2")
+_ANCHOR_DIM, _ANCHOR_ID = "(cell_id // 8 + (cell_id // 4) % 2 * ((cell_id // 16) % 2)) % 3", "(cell_id // 4) % 2 * ((cell_id // 8) % 2)"
+
+
+@query(_VALUES + f", a as (select cell_id, {_ANCHOR_DIM} as dim, {_ANCHOR_ID} as id from v), j as (select a.cell_id, a.dim as d1, a.id as i1, b.dim as d2, b.id as i2 from a join a b on b.cell_id = a.cell_id + 4 where (a.cell_id - 1) // 4 % 2 = 0) select cell_id as op_id, 'FailedMerge' as err from j where d1 = d2 and i1 <> i2")
 def anchor_merge_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = order_values(spark, sf_dir).select("cell_id", F.struct((F.col("cell_id") % 3).alias("dim"), (F.col("cell_id") % 2).alias("id")).alias("value"))
-    values = materialize(values, "anchors")
+    """Anchors of one dimension with other ids can't be merged."""
+    div = lambda k: F.floor(F.col("cell_id") / k)
+    dim, name = (div(8) + div(4) % 2 * (div(16) % 2)) % 3, div(4) % 2 * (div(8) % 2)
+    values = materialize(order_values(spark, sf_dir).select("cell_id", F.struct(dim.alias("dim"), name.alias("id")).alias("value")), "anchors")
     ops = values.where(F.floor((F.col("cell_id") - 1) / 4) % 2 == 0).join(values.select((F.col("cell_id") - 4).alias("cell_id")), "cell_id").select(F.col("cell_id").alias("op_id"), F.col("cell_id").alias("out"), F.col("cell_id").alias("l"), (F.col("cell_id") + 4).alias("r"))
     return edits.merge_values(edits.anchor_attribute("face", values), ops)[1]
 
@@ -450,6 +592,43 @@ def removed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.remove_values(values, "cell_id", values.where("cell_id % 8 = 1").select("cell_id"))
 
 
+@query(_VALUES + "select cell_id, value from v where cell_id % 8 = 1 union all select cell_id + 2, null from v where cell_id % 8 = 1")
+def replaced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cells had before they were written, null if nothing."""
+    values = materialize(order_values(spark, sf_dir), "values")
+    asked = values.where("cell_id % 8 = 1").select("cell_id")
+    new = asked.union(asked.select(F.col("cell_id") + 2)).withColumn("value", F.lit(0.0))
+    return edits.replaced_values(values, "cell_id", new)[1]
+
+
+@query("select i as d, i % 3 = 0 and i % 6 <> 0 as unused from (select unnest(range(1, count(*)::bigint + 1)) as i from orders)")
+def claimed_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mesh import from_n_darts
+
+    mesh = from_n_darts(spark, _table(spark, sf_dir, "orders").count())
+    mesh, _ = edits.release(mesh, mesh.darts.where("d % 3 = 0").select("d"))
+    mesh, _ = edits.claim(mesh.written(), mesh.darts.where("d % 6 = 0").select("d"))
+    return mesh.darts.select("d", "unused")
+
+
+@query("select i as start, case when i = 0 then 'NullDart' when i > n then 'UnknownDart' else 'UnusedDart' end as err from (select unnest(range(0, n + 5)) as i, n from (select count(*)::bigint as n from orders)) where i = 0 or i > n or i % 5 = 0")
+def orbit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mesh import from_n_darts
+
+    n = _table(spark, sf_dir, "orders").count()
+    mesh = from_n_darts(spark, n)
+    mesh, _ = edits.release(mesh, mesh.darts.where("d % 5 = 0").select("d"))
+    return cell_errors(mesh, "face", spark.range(0, n + 5).select(F.col("id").alias("d")))
+
+
+@query("select c_custkey as id, (abs(c_custkey % 7 - c_nationkey % 5) + abs(c_custkey % 11 - c_nationkey % 3))::bigint as steps, (c_nationkey % 5 - c_custkey % 7)::bigint as dx, (c_nationkey % 3 - c_custkey % 11)::bigint as dy from customer")
+def cell_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    one, two = (c % 7, c % 11), (n % 5, n % 3)
+    dx, dy = capture.cell_offset(one, two)
+    return _table(spark, sf_dir, "customer").select(c.alias("id"), capture.cell_distance(one, two).cast("bigint").alias("steps"), dx.cast("bigint").alias("dx"), dy.cast("bigint").alias("dy"))
+
+
 @query(_VALUES + "select count(*) as n, round(sum(value), 2) as total, max(value) as most from v")
 def face_value_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_values(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("most"))
@@ -458,13 +637,13 @@ def face_value_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # measures
 
 
-@query(_TRI + "select eid, round(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)), 6) as length from corners where d = eid")
+@query(_TRI_EDGES + "select eid, round(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)), 6) as length from edges")
 def edge_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = triangles(spark, sf_dir).written()
     return _rounded(measure.edge_lengths(mesh, cells(mesh)), "length")
 
 
-@query(_TRI + "select eid, round((sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) - 0.75) / 0.75, 6) as error from corners where d = eid")
+@query(_TRI_EDGES + "select eid, round((sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) - 0.75) / 0.75, 6) as error from edges")
 def length_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = triangles(spark, sf_dir).written()
     return _rounded(measure.length_errors(mesh, cells(mesh), 0.75), "error")
@@ -488,17 +667,29 @@ def skewness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(measure.skewness(mesh, cells(mesh)), "skewness")
 
 
-@query(_HEX + "select distinct min(d) over (partition by fx, fy, fz) as fid, 0.0::double as skewness from darts")
+_SHEARED = _HEX + """, p3 as (select d, b1, c, fx, fy, fz, x + 0.25::double * ((y + z) % 2) as px, y + 0.125::double * (x % 2) as py, z::double as pz from darts),
+own as (select *, min(d) over (partition by fx, fy, fz) as fid from p3),
+side as (select o.* from own o join own i on i.d = o.fid where o.c = i.c),
+tri as (select a.fid, a.px - b.px as ux, a.py - b.py as uy, a.pz - b.pz as uz, c.px - b.px as vx, c.py - b.py as vy, c.pz - b.pz as vz from side a join side b on b.d = a.b1 join side c on c.d = b.b1),
+angles as (select fid, acos(greatest(-1, least(1, (ux * vx + uy * vy + uz * vz) / (sqrt(ux * ux + uy * uy + uz * uz) * sqrt(vx * vx + vy * vy + vz * vz))))) as a from tri)
+"""
+
+
+@query(_SHEARED + "select fid, round(greatest((max(a) - pi() / 2) / (pi() / 2), (pi() / 2 - min(a)) / (pi() / 2)), 6) as skewness from angles group by fid")
 def skewness_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh = hexahedra(spark, sf_dir).written()
-    return measure.skewness(mesh, cells(mesh)).select("fid", F.abs(F.round("skewness", 6)).alias("skewness"))
+    """Of the faces of hexahedra whose vertices were moved by rule."""
+    mesh = hexahedra(spark, sf_dir)
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    moved = mesh.vertices.select("vid", (x + 0.25 * ((y + z) % 2)).alias("x"), (y + 0.125 * (x % 2)).alias("y"), "z")
+    mesh = mesh.with_(vertices=moved).written()
+    return _rounded(measure.skewness(mesh, cells(mesh)), "skewness")
 
 
 def _smoothing(factors: list[float]) -> str:
     """Rounds over the split grid: a vertex's neighbours are those across its darts."""
     steps = [_TRI, ", near as (select a.vid, b.vid as w from cells a join cells b on b.d = a.b2), inside as (select vid from cells group by vid having min(b2) > 0), r0 as (select distinct vid, x, y from cells)"]
     for k, f in enumerate(factors):
-        steps.append(f", m{k} as (select vid, avg(p.x) as mx, avg(p.y) as my from near join r{k} p on p.vid = near.w where near.vid in (select vid from inside) group by near.vid), r{k + 1} as (select p.vid, p.x + coalesce({f} * (mx - p.x), 0) as x, p.y + coalesce({f} * (my - p.y), 0) as y from r{k} p left join m{k} m on m.vid = p.vid)".replace("select vid, avg", "select near.vid, avg"))
+        steps.append(f", m{k} as (select near.vid, avg(p.x) as mx, avg(p.y) as my from near join r{k} p on p.vid = near.w where near.vid in (select vid from inside) group by near.vid), r{k + 1} as (select p.vid, p.x + coalesce({f} * (mx - p.x), 0) as x, p.y + coalesce({f} * (my - p.y), 0) as y from r{k} p left join m{k} m on m.vid = p.vid)")
     return "".join(steps) + f" select vid, round(x, 6) as x, round(y, 6) as y from r{len(factors)}"
 
 
@@ -526,13 +717,24 @@ def taubin_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLACED = "with e as (select event_id as id, (user_id % 16)::double as x, (event_id % 32)::double as y, (user_id % 8)::double as z from events)"
 
 
-@query(_PLACED + "select id, round(x * (y * 1 - z * 2) + y * (z * 2 - x * 1) + z * (x * 2 - y * 2) * 0 + 0 * id, 6) as a, round(sqrt(x * x + y * y), 6) as length, case when x >= 8 and y >= 16 then 2 when y >= 16 then 3 when x >= 8 then 1 else 0 end as quadrant, round(8 * y - 16 * x + 0.0, 6) as turn from e")
+@query(_PLACED + """, v as (select id, x, y, z, sqrt(x * x + y * y + 1) as n2, sqrt(x * x + y * y + z * z + 1) as n3 from e)
+select id, x - 3 as add_x, y + 2 as add_y, x + 3 as sub_x, y - 2 as sub_y, 1.5 * x as mul_x, x / 4 as div_x, -y as neg_y, (x + 8) / 2 as mean_x, round(3 * x - 2 * y + 5 * z, 6) as dot,
+  5 * y + 2 * z as cross_x, 3 * z - 5 * x as cross_y, -2 * x - 3 * y as cross_z, round(sqrt(x * x + y * y), 6) as length, round(sqrt(x * x + y * y + z * z), 6) as length3,
+  round(case when x <> 0 or y <> 0 then x / sqrt(x * x + y * y) end, 6) as unit_x, round(case when x <> 0 or y <> 0 then -y / sqrt(x * x + y * y) end, 6) as normal_x,
+  case when x >= 8 and y >= 16 then 2 when y >= 16 then 3 when x >= 8 then 1 else 0 end as quadrant, 8 * y - 16 * x as turn, (x::float / 3::float)::double as single, x * x + y * y as squared,
+  round((sqrt(x * x + y * y) - 4) / 4, 6) as error from v""")
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 16).cast("double").alias("x"), (F.col("event_id") % 32).cast("double").alias("y"), (F.col("user_id") % 8).cast("double").alias("z"))
-    p = g.vec("")
-    a = F.col("x") * (F.col("y") - 2 * F.col("z")) + F.col("y") * (2 * F.col("z") - F.col("x"))
-    zero, far = (F.lit(0.0), F.lit(0.0)), (F.lit(8.0), F.lit(16.0))
-    return e.select("id", F.round(a, 6).alias("a"), F.round(g.norm(p), 6).alias("length"), g.quadrant(p, far).alias("quadrant"), F.round(g.turn(zero, far, g.add(far, p)), 6).alias("turn"))
+    p, q = g.vec(""), g.vec("", 3)
+    at = lambda *v: tuple(F.lit(float(x)) for x in v)
+    by, by3, zero, far = at(-3, 2), at(3, -2, 5), at(0, 0), at(8, 16)
+    add, sub, cross, single = g.add(p, by), g.sub(p, by), g.cross(q, g.neg(by3)), g.cast(p, "float")
+    return e.select(
+        "id", add[0].alias("add_x"), add[1].alias("add_y"), sub[0].alias("sub_x"), sub[1].alias("sub_y"), g.mul(p, 1.5)[0].alias("mul_x"), g.div(p, 4)[0].alias("div_x"), g.neg(p)[1].alias("neg_y"),
+        g.average(p, far)[0].alias("mean_x"), F.round(g.dot(q, by3), 6).alias("dot"), (-cross[0]).alias("cross_x"), (-cross[1]).alias("cross_y"), (-cross[2]).alias("cross_z"),
+        F.round(g.norm(p), 6).alias("length"), F.round(g.norm(q), 6).alias("length3"), F.round(g.unit_dir(p)[0], 6).alias("unit_x"), F.round(g.normal_dir(p)[0], 6).alias("normal_x"), g.quadrant(p, far).alias("quadrant"),
+        g.turn(zero, far, g.add(far, p)).alias("turn"), g.cast((single[0] / F.lit(3).cast("float"),), "float")[0].cast("double").alias("single"), g.dot(p, p).alias("squared"), F.round(g.length_error(zero, p, 4.0), 6).alias("error"),
+    )
 
 
 @query(_PLACED + ", r as (select id, (8 - x) as ax, -y as ay, -z as az, -x as bx, (16 - y) as by_, -z as bz, -x as cx, -y as cy, (4 - z) as cz from e) select id, sign(ax * (by_ * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by_ * cx)) as side from r")
@@ -558,7 +760,7 @@ def sphere_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POLY = """
 with items as (select l_orderkey as cell, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as k, count(*) over (partition by l_orderkey) as n from lineitem),
 big as (select *, row_number() over (order by cell, k) as d from items where n >= 4),
-corner as (select d, d - k as fid, k as pos, n, q * cos(2 * pi() * k / n) as x, q * sin(2 * pi() * k / n) as y from big)
+corner as (select d, d - k as fid, k as pos, n, round(q * cos(2 * pi() * k / n), 6) as x, round(q * sin(2 * pi() * k / n), 6) as y from big)
 """
 
 
@@ -574,74 +776,172 @@ def convex_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons.fan_convex(mesh, cells(mesh))
 
 
-@query(_POLY + "select distinct fid, n - 2 as tris from corner")
+@query(_POLY + ", sides as (select a.fid, a.n, a.x * b.y - b.x * a.y as w from corner a join corner b on b.fid = a.fid and b.pos = (a.pos + 1) % a.n) select fid, any_value(n) - 2 as tris, round(sum(w) / 2, 4) as area, 0::bigint as flat from sides group by fid")
 def ear_clipping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles of each polygon by ear clipping: a simple polygon of n corners has n - 2."""
+    """Triangles of each polygon by ear clipping: n - 2 of them, none turned over, that cover the polygon's area."""
     mesh = polygon_mesh(spark, sf_dir)
-    return polygons.triangulate(mesh, cells(mesh), "earclip").groupBy("fid").agg(F.count("v0").alias("tris"))
+    found = polygons.triangulate(mesh, cells(mesh), "earclip")
+    for k in range(3):
+        found = found.join(mesh.vertices.select(F.col("vid").alias(f"v{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")), f"v{k}", "left")
+    twice = g.turn(*[(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(3)])
+    return found.groupBy("fid").agg(F.count("v0").alias("tris"), F.round(F.sum(twice) / 2, 4).alias("area"), F.sum((twice < 0).cast("bigint")).alias("flat"))
+
+
+_FANS = _POLY + """, turns as (
+  select s.fid, s.pos as s, s.n, k.pos as k, (a.x - s.x) * (b.y - a.y) - (a.y - s.y) * (b.x - a.x) as t
+  from corner s join corner k on k.fid = s.fid and k.pos between 1 and s.n - 2 join corner a on a.fid = s.fid and a.pos = (s.pos + k.pos) % s.n join corner b on b.fid = s.fid and b.pos = (s.pos + k.pos + 1) % s.n),
+fine as (select fid, s from turns group by fid, s having min(t) > 0 or max(t) < 0),
+chosen as (select fid, min(s) as s from fine group by fid)
+"""
 
 
-@query()
+@query(_FANS + "select t.fid, t.k as tri, t.fid + t.s as v0, t.fid + (t.s + t.k) % t.n as v1, t.fid + (t.s + t.k + 1) % t.n as v2, null::varchar as err from turns t join chosen using (fid, s) union all select distinct fid, 0, null, null, null, 'NonFannable' from corner where fid not in (select fid from chosen)")
 def checked_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = polygon_mesh(spark, sf_dir)
     return polygons.triangulate(mesh, cells(mesh), "fan")
 
 
-@query(_GRID + "select round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, count(*) as n from (select distinct cx::double as x, cy::double as y from cells union all select (a.cx + b.cx) / 2.0::double, (a.cy + b.cy) / 2.0::double from cells a join cells b on b.d = a.b1 where a.d = a.eid)")
+_INSERTED = _GRID + """, edge as (select a.eid, a.b2, a.cx, a.cy, b.cx as fx, b.cy as fy, 4 * a.nx * a.ny as last from cells a join cells b on b.d = a.b1 where a.d = a.eid),
+placed as (select *, last + 1 + {m} * (sum(case when b2 > 0 then 2 else 1 end) over (order by eid rows between unbounded preceding and 1 preceding)) as later, last + 1 as begin from edge)
+select distinct vid, cx::double as x, cy::double as y from cells union all select coalesce(later, begin)::bigint + k, cx + t * (fx - cx)::double, cy + t * (fy - cy)::double from placed, (values {at}) v(k, t)
+"""
+
+
+@query(_INSERTED.format(m=1, at="(0, 0.5::double)"))
 def midpoints_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vertices after halving every edge, with the ids that the new darts give them."""
     mesh = quads(spark, sf_dir).written()
     table = cells(mesh)
-    done, _ = polygons.insert_vertices(mesh, table, table.select("eid").distinct().withColumn("t", F.lit(0.5)))
-    return done.vertices.agg(F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.avg("y"), 6).alias("mean_y"), F.count("*").alias("n"))
+    return polygons.insert_vertices(mesh, table, table.select("eid").distinct().withColumn("t", F.lit(0.5)))[0].vertices
 
 
-@query(_GRID + "select unnest(['vertex', 'edge', 'face']) as kind, unnest([count(distinct vid) + 2 * count(distinct eid), 3 * count(distinct eid), count(distinct fid)])::bigint as n from cells")
-def thirds_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_INSERTED.format(m=2, at="(0, 0.25::double), (1, 0.75::double)"))
+def quarters_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vertices after cutting every edge at a quarter and three quarters."""
     mesh = quads(spark, sf_dir).written()
     table = cells(mesh)
     at = table.select("eid").distinct().select("eid", F.explode(F.array(F.lit(0.25), F.lit(0.75))).alias("t"))
-    return cell_counts(polygons.insert_vertices(mesh, table, at)[0])
+    return polygons.insert_vertices(mesh, table, at)[0].vertices
 
 
 def _small(spark: SparkSession, sf_dir: str) -> Mesh:
-    """A split grid with a cell for each supplier."""
+    """A split grid with a cell for each supplier: an edit round of all its edges takes tens of jobs."""
     n = max(4, _table(spark, sf_dir, "supplier").count())
     side = math.ceil(math.sqrt(n))
     return grids.grid(spark, 2, (side, side), (1.0, 1.0), split_cells=True).written()
 
 
-@query()
+_SMALL = "with s as (select ceil(sqrt(greatest(4, count(*))))::bigint as n from supplier)"
+
+
+def _summed(mesh: Mesh) -> dict[str, DataFrame]:
+    table = cells(mesh)
+    n = {r.kind: r.n for r in cell_counts(mesh, table).collect()}
+    area = measure.face_areas(mesh, table).agg(F.round(F.sum("area"), 6), F.sum((F.col("area") <= 0).cast("int"))).head()
+    return {"n": n, "area": area[0], "turned": area[1], "table": table, "bad": validate(mesh).agg(F.sum("violations")).head()[0]}
+
+
+@query(_SMALL + " select n * n::double as area, 0::bigint as too_long, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler from s")
 def long_edges_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cutting must leave: the area, no edge over the length, no face turned over, sound images, a disc."""
     mesh = polygons.cut_long_edges(_small(spark, sf_dir), 0.8)
-    return _rounded(measure.edge_lengths(mesh, cells(mesh)), "length")
+    x = _summed(mesh)
+    long = measure.edge_lengths(mesh, x["table"]).where("length > 0.8").count()
+    return spark.createDataFrame([(x["area"], long, x["turned"], x["bad"], x["n"]["vertex"] - x["n"]["edge"] + x["n"]["face"])], "area double, too_long bigint, turned bigint, bad bigint, euler bigint")
 
 
-@query()
+@query(_SMALL + " select n * n::double as area, 2 * n * n as faces, 3 * n * n + 2 * n as edges, 0::bigint as turned, 0::bigint as bad, true as flipped from s")
 def edges_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inner edges are wanted: counts and area stay, no face is turned over, at least every cell's diagonal is flipped once."""
     mesh = _small(spark, sf_dir)
-    table = cells(mesh)
-    return polygons.swap_edges(mesh, polygons.swappable(mesh, table).select("eid"))[0].darts
+    out, done = polygons.swap_edges(mesh, polygons.swappable(mesh, cells(mesh)).select("eid"))
+    x = _summed(out)
+    return spark.createDataFrame([(x["area"], x["n"]["face"], x["n"]["edge"], x["turned"], x["bad"], done.count() >= x["n"]["face"] // 2)], "area double, faces bigint, edges bigint, turned bigint, bad bigint, flipped boolean")
 
 
-@query()
+@query(_SMALL + " select n * n::double as area, 2 * (n + 1) * (n + 1) - 2 * n * n as balance, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler, 0::bigint as again from s")
 def edges_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges are wanted: each collapse takes a vertex and two faces, the area stays, and no edge that is left can collapse."""
     mesh = _small(spark, sf_dir)
-    table = cells(mesh)
-    return polygons.collapse_edges(mesh, table.where("d = eid").select("eid"))[0].darts
+    out, _ = polygons.collapse_edges(mesh, cells(mesh).where("d = eid").select("eid"))
+    x = _summed(out)
+    _, again = polygons.collapse_edges(out, x["table"].where("d = eid").select("eid"))
+    return spark.createDataFrame([(x["area"], 2 * x["n"]["vertex"] - x["n"]["face"], x["turned"], x["bad"], x["n"]["vertex"] - x["n"]["edge"] + x["n"]["face"], again.count())], "area double, balance bigint, turned bigint, bad bigint, euler bigint, again bigint")
 
 
-@query()
+@query(_SMALL + " select n * n::double as area, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler from s")
 def remeshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     *_, mesh = polygons.remesh(_small(spark, sf_dir), 0.9, n_rounds=1)
-    return _rounded(measure.edge_lengths(mesh, cells(mesh)), "length")
+    x = _summed(mesh)
+    return spark.createDataFrame([(x["area"], x["turned"], x["bad"], x["n"]["vertex"] - x["n"]["edge"] + x["n"]["face"])], "area double, turned bigint, bad bigint, euler bigint")
+
 
+# Delaunay
 
-@query()
+
+_SITES = "s as (select s_suppkey as pid, ((s_suppkey::bigint * s_suppkey * s_suppkey * 31 + s_suppkey * 7919) % 100003) / 100003.0::double as x, ((s_suppkey::bigint * s_suppkey * 5701 + s_suppkey * 104729) % 100019) / 100019.0::double as y, ((s_suppkey::bigint * s_suppkey * s_suppkey * 17 + s_suppkey::bigint * s_suppkey * 999) % 100043) / 100043.0::double as z from supplier)"
+
+
+def _sites(spark: SparkSession, sf_dir: str, table: str, key: str, first: int = 0) -> DataFrame:
+    """(pid, x, y, z): a place for each row, scattered by its key."""
+    k = F.col(key).cast("bigint") + first
+    places = (k * k * k * 31 + k * 7919) % 100003 / 100003.0, (k * k * 5701 + k * 104729) % 100019 / 100019.0, (k * k * k * 17 + k * k * 999) % 100043 / 100043.0
+    return materialize(_table(spark, sf_dir, table).select(k.alias("pid"), *[p.alias(a) for p, a in zip(places, "xyz", strict=True)]), "sites")
+
+
+@query("with " + _SITES + """, t as (
+  select a.pid as a, b.pid as b, c.pid as c, a.x as ax, a.y as ay, b.x - a.x as bx, b.y - a.y as by_, c.x - a.x as cx, c.y - a.y as cy from s a join s b on a.pid < b.pid join s c on b.pid < c.pid),
+o as (select *, 2 * (bx * cy - by_ * cx) as w from t where bx * cy - by_ * cx <> 0),
+m as (select a, b, c, ax + (cy * (bx * bx + by_ * by_) - by_ * (cx * cx + cy * cy)) / w as ux, ay + (bx * (cx * cx + cy * cy) - cx * (bx * bx + by_ * by_)) / w as uy, ax, ay from o)
+select a, b, c from m where not exists (select 1 from s where pid not in (a, b, c) and (x - ux) ** 2 + (y - uy) ** 2 < ((ax - ux) ** 2 + (ay - uy) ** 2) * (1 - 1e-12))""")
 def delaunay_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the customers' points of all loops, moved to distinct places."""
-    where, _ = loops(spark, sf_dir)
-    distinct = where.groupBy(F.round("x", 3).alias("x"), F.round("y", 3).alias("y")).agg(F.min("id").alias("pid"))
-    return delaunay.triangulate_points(materialize(distinct.select(F.col("pid").cast("bigint").alias("pid"), "x", "y"), "sites"))
+    """Of a place for each supplier; the SQL tries all triples against all places."""
+    found = delaunay.triangulate_points(_sites(spark, sf_dir, "supplier", "s_suppkey"), 40)
+    three = F.array_sort(F.array("a", "b", "c"))
+    return found.select(*[three[k].alias(c) for k, c in enumerate("abc")])
+
+
+_NATIONS = _SITES.replace("s_suppkey", "k").replace("from supplier", "from (select n_nationkey::bigint + 1 as k from nation)")
+
+
+@query("with " + _NATIONS + """, t as (
+  select a.pid as a, b.pid as b, c.pid as c, d.pid as d, a.x as ax, a.y as ay, a.z as az, b.x - a.x as bx, b.y - a.y as by_, b.z - a.z as bz, c.x - a.x as cx, c.y - a.y as cy, c.z - a.z as cz, d.x - a.x as dx, d.y - a.y as dy, d.z - a.z as dz
+  from s a join s b on a.pid < b.pid join s c on b.pid < c.pid join s d on c.pid < d.pid),
+o as (select *, 2 * (bx * (cy * dz - cz * dy) - by_ * (cx * dz - cz * dx) + bz * (cx * dy - cy * dx)) as w, bx * bx + by_ * by_ + bz * bz as b2, cx * cx + cy * cy + cz * cz as c2, dx * dx + dy * dy + dz * dz as d2 from t),
+m as (select a, b, c, d, ax, ay, az, ax + (b2 * (cy * dz - cz * dy) - c2 * (by_ * dz - bz * dy) + d2 * (by_ * cz - bz * cy)) / w as ux, ay + (-b2 * (cx * dz - cz * dx) + c2 * (bx * dz - bz * dx) - d2 * (bx * cz - bz * cx)) / w as uy, az + (b2 * (cx * dy - cy * dx) - c2 * (bx * dy - by_ * dx) + d2 * (bx * cy - by_ * cx)) / w as uz from o where w <> 0)
+select a, b, c, d from m where not exists (select 1 from s where pid not in (a, b, c, d) and (x - ux) ** 2 + (y - uy) ** 2 + (z - uz) ** 2 < ((ax - ux) ** 2 + (ay - uy) ** 2 + (az - uz) ** 2) * (1 - 1e-12))""")
+def delaunay_tetrahedra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a place for each nation; the SQL tries all quadruples."""
+    where = _sites(spark, sf_dir, "nation", "n_nationkey", 1)
+    four = F.array_sort(F.array("a", "b", "c", "d"))
+    return delaunay.tetrahedralize(where, 10).select(*[four[k].alias(c) for k, c in enumerate("abcd")])
+
+
+@query("select 1.0::double as volume, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler, (8 + count(*))::bigint as vertices from supplier")
+def delaunay_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tetrahedral mesh of a unit box with a place for each supplier: it fills the box, is sound, and a ball."""
+    where, tets = delaunay.delaunay_box(spark, (1.0, 1.0, 1.0), _table(spark, sf_dir, "supplier").count(), 5)
+    tets = materialize(numbered(tets, ["a", "b", "c", "d"], "t"), "box-tets")
+    mesh = delaunay.mesh_of_tetrahedra(tets, where)
+    n = {r.kind: r.n for r in cell_counts(mesh).collect()}
+    volume = delaunay.volumes(tets, where).agg(F.round(F.sum("volume"), 9)).head()[0]
+    row = (volume, delaunay.wrong_orientations(tets, where).count(), validate(mesh).agg(F.sum("violations")).head()[0], n["vertex"] - n["edge"] + n["face"] - n["volume"], n["vertex"])
+    return spark.createDataFrame([row], "volume double, turned bigint, bad bigint, euler bigint, vertices bigint")
+
+
+@query("with " + _SITES + " select true as same, 0::bigint as turned")
+def points_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last supplier's place inserted into the mesh of the others (within a frame) gives the mesh of all."""
+    where = _sites(spark, sf_dir, "supplier", "s_suppkey")
+    frame = spark.createDataFrame([(-1, -9.1, -9.3, -9.2), (-2, 10.4, -8.9, -9.1), (-3, -9.0, 10.3, -8.8), (-4, -8.7, -9.4, 10.2), (-5, 9.9, 10.1, 10.6)], where.schema)
+    everyone = materialize(where.unionByName(frame), "sites")
+    last = where.orderBy(F.desc("pid")).limit(1)
+    others = materialize(everyone.join(last.select("pid"), "pid", "left_anti"), "sites")
+    four = F.array_sort(F.array("a", "b", "c", "d")).alias("t")
+    out = delaunay.insert_points(numbered(delaunay.tetrahedralize(others), ["a", "b", "c", "d"], "t"), others, last)
+    both = out.select(four).join(delaunay.tetrahedralize(everyone).select(four, F.lit(1).alias("there")), "t", "full")
+    odd = both.where("there is null").count() + both.count() - out.count()
+    return spark.createDataFrame([(odd == 0, delaunay.wrong_orientations(out, everyone).count())], "same boolean, turned bigint")
 
 
 # capture
@@ -650,7 +950,7 @@ def delaunay_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOPS = """
 with ranked as (select c_custkey as id, c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) - 1 as k, count(*) over (partition by c_nationkey) as n,
     coalesce(lead(c_custkey) over (partition by c_nationkey order by c_custkey), first(c_custkey) over (partition by c_nationkey order by c_custkey)) as nxt from customer),
-pts as (select id, 10 * nation + 0.3::double + (2 + id % 8 / 8.0::double) * cos(2 * pi() * k / n) as x, 0.7::double + (2 + id % 8 / 8.0::double) * sin(2 * pi() * k / n) as y from ranked),
+pts as (select id, nation, 10 * nation + 0.3::double + (2 + id % 8 / 8.0::double) * cos(2 * pi() * k / n) as x, 0.7::double + (2 + id % 8 / 8.0::double) * sin(2 * pi() * k / n) as y from ranked),
 seg as (select id as seg_id, id as v0, nxt as v1 from ranked where n > 2),
 ends as (select seg_id, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from seg join pts a on a.id = v0 join pts b on b.id = v1),
 hits as (
@@ -660,11 +960,6 @@ hits as (
 """
 
 
-@query("select null::bigint as id, null::varchar as side, null::bigint as n where false")
-def loop_orientation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.orientation_issues(loops(spark, sf_dir)[1])
-
-
 @query("select v as id, side, n from (select c_nationkey as v, 'out' as side, count(*) as n from customer group by 1 union all select c_custkey % 7, 'in', count(*) from customer group by 1) where n > 1")
 def orientation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seg_id"), F.col("c_nationkey").alias("v0"), (F.col("c_custkey") % 7).alias("v1"))
@@ -678,7 +973,25 @@ def grid_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.select("seg_id", F.col("pos").cast("bigint").alias("pos"), "s", "x", "y", "axis", "line"), "s", "x", "y")
 
 
-@query()
+_CROSSED = _LOOPS[: _LOOPS.index("hits as (")].rstrip().rstrip(",") + """,
+g as (select min(x) - 0.75 as ox, min(y) - 0.75 as oy, max(x) as mx, max(y) as my from pts),
+n as (select ox, oy, ceil((mx - ox) / 0.5)::bigint + 1 as nx, ceil((my - oy) / 0.5)::bigint + 1 as ny from g),
+raw as (
+  select seg_id, 'x' as axis, line, (ox + line * 0.5 - ax) / (bx - ax) as s, ax, ay, bx, by_, ox, oy, nx, ny from (select *, unnest(range((floor((least(ax, bx) - ox) / 0.5) + 1)::bigint, ceil((greatest(ax, bx) - ox) / 0.5)::bigint)) as line from ends, n)
+  union all
+  select seg_id, 'y', line, (oy + line * 0.5 - ay) / (by_ - ay), ax, ay, bx, by_, ox, oy, nx, ny from (select *, unnest(range((floor((least(ay, by_) - oy) / 0.5) + 1)::bigint, ceil((greatest(ay, by_) - oy) / 0.5)::bigint)) as line from ends, n)),
+spot as (select seg_id, axis, line, nx, ny, (ax + s * (bx - ax) - ox) / 0.5 as u, (ay + s * (by_ - ay) - oy) / 0.5 as v from raw),
+cell as (select *, case when axis = 'x' then line else floor(u)::bigint end as col, case when axis = 'x' then floor(v)::bigint else line end as row_ from spot),
+dart as (
+  select seg_id, nx, ny, 4 * (col + nx * row_) + case when axis = 'x' then 4 else 1 end as dart,
+    case when axis = 'x' then 4 * (col - 1 + nx * row_) + 2 else 4 * (col + nx * (row_ - 1)) + 3 end as other,
+    case when axis = 'x' then 1 - (v - row_) else u - col end as t from cell),
+placed as (select seg_id, nx, ny, least(dart, other) as eid, case when least(dart, other) = dart then t else 1 - t end as t from dart),
+counts as (select eid, 4 * any_value(nx) * any_value(ny) + 1 + 2 * coalesce(sum(count(*)) over (order by eid rows between unbounded preceding and 1 preceding), 0) as first_dart from placed group by eid)
+"""
+
+
+@query(_CROSSED + "select eid, row_number() over (partition by eid order by t, seg_id)::int as pos, round(t, 6) as t, seg_id, first_dart::bigint as first_dart from placed join counts using (eid)")
 def crossings_per_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     where, segments = loops(spark, sf_dir)
     (nx, ny), origin = capture.overlapping_grid(where, (0.5, 0.5))
@@ -686,6 +999,54 @@ def crossings_per_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(capture.intersections_per_edge(hits, (nx, ny), (0.5, 0.5), origin), "t")
 
 
+def _captured(spark: SparkSession, sf_dir: str, side: str | None) -> capture.Captured:
+    where, segments = loops(spark, sf_dir)
+    used = where.join(segments.select(F.col("v0").alias("id")), "id", "left_semi")
+    return capture.capture_geometry(materialize(used, "captured-points"), segments, used.select("id"), (0.5, 0.5), side)
+
+
+_RING = _LOOPS[: _LOOPS.index("ends as (")].rstrip().rstrip(",") + """,
+ring as (select a.nation, a.id, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from seg join pts a on a.id = v0 join pts b on b.id = v1)
+"""
+
+
+@query(_RING + "select nation, round(sum(ax * by_ - ay * bx) / 2, 4) as area, count(*) as nodes from ring group by nation")
+def captured_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's loop captured in a grid and clipped: its faces have the loop's area, and all its points are nodes."""
+    kept = _captured(spark, sf_dir, capture.RIGHT)
+    table = cells(kept.mesh).join(kept.mesh.darts.where("not unused").select("d"), "d", "left_semi")
+    middle = F.floor((F.col("x") + 4.7) / 10).cast("bigint")
+    area = measure.face_areas(kept.mesh, table).join(table.join(kept.mesh.vertices, "vid").groupBy("fid").agg(F.avg("x").alias("x")), "fid").groupBy(middle.alias("nation")).agg(F.round(F.sum("area"), 4).alias("area"))
+    nodes = kept.nodes.join(kept.mesh.vertices, "vid").groupBy(middle.alias("nation")).agg(F.count("*").alias("nodes"))
+    return area.join(nodes, "nation")
+
+
+@query(_CROSSED + ", m as (select any_value(nx) as nx, any_value(ny) as ny, count(*) as c from placed), k as (select count(*) as k, count(distinct nation) as loops from seg join pts on id = v0) select unnest(['vertex', 'edge', 'face']) as kind, unnest([(nx + 1) * (ny + 1) + c + k, nx * (ny + 1) + ny * (nx + 1) + c + c + k, nx * ny + c])::bigint as n from m, k")
+def captured_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the captured mesh: a crossing adds a vertex, cuts a grid edge and starts a piece of the boundary, which cuts a face."""
+    return cell_counts(_captured(spark, sf_dir, None).mesh)
+
+
+@query(_RING + "select 'vertex' as kind, 0 as dim, count(*) as n from ring")
+def captured_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of the clipped mesh: each point of the loops is a node of its own."""
+    kept = _captured(spark, sf_dir, capture.RIGHT)
+    anchors = capture.classify(kept.mesh, kept.nodes)
+    return anchors["vertex"].where("dim = 0").select("dim", "id").distinct().groupBy(F.lit("vertex").alias("kind"), "dim").agg(F.count("*").alias("n"))
+
+
+@query(_RING + "select nation as surface, round(sum(ax * by_ - ay * bx) / 2, 4) as area, 0::bigint as turned from ring group by nation")
+def first_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture, classification and triangles in one: a surface for each nation, in the order of the nations, with its loop's area."""
+    where, segments = loops(spark, sf_dir)
+    used = materialize(where.join(segments.select(F.col("v0").alias("id")), "id", "left_semi"), "captured-points")
+    mesh, anchors = capture.first_mesh(used, segments, used.select("id"), (0.5, 0.5), capture.RIGHT)
+    table = cells(mesh)
+    area = measure.face_areas(mesh, table).join(anchors["face"], "fid").join(table.join(mesh.vertices, "vid").groupBy("fid").agg(F.avg("x").alias("x")), "fid")
+    by = area.groupBy("id").agg(F.floor((F.avg("x") + 4.7) / 10).cast("bigint").alias("surface"), F.round(F.sum("area"), 4).alias("area"), F.sum((F.col("area") <= 0).cast("bigint")).alias("turned"))
+    return by.select("surface", "area", "turned")
+
+
 _REGIONS = _GRID + """, tag as (select row_number() over (order by o_orderkey) - 1 as c, o_custkey % 5 as tag from orders),
 edges as (select a.fid as f, b.fid as t from cells a join cells b on b.d = a.b2 join tag x on x.c = a.c join tag y on y.c = b.c where x.tag = y.tag),
 faces as (select distinct fid from cells),
@@ -697,7 +1058,7 @@ _REGIONS = _REGIONS.replace("with p as", "with recursive p as", 1)
 def _walls(spark: SparkSession, sf_dir: str, mesh: Mesh, table: DataFrame) -> DataFrame:
     """Edges between faces whose orders' customers differ modulo 5."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    tag = orders.select((4 * (F.row_number().over(Window.orderBy("o_orderkey")) - 1) + 1).alias("f"), (F.col("o_custkey") % 5).alias("tag"))
+    tag = numbered(orders, ["o_orderkey"], "c").select((4 * F.col("c") + 1).alias("f"), (F.col("o_custkey") % 5).alias("tag"))
     both = capture.shared_edges(mesh, table).join(tag.select(F.col("f").alias("f1"), F.col("tag").alias("t1")), "f1", "left").join(tag.select(F.col("f").alias("f2"), F.col("tag").alias("t2")), "f2", "left")
     return both.where("t1 is null or t2 is null or t1 <> t2").select("eid")
 
@@ -726,14 +1087,14 @@ def boundary_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.boundary_curves(mesh, table, corner)
 
 
-@query(_REGIONS + ", r as (select fid, min(root) as region from reach group by fid), gone as (select fid from r where region % 8 = 1) select count(*) as used from cells where fid not in (select fid from gone)")
+@query(_REGIONS + ", r as (select fid, min(root) as region from reach group by fid), gone as (select fid from r where region % 8 = 1), c as (select a.d, a.b1, a.b2, a.fid, 4 * a.c + (a.k + 2) % 4 + 1 as b0, a.fid in (select fid from gone) as gone from cells a) select c.d, case when c.gone then 0 else c.b0 end as b0, case when c.gone then 0 else c.b1 end as b1, case when c.gone or o.gone then 0 else c.b2 end as b2, c.gone as unused from c left join c o on o.d = c.b2")
 def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = quads(spark, sf_dir).written()
     table = cells(mesh)
     walls = materialize(_walls(spark, sf_dir, mesh, table), "walls")
     regions = capture.flood(table.select("fid").distinct(), capture.shared_edges(mesh, table), walls)
     marked = materialize(regions.where("region % 8 = 1").select(F.col("region").alias("fid")).distinct(), "marked")
-    return capture.clip(mesh, table, marked, walls).darts.where("not unused").agg(F.count("*").alias("used"))
+    return capture.clip(mesh, table, marked, walls).darts
 
 
 # overlay
@@ -741,7 +1102,7 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DEPTH = 6
 _QUADS = f"""
-with b as (select min(user_id)::double as x0, max(user_id)::double as x1, min(value)::double as y0, max(value)::double as y1 from events),
+with recursive b as (select min(user_id)::double as x0, max(user_id)::double as x1, min(value)::double as y0, max(value)::double as y1 from events),
 e as (select least({2**_DEPTH - 1}, greatest(0, floor((user_id - x0) / (x1 - x0) * {2**_DEPTH})))::bigint as ix, least({2**_DEPTH - 1}, greatest(0, floor((value - y0) / (y1 - y0) * {2**_DEPTH})))::bigint as iy from events, b),
 l as (select unnest(range(0, {_DEPTH + 1})) as level),
 q as (select level::int as level, ix >> ({_DEPTH} - level) as ix, iy >> ({_DEPTH} - level) as iy, count(*) as n from e, l group by all)
@@ -766,41 +1127,91 @@ def _leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(overlay.leaves(overlay.balance(overlay.refine(where, box, _DEPTH, most=4))), "leaves")
 
 
-@query("select 1.0::double as area")
-def balanced_leaf_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaves of a balanced tree cover the root once."""
-    return _leaf(spark, sf_dir).agg(F.round(F.sum(F.pow(F.lit(0.25), F.col("level"))), 9).alias("area"))
+#: The balanced tree: a split quad needs the neighbours' parents split, with their siblings.
+_TREE = _QUADS + f""", full_ as (select * from q where n > 4 and level < {_DEPTH}), par as (select distinct level - 1 as level, ix >> 1 as ix, iy >> 1 as iy from full_ where level > 0),
+four(a, b) as (values (0, 0), (0, 1), (1, 0), (1, 1)), moves(dx, dy) as (values (1, 0), (-1, 0), (0, 1), (0, -1)),
+split0 as (select 0 as level, 0::bigint as ix, 0::bigint as iy from full_ where level = 0 union select (level + 1)::int, 2 * ix + a, 2 * iy + b from par, four),
+split as (
+  select level, ix, iy from split0
+  union
+  select (s.level - 1)::int, case when s.level = 1 then 0 else 2 * ((ix + dx) >> 2) + a end, case when s.level = 1 then 0 else 2 * ((iy + dy) >> 2) + b end
+  from split s, moves, four where s.level > 0 and ix + dx between 0 and (1 << s.level) - 1 and iy + dy between 0 and (1 << s.level) - 1),
+exist as (select 0 as level, 0::bigint as ix, 0::bigint as iy union select (level + 1)::int, 2 * ix + a, 2 * iy + b from split, four),
+leaf as (select x.* from exist x where not exists (select 1 from split s where s.level = x.level and s.ix = x.ix and s.iy = x.iy)),
+side as (select level, ix, iy, dx, dy, ix + dx as jx, iy + dy as jy from leaf, moves where ix + dx between 0 and (1 << level) - 1 and iy + dy between 0 and (1 << level) - 1),
+finer as (select distinct s.level, s.ix, s.iy, s.dx, s.dy from side s join split p on p.level = s.level and p.ix = s.jx and p.iy = s.jy)
+"""
 
 
-@query("select count(*) as n from events")
-def points_in_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = points(spark, sf_dir)
-    return overlay.leaf_of(where, _leaf(spark, sf_dir), grids.bounding_box(where), _DEPTH).agg(F.count("*").alias("n"))
+@query(_TREE + "select level, ix, iy from leaf")
+def balanced_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaf(spark, sf_dir).select("level", "ix", "iy")
 
 
-@query("select 0::bigint as n")
-def unbalanced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves with an edge neighbour two levels coarser: none is left."""
-    leaf = _leaf(spark, sf_dir)
-    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    near = leaf.select("level", "ix", "iy", F.explode(moves).alias("m"))
-    near = near.select("level", (F.col("ix") + F.col("m.a")).alias("jx"), (F.col("iy") + F.col("m.b")).alias("jy")).where("level >= 2")
-    near = near.withColumn("up", F.explode(F.sequence(F.lit(0), F.col("level") - 2)))
-    cut = F.pow(F.lit(2), F.col("level") - F.col("up"))
-    keyed = near.where("jx >= 0 and jy >= 0").select(F.col("up").cast("int").alias("level"), F.floor(F.col("jx") / cut).cast("bigint").alias("ix"), F.floor(F.col("jy") / cut).cast("bigint").alias("iy"))
-    return keyed.join(leaf, overlay.KEY).agg(F.count("*").alias("n"))
+@query(_TREE + f", h as (select l.level, l.ix, l.iy, count(*) as n from e join leaf l on l.ix = e.ix >> ({_DEPTH} - l.level) and l.iy = e.iy >> ({_DEPTH} - l.level) group by all) select level, ix, iy, n from h")
+def points_in_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = points(spark, sf_dir)
+    held = overlay.leaf_of(where, _leaf(spark, sf_dir), grids.bounding_box(where), _DEPTH)
+    return held.groupBy("level", "ix", "iy").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_TREE + """select s.level, s.ix, s.iy, s.level as level2, s.jx as ix2, s.jy as iy2 from side s join leaf n on n.level = s.level and n.ix = s.jx and n.iy = s.jy where s.dx + s.dy > 0
+union all select s.level, s.ix, s.iy, s.level - 1, s.jx >> 1, s.jy >> 1 from side s join leaf n on n.level = s.level - 1 and n.ix = s.jx >> 1 and n.iy = s.jy >> 1""")
 def dual_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring leaves, the finer first."""
     return overlay.dual_edges(_leaf(spark, sf_dir))
 
 
-@query()
+@query(_TREE + "select l.level, l.ix, l.iy, not exists (select 1 from finer f where f.level = l.level and f.ix = l.ix and f.iy = l.iy) as regular from leaf l")
 def regular_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.regular(_leaf(spark, sf_dir))
 
 
+#: Added before rounding, so that no place is half way between two results.
+_OFF = 1.2345e-6
+#: Corners of the leaves' polygons in halves of the deepest quads.
+_CORNERS = _TREE + f""", w as (select *, (1 << ({_DEPTH + 1} - level))::bigint as s from leaf),
+corner as (
+  select level, ix, iy, (ix + a) * s as px, (iy + b) * s as py from w, four
+  union all select w.level, w.ix, w.iy, w.ix * s + s // 2 + f.dx * s // 2, w.iy * s + s // 2 + f.dy * s // 2 from w join finer f on f.level = w.level and f.ix = w.ix and f.iy = w.iy)
+"""
+
+
+@query(_CORNERS + f"select count(*) as n, round(x0 + avg(px) / {2 ** (_DEPTH + 1)} * (x1 - x0) + {_OFF}::double, 5) as x, round(y0 + avg(py) / {2 ** (_DEPTH + 1)} * (y1 - y0) + {_OFF}::double, 5) as y from corner, b group by level, ix, iy, x0, x1, y0, y1")
+def overlay_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves as a mesh: corners of each face, hanging ones too, and their mean."""
+    box = grids.bounding_box(points(spark, sf_dir))
+    mesh = overlay.refined_mesh(_leaf(spark, sf_dir), box, _DEPTH)
+    table = cells(mesh)
+    n = table.groupBy("fid").agg(F.count("*").alias("n"))
+    return overlay.face_centers(mesh, table).join(n, "fid").select("n", *[F.round(F.col(a) + _OFF, 5).alias(a) for a in "xy"])
+
+
+#: Middles of the sides that two sibling leaves beside one finer neighbour share.
+_MIDDLES = _CORNERS + f""", mid as (
+  select distinct case when f.dy <> 0 then (2 * (f.ix // 2) + 1) * s else f.ix * s + s // 2 end as px, case when f.dy <> 0 then f.iy * s + s // 2 else (2 * (f.iy // 2) + 1) * s end as py
+  from finer f join w on w.level = f.level and w.ix = f.ix and w.iy = f.iy where f.level > 0),
+place as (select px, py from corner union select px, py from mid)
+"""
+
+
+@query(_MIDDLES + f"select round(x0 + px / {float(2 ** (_DEPTH + 1))}::double * (x1 - x0) + {_OFF}::double, 5) as x, round(y0 + py / {float(2 ** (_DEPTH + 1))}::double * (y1 - y0) + {_OFF}::double, 5) as y from place, b")
+def regularized_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = grids.bounding_box(points(spark, sf_dir))
+    return overlay.regularize(_leaf(spark, sf_dir), box, _DEPTH).vertices.select(*[F.round(F.col(a) + _OFF, 5).alias(a) for a in "xy"])
+
+
+@query(_MIDDLES + f"select 4::bigint as corners, count(*) as n, 0::bigint as bad, 0::bigint as turned from place where px > 0 and py > 0 and px < {2 ** (_DEPTH + 1)} and py < {2 ** (_DEPTH + 1)}")
+def dual_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dual of the regularised mesh: a face of four corners for each inner vertex."""
+    box = grids.bounding_box(points(spark, sf_dir))
+    mesh = overlay.dualize(overlay.regularize(_leaf(spark, sf_dir), box, _DEPTH))
+    table = cells(mesh)
+    bad = validate(mesh).agg(F.sum("violations")).head()[0]
+    area = measure.face_areas(mesh, table)
+    return area.groupBy(F.col("n").alias("corners")).agg(F.count("*").alias("n"), F.lit(bad).alias("bad"), F.sum((F.col("area") <= 0).cast("bigint")).alias("turned"))
+
+
 # files
 
 
@@ -812,15 +1223,40 @@ def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_cmap(spark, files.format_cmap(mesh)).darts
 
 
-@query(_GRID.replace("from orders", "from supplier") + "select unnest(['vertex', 'edge', 'face']) as kind, unnest([count(distinct vid), count(distinct eid), count(distinct fid)]) as n from cells")
+@query(_GRID.replace("from orders", "from supplier") + "select d, b0, b1, b2, false as unused from darts")
 def vtk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces written as binary VTK and read again are the same darts: files keep the order of faces and corners."""
     n = _table(spark, sf_dir, "supplier").count()
     nx = max(1, math.ceil(math.sqrt(n)))
     mesh = grids.grid(spark, 2, (nx, max(1, -(-n // nx))), (1.0, 1.0)).written()
     where, found = files.parse_vtk(files.format_vtk(mesh, binary=True))
     table = spark.createDataFrame([(k, v) for k, (t, v) in enumerate(found) if t != files.VTK_LINE], "cell bigint, vids array<bigint>")
     at = spark.createDataFrame([(k, *p) for k, p in enumerate(where)], "id bigint, x double, y double, z double")
-    return cell_counts(files.mesh_of_cells(at, table))
+    return files.mesh_of_cells(at, table).darts
+
+
+# viewer
+
+
+_INDEXED = _GRID + ", v as (select vid, row_number() over (order by vid) - 1 as index from (select distinct vid from cells))"
+
+
+@query(_INDEXED + "select a.d, a.vid, a.eid, a.fid, 1::bigint as volid, s.index as start, e.index as end from cells a join cells b on b.d = a.b1 join v s on s.vid = a.vid join v e on e.vid = b.vid")
+def viewer_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewer.extract(quads(spark, sf_dir).written())["darts"]
+
+
+@query(_INDEXED + "select a.fid, v.index, round(case when k in (1, 4) then -1 else 1 end / sqrt(2), 6) as x, round(case when k in (1, 2) then -1 else 1 end / sqrt(2), 6) as y from cells a join v using (vid)")
+def viewer_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of squares point outwards along their diagonals."""
+    return _rounded(viewer.extract(quads(spark, sf_dir).written())["normals"], "x", "y")
+
+
+@query(_HEX + ", v as (select x, y, z, row_number() over (order by min(d)) - 1 as index from darts group by x, y, z), mid as (select c, avg(x) as mx, avg(y) as my, avg(z) as mz from darts group by c) select distinct 24 * d.c + 1 as volid, v.index, round(2 * (d.x - mx) / sqrt(3), 6) as x, round(2 * (d.y - my) / sqrt(3), 6) as y, round(2 * (d.z - mz) / sqrt(3), 6) as z from darts d join v using (x, y, z) join mid m on m.c = d.c")
+def viewer_normals_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of cubes point outwards along their diagonals."""
+    found = viewer.extract(hexahedra(spark, sf_dir).written())["normals"]
+    return _rounded(found, "x", "y", "z")
 
 
 def vertex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
