@@ -1,9 +1,9 @@
 """Cell ids, ordered orbits, and what is counted over them.
 
-A cell's id is the least dart of its orbit.  In two dimensions an orbit's
-generator and its inverse are both known functions, so ids come by pointer
-doubling (the reach doubles each round); in three dimensions orbits have more
-generators and ids come from connected components of the generator edges.
+A cell's id is the least dart of its orbit.  Where a generator and its inverse are
+both known functions, ids come by pointer doubling (the reach doubles each
+round); vertices and volumes of three dimensions have more generators: parts of
+their orbits come by doubling, and connected components join the parts.
 """
 
 from __future__ import annotations
@@ -71,24 +71,45 @@ def _doubled(darts: DataFrame, forward: tuple[int, ...], backward: tuple[int, ..
         state = materialize(state, f"{name}-state")
 
 
-def _components(darts: DataFrame, gens: list[tuple[int, ...]], name: str) -> DataFrame:
-    edges = reduce(DataFrame.union, [compose(darts, g) for g in gens]).select(F.col("d").alias("a"), F.col("to").alias("b"))
-    found = connected_components(edges).select(F.col("node").alias("d"), F.col("component").alias(name))
-    return darts.select("d").join(found, "d", "left").select("d", F.coalesce(name, "d").alias(name))
+def _linked(parts: DataFrame, steps: list[DataFrame], name: str) -> DataFrame:
+    """(d, name): parts (d, part) joined by steps (d, to) between darts; only the parts, not the darts, take part in the components' rounds."""
+    parts = materialize(parts, f"{name}-parts")
+    far = parts.select(F.col("d").alias("to"), F.col("part").alias("b"))
+    edges = reduce(DataFrame.union, [s.join(parts, "d").join(far, "to").select(F.col("part").alias("a"), "b") for s in steps]).distinct()
+    found = connected_components(edges).select(F.col("node").alias("part"), F.col("component").alias(name))
+    return parts.join(found, "part", "left").select("d", F.coalesce(name, "part").alias(name))
+
+
+def _least_across(parts: DataFrame, darts: DataFrame, images: list[str], name: str) -> DataFrame:
+    """(d, name): the least part of a dart and of its images."""
+    parts = materialize(parts, f"{name}-parts")
+    state = darts.select("d", *images).join(parts, "d")
+    for b in images:
+        state = state.join(parts.select(F.col("d").alias(b), F.col("part").alias(f"part_{b}")), b, "left")
+    return state.select("d", F.least("part", *[F.coalesce(f"part_{b}", "part") for b in images]).alias(name))
+
+
+def _ids_3d(darts: DataFrame, kind: str, name: str) -> DataFrame:
+    """Parts of orbits that are one cycle come by doubling; what is left to join are few parts of a cell."""
+    if kind == "edge":  # b2 and b3 in turn: two cycles, told apart by the first step
+        return _least_across(_doubled(darts, (3, 2), (2, 3), "part"), darts, ["b2", "b3"], name)
+    if kind == "vertex":  # around the corner of one volume, then across volumes
+        return _linked(_doubled(darts, (1, 2), (2, 0), "part"), [compose(darts, (1, 3)), compose(darts, (2, 3))], name)
+    side = _doubled(darts, (1,), (0,), "part")
+    return _least_across(side, darts, ["b3"], name) if kind == "face" else _linked(side, [compose(darts, (2,))], name)
 
 
 def cell_ids(mesh: Mesh, kind: str) -> DataFrame:
     """(d, id) of every dart; kind: vertex, edge, face or volume."""
     name = {"vertex": "vid", "edge": "eid", "face": "fid", "volume": "volid"}[kind]
     darts = mesh.darts
-    if mesh.dim == 2:
-        if kind == "edge":
-            return darts.select("d", F.when(F.col("b2") == 0, F.col("d")).otherwise(F.least("d", "b2")).alias(name))
-        if kind == "volume":
-            raise MeshError("no volume orbit in 2 dimensions")
-        return _doubled(darts, (1, 2), (2, 0), name) if kind == "vertex" else _doubled(darts, (1,), (0,), name)
-    gens = {"vertex": [(1, 2), (1, 3), (2, 3)], "edge": [(2,), (3,)], "face": [(1,), (3,)], "volume": [(1,), (2,)]}[kind]
-    return _components(darts, gens, name)
+    if mesh.dim == 3:
+        return _ids_3d(darts, kind, name)
+    if kind == "edge":
+        return darts.select("d", F.when(F.col("b2") == 0, F.col("d")).otherwise(F.least("d", "b2")).alias(name))
+    if kind == "volume":
+        raise MeshError("no volume orbit in 2 dimensions")
+    return _doubled(darts, (1, 2), (2, 0), name) if kind == "vertex" else _doubled(darts, (1,), (0,), name)
 
 
 def cells(mesh: Mesh) -> DataFrame:

@@ -824,9 +824,9 @@ def quarters_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons.insert_vertices(mesh, table, at)[0].vertices
 
 
-def _small(spark: SparkSession, sf_dir: str) -> Mesh:
-    """A split grid with a cell for each supplier: an edit round of all its edges takes tens of jobs."""
-    n = max(4, _table(spark, sf_dir, "supplier").count())
+def _small(spark: SparkSession, sf_dir: str, table: str = "supplier") -> Mesh:
+    """A split grid with a cell for each row: an edit round takes tens of jobs, and a batch some ten rounds."""
+    n = max(4, _table(spark, sf_dir, table).count())
     side = math.ceil(math.sqrt(n))
     return grids.grid(spark, 2, (side, side), (1.0, 1.0), split_cells=True).written()
 
@@ -859,14 +859,15 @@ def edges_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x["area"], x["n"]["face"], x["n"]["edge"], x["turned"], x["bad"], done.count() >= x["n"]["face"] // 2)], "area double, faces bigint, edges bigint, turned bigint, bad bigint, flipped boolean")
 
 
-@query(_SMALL + " select n * n::double as area, 2 * (n + 1) * (n + 1) - 2 * n * n as balance, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler, 0::bigint as again from s")
+@query(_SMALL.replace("supplier", "nation") + " select n * n::double as area, 2 * (n + 1) * (n + 1) - 2 * n * n as balance, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler, true as collapsed from s")
 def edges_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges are wanted: each collapse takes a vertex and two faces, the area stays, and no edge that is left can collapse."""
-    mesh = _small(spark, sf_dir)
-    out, _ = polygons.collapse_edges(mesh, cells(mesh).where("d = eid").select("eid"))
+    """The cells' diagonals are wanted: each collapse takes a vertex and two faces, and the area stays."""
+    mesh = _small(spark, sf_dir, "nation")
+    table = cells(mesh)
+    out, done = polygons.collapse_edges(mesh, materialize(measure.edge_lengths(mesh, table).where("length > 1.2").select("eid"), "diagonals"))
     x = _summed(out)
-    _, again = polygons.collapse_edges(out, x["table"].where("d = eid").select("eid"))
-    return spark.createDataFrame([(x["area"], 2 * x["n"]["vertex"] - x["n"]["face"], x["turned"], x["bad"], x["n"]["vertex"] - x["n"]["edge"] + x["n"]["face"], again.count())], "area double, balance bigint, turned bigint, bad bigint, euler bigint, again bigint")
+    row = (x["area"], 2 * x["n"]["vertex"] - x["n"]["face"], x["turned"], x["bad"], x["n"]["vertex"] - x["n"]["edge"] + x["n"]["face"], not done.isEmpty())
+    return spark.createDataFrame([row], "area double, balance bigint, turned bigint, bad bigint, euler bigint, collapsed boolean")
 
 
 @query(_SMALL + " select n * n::double as area, 0::bigint as turned, 0::bigint as bad, 1::bigint as euler from s")
