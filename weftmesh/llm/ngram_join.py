@@ -371,9 +371,10 @@ def _clusters(docs: DataFrame, sketches: DataFrame, members: DataFrame) -> DataF
         k = on.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
         rows, level = materialize(on.join(k, "key"), "ngram-lots"), level + 1
     components = materialize(connected_components(links if links is not None else members.selectExpr("node as a", "node as b").limit(0)), "ngram-clusters")
-    sizes = components.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size"))
+    sizes = materialize(components.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size")), "ngram-sizes")
     discard(sets)
-    return materialize(components.withColumnRenamed("component", "cluster").join(sizes, "cluster").select("node", "cluster", "size"), "ngram-sizes")
+    named = sized_join(components.withColumnRenamed("component", "cluster"), sizes, "cluster", "inner", 24)
+    return materialize(named.select("node", "cluster", "size"), "ngram-sized")
 
 
 def _held_elsewhere(low: DataFrame, grouped: DataFrame) -> DataFrame:
