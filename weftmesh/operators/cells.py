@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..mesh import Mesh, MeshError
 from ..plans.components import connected_components
-from ..plans.storage import materialize
+from ..plans.storage import discard, materialize
 
 # Generators by policy and dimension, in visiting order; (1, 2) is b1 after b2.
 GENERATORS = {
@@ -57,7 +57,7 @@ def _doubled(darts: DataFrame, forward: tuple[int, ...], backward: tuple[int, ..
     ids = darts.select("d")
     state = ids.join(compose(darts, forward, "f"), "d", "left").join(compose(darts, backward, "g"), "d", "left")
     state = state.select("d", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("g", F.lit(0)).alias("g"), F.col("d").alias("least"))
-    state = materialize(state, f"{name}-state")
+    written = state = materialize(state, f"{name}-state")
     before = None
     while True:
         total = state.agg(F.sum(F.col("least").cast("decimal(38,0)"))).head()[0]
@@ -68,7 +68,9 @@ def _doubled(darts: DataFrame, forward: tuple[int, ...], backward: tuple[int, ..
         behind = state.select(F.col("d").alias("g"), F.col("g").alias("g2"), F.col("least").alias("gl"))
         state = state.join(ahead, "f", "left").join(behind, "g", "left")
         state = state.select("d", F.coalesce("f2", F.lit(0)).alias("f"), F.coalesce("g2", F.lit(0)).alias("g"), F.least("least", F.coalesce("fl", "least"), F.coalesce("gl", "least")).alias("least"))
-        state = materialize(state, f"{name}-state")
+        last, state = written, materialize(state, f"{name}-state")
+        written = state
+        discard(last)
 
 
 def _linked(parts: DataFrame, steps: list[DataFrame], name: str) -> DataFrame:

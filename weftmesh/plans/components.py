@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = materialize(small, "components")
+        last, current = current, materialize(small, "components")
+        if last is not nodes:
+            discard(last)
         mark = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).head()
         mark = tuple(mark)
         if mark == before:

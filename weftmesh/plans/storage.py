@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,19 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one only if the session names none."""
+    """The folder for intermediate tables: that of ``spark.checkpoint.dir``, or of the context's checkpoints.
+
+    Where none is named, a temporary folder serves a local master; on a cluster,
+    whose executors couldn't see it, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if of_context.isDefined():
+        return of_context.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="weftmesh-")
