@@ -503,8 +503,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(_components(docs).where("n > 0").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("k")), "ngram-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("m")
-    first = rows.groupBy("component").agg(first).select("component", F.col("m.doc_id").alias("first_id"), F.col("m.text_hash").alias("first_hash"))
-    rows = rows.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    several = rows.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1")
+    several = materialize(several.select("component", F.col("m.doc_id").alias("first_id"), F.col("m.text_hash").alias("first_hash")), "ngram-firsts")
+    rows = sized_join(rows, several, "component", "left", 32)
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    rows = rows.withColumn("stays", F.col("first_hash").isNull() | first)
     out = materialize(rows.where("not stays or k > 1").select("doc_id", "text_hash", "stays"), "ngram-gone")
     same = F.col("_docs_.doc_id").cast("bigint").eqNullSafe(F.col("_gone_.doc_id")) & (F.xxhash64("_docs_.text") == F.col("_gone_.text_hash"))
     kept = sized_join(docs.alias("_docs_"), out.alias("_gone_"), same, "left_anti", 32)
