@@ -20,6 +20,8 @@ from .planar import mesh_of_edges, mesh_of_loops, outside_of_box
 from .polygons import triangulate
 
 LEFT, RIGHT, NONE = "Left", "Right", "None"
+#: Share of a cell that points keep from the grid's lines where a side is clipped: nearer ones have crossings in an order that rounding makes.
+CLEARANCE = 1e-8
 
 
 def cell_distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -44,20 +46,28 @@ def orientation_issues(segments: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def overlapping_grid(points: DataFrame, cell: tuple[float, float], max_shifts: int = 16) -> tuple[tuple[int, int], tuple[float, float]]:
-    """((nx, ny), origin) of a grid that covers the points with a margin and has none of them on a grid line."""
+def overlapping_grid(points: DataFrame, cell: tuple[float, float], max_shifts: int = 16, clearance: float = 0.0) -> tuple[tuple[int, int], tuple[float, float]]:
+    """((nx, ny), origin) of a grid that covers the points with a margin and has none of them on a grid line.
+
+    With a ``clearance`` (a share of a cell) the points keep that distance from the
+    lines; where no shift gives it, the shift with the largest distance is taken.
+    """
     names = ["x", "y"]
     row = points.agg(*[f(a).alias(f"{n}_{a}") for a in names for n, f in (("min", F.min), ("max", F.max))]).head().asDict()
     if any(row[f"min_{a}"] is None or row[f"min_{a}"] >= row[f"max_{a}"] for a in names):
         raise MeshError("the boundary has no extent")
     origin = [row[f"min_{a}"] - 1.5 * c for a, c in zip(names, cell, strict=True)]
+    origins = []
     for k in range(max_shifts):
-        on_line = [((F.col(a) - o) % c == 0) for a, o, c in zip(names, origin, cell, strict=True)]
-        if points.where(on_line[0] | on_line[1]).isEmpty():
-            break
+        origins.append(origin)
         origin = [o + c / 2 ** (k + 1) for o, c in zip(origin, cell, strict=True)]
-    else:
+    past = lambda a, o, c: (F.col(a) - o) % c
+    gaps = [F.min(F.least(*[F.least(past(a, o, c), c - past(a, o, c)) / c for a, o, c in zip(names, at, cell, strict=True)])) for at in origins]
+    gaps = list(points.agg(*gaps).head())
+    if not max(gaps) > 0:
         raise MeshError("points stay on grid lines after all shifts of the grid")
+    best = next((k for k, gap in enumerate(gaps) if gap > 0 and gap >= clearance), gaps.index(max(gaps)))
+    origin = origins[best]
     counts = [int(-(-(row[f"max_{a}"] - o) // c)) + 1 for a, o, c in zip(names, origin, cell, strict=True)]
     return (counts[0], counts[1]), (origin[0], origin[1])
 
@@ -82,8 +92,12 @@ def grid_intersections(segments: DataFrame, points: DataFrame, cell: tuple[float
         p, q = (F.col("ax"), F.col("bx")) if axis == 0 else (F.col("ay"), F.col("by"))
         low, high = F.floor((F.least(p, q) - o) / c) + 1, F.ceil((F.greatest(p, q) - o) / c) - 1
         lines = both.where(low <= high).withColumn("line", F.explode(F.sequence(low, high)))
-        s = (o + F.col("line") * c - p) / (q - p)
-        parts.append(lines.select("seg_id", s.alias("s"), (F.col("ax") + s * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + s * (F.col("by") - F.col("ay"))).alias("y"), F.lit("xy"[axis]).alias("axis"), "line"))
+        on_line = o + F.col("line") * c
+        s = (on_line - p) / (q - p)
+        # The line's own coordinate is kept as it is, so crossings of one line are collinear.
+        x = on_line if axis == 0 else F.col("ax") + s * (F.col("bx") - F.col("ax"))
+        y = on_line if axis == 1 else F.col("ay") + s * (F.col("by") - F.col("ay"))
+        parts.append(lines.select("seg_id", s.alias("s"), x.alias("x"), y.alias("y"), F.lit("xy"[axis]).alias("axis"), "line"))
     order = Window.partitionBy("seg_id").orderBy("s", "axis", "line")
     return parts[0].unionByName(parts[1]).withColumn("pos", F.row_number().over(order))
 
@@ -304,7 +318,7 @@ def grisubal(points: DataFrame, segments: DataFrame, poi: DataFrame, cell: tuple
     """
     if not orientation_issues(segments).isEmpty():
         raise MeshError("inconsistent orientation in the boundary")
-    n_cells, origin = overlapping_grid(points, cell)
+    n_cells, origin = overlapping_grid(points, cell, clearance=CLEARANCE if side else 0.0)
     poi = poi if keep_all_poi else redundant_poi(points, poi, cell, origin)
     captured = insert_boundary(points, segments, materialize(poi, "capture-poi"), n_cells, cell, origin)
     return clip_side(captured, side) if side else captured
