@@ -18,7 +18,7 @@ from ..functions import geometry as g
 from ..mesh import Attribute, Mesh, MeshError, is_free
 from ..plans.numbering import numbered
 from ..plans.storage import materialize
-from .cells import cell_ids
+from .cells import cell_ids, corner_parts
 
 # darts
 
@@ -90,15 +90,16 @@ def _with_state(mesh: Mesh, ops: DataFrame, i: int) -> DataFrame:
 
 def _paired(mesh: Mesh, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """3-links pair two faces: (op_id, l, r) for all their darts, and the operations whose faces don't fit."""
-    ahead = mesh.darts.select("d", "b0", "b1")
+    ahead = mesh.darts.select(F.col("d").alias("from"), "b0", "b1")
     state = ops.select("op_id", "l", "r", F.lit(0).cast("bigint").alias("step"), F.lit(1).alias("way"))
     pairs = frontier = materialize(state.select("op_id", "l", "r", "step"), "three-pairs")
     bad = None
     while True:
         # One step along b1 on the left and b0 on the right; the faces of a batch are walked together.
-        left = ahead.select(F.col("d").alias("l"), F.col("b1").alias("l2"))
-        right = ahead.select(F.col("d").alias("r"), F.col("b0").alias("r2"))
-        nxt = frontier.join(left, "l").join(right, "r").select("op_id", F.col("l2").alias("l"), F.col("r2").alias("r"), (F.col("step") + 1).alias("step"))
+        # One join serves both ends: an operation that lacks one of them, or its dart, goes no further.
+        ends = frontier.select("op_id", "step", F.inline(F.array(F.struct(F.col("l").alias("from"), F.lit(True).alias("left")), F.struct(F.col("r").alias("from"), F.lit(False).alias("left")))))
+        ends = ends.join(ahead, "from").groupBy("op_id", "step").agg(F.max(F.when(F.col("left"), F.col("b1"))).alias("l"), F.max(F.when(~F.col("left"), F.col("b0"))).alias("r"))
+        nxt = ends.where("l is not null and r is not null").select("op_id", "l", "r", (F.col("step") + 1).alias("step"))
         start = ops.select("op_id", F.col("l").alias("l0"), F.col("r").alias("r0"))
         nxt = materialize(nxt.join(start, "op_id"), "three-step")
         closed_l, closed_r = F.col("l").isin(0) | (F.col("l") == F.col("l0")), F.col("r").isin(0) | (F.col("r") == F.col("r0"))
@@ -351,15 +352,25 @@ def _reached(mesh: Mesh, ops: DataFrame, i: int) -> DataFrame:
     return ends.union(ends.join(mesh.darts.select("d", "b1"), "d").where("b1 <> 0").select("op_id", F.col("b1").alias("d"))).distinct()
 
 
+def _known(mesh: Mesh, kinds: list[str]) -> Mesh:
+    """The mesh with its cell ids of these kinds written, so that nothing computes them again."""
+    if mesh.dim == 3 and "vertex" in kinds and not {"vertex", "corner"} <= mesh.ids.keys():
+        mesh = mesh.with_(ids={**mesh.ids, "corner": mesh.ids.get("corner") or corner_parts(mesh.darts)})
+    return mesh.with_(ids={**mesh.ids, **{k: materialize(cell_ids(mesh, k), "cell-ids") for k in kinds if k not in mesh.ids}})
+
+
 def _applied(mesh: Mesh, ops: DataFrame, i: int, joined: bool, change) -> tuple[Mesh, DataFrame]:
     """Change the topology and carry values; operations at cells whose law fails are taken back, and the rest is done anew."""
     kinds, refused, tried = _kinds(mesh, i), None, ops
-    before = {k: materialize(cell_ids(mesh, k), "ids-before") for k in kinds}
+    mesh = _known(mesh, kinds)
+    before = mesh.ids
     while True:
         changed, result = change(mesh, tried, i)
-        changed = changed.with_(darts=materialize(changed.darts, "edited"))
-        after = {k: materialize(cell_ids(changed, k), "ids-after") for k in kinds}
-        out, errors = _carry(before, after, mesh, changed, joined)
+        # 3-links leave corners within a volume as they are.
+        corner = {k: v for k, v in mesh.ids.items() if k == "corner" and i == 3}
+        changed = _known(changed.with_(darts=materialize(changed.darts, "edited"), ids=corner), kinds)
+        after = changed.ids
+        out, errors = _carry({k: before[k] for k in kinds}, after, mesh, changed, joined)
         errors = materialize(errors, "law-errors")
         if errors.isEmpty():
             return out, result if refused is None else result.unionByName(refused, allowMissingColumns=True)
@@ -387,10 +398,14 @@ def sew(mesh: Mesh, ops: DataFrame, i: int) -> tuple[Mesh, DataFrame]:
     ops = materialize(ops.select("op_id", "l", "r"), "sews")
     result_bad = None
     if i >= 2:
-        vid = cell_ids(mesh, "vertex")
+        mesh = _known(mesh, _kinds(mesh, i))
+        vid = mesh.ids["vertex"]
         points = mesh.vertices.select("vid", *[F.col(a).alias(f"p{a}") for a in mesh.axes])
-        at = mesh.darts.select("d", "b1").join(vid, "d").join(points, "vid", "left").select("d", "b1", *[f"p{a}" for a in mesh.axes])
-        ends = at.join(at.select(F.col("d").alias("b1"), *[F.col(f"p{a}").alias(f"q{a}") for a in mesh.axes]), "b1", "left")
+        asked = ops.select(F.explode(F.array("l", "r")).alias("d")).distinct()
+        asked = materialize(mesh.darts.select("d", "b1").join(asked, "d"), "sew-darts")
+        at = asked.select(F.explode(F.array("d", "b1")).alias("d")).distinct().join(vid, "d").join(points, "vid", "left").select("d", *[f"p{a}" for a in mesh.axes])
+        at = materialize(at, "sew-places")
+        ends = asked.join(at, "d").join(at.select(F.col("d").alias("b1"), *[F.col(f"p{a}").alias(f"q{a}") for a in mesh.axes]), "b1", "left")
         direction = g.sub(g.vec("q", mesh.dim), g.vec("p", mesh.dim))
         ways = materialize(ends.select("d", *[v.alias(f"v{a}") for v, a in zip(direction, mesh.axes, strict=True)]), "ways")
         side = lambda k: ways.select(F.col("d").alias(k), *[F.col(f"v{a}").alias(f"{k}{a}") for a in mesh.axes])
