@@ -16,12 +16,14 @@ from ..plans.components import connected_components
 from ..plans.numbering import numbered, running_sum
 from ..plans.storage import materialize
 from .cells import cells
-from .planar import mesh_of_edges, mesh_of_loops, outside_of_box
+from .planar import least_at, mesh_of_edges, mesh_of_loops, outside_of_box
 from .polygons import triangulate
 
 LEFT, RIGHT, NONE = "Left", "Right", "None"
 #: Share of a cell that points keep from the grid's lines where a side is clipped: nearer ones have crossings in an order that rounding makes.
 CLEARANCE = 1e-8
+#: Edges (16 bytes each) whose components one task may find.
+ONE_TASK_EDGES = 2_000_000
 
 
 def cell_distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -130,7 +132,7 @@ def intersections_per_edge(hits: DataFrame, n_cells: tuple[int, int], cell: tupl
 def flood(faces: DataFrame, borders: DataFrame, walls: DataFrame) -> DataFrame:
     """(fid, region): faces (fid) grouped across shared edges (eid, f1, f2) that are no walls (eid); region = least face."""
     open_edges = borders.join(walls, "eid", "left_anti").select(F.col("f1").alias("a"), F.col("f2").alias("b"))
-    found = connected_components(open_edges).select(F.col("node").alias("fid"), F.col("component").alias("region"))
+    found = connected_components(open_edges, one_task_rows=ONE_TASK_EDGES).select(F.col("node").alias("fid"), F.col("component").alias("region"))
     return faces.select("fid").join(found, "fid", "left").select("fid", F.coalesce("region", "fid").alias("region"))
 
 
@@ -141,10 +143,11 @@ def shared_edges(mesh: Mesh, table: DataFrame) -> DataFrame:
     return mesh.darts.where("b2 <> 0").select("d", "b2").join(left, "d").join(right, "b2").where("d = eid").select("eid", "f1", "f2")
 
 
-def classify_surfaces(mesh: Mesh, table: DataFrame, walls: DataFrame) -> DataFrame:
+def classify_surfaces(mesh: Mesh, table: DataFrame, walls: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """(fid, surface): surfaces numbered from 0 in the order of their least face."""
-    faces = table.select("fid").distinct()
-    regions = materialize(flood(faces, shared_edges(mesh, table), walls), "regions")
+    if regions is None:
+        faces = table.select("fid").distinct()
+        regions = materialize(flood(faces, shared_edges(mesh, table), walls), "regions")
     number = numbered(regions.select("region").distinct(), ["region"], "surface")
     return regions.join(number, "region").select("fid", "surface")
 
@@ -154,16 +157,17 @@ def boundary_curves(mesh: Mesh, table: DataFrame, nodes: DataFrame) -> DataFrame
     border = mesh.darts.where("not unused and b2 = 0").select("d").join(table.select("d", "vid"), "d")
     ends = mesh.darts.select("d", "b1").join(border.select("d"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("end")), "b1").select("d", "end")
     follow = ends.join(border.select(F.col("d").alias("to"), F.col("vid").alias("end")), "end").join(nodes.select(F.col("vid").alias("end")), "end", "left_anti")
-    found = connected_components(follow.select(F.col("d").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("d"), "component")
+    found = connected_components(follow.select(F.col("d").alias("a"), F.col("to").alias("b")), one_task_rows=ONE_TASK_EDGES).select(F.col("node").alias("d"), "component")
     named = border.select("d").join(found, "d", "left").select("d", F.coalesce("component", "d").alias("least"))
     named = materialize(named, "curves")
     number = numbered(named.select("least").distinct(), ["least"], "curve")
     return named.join(number, "least").select("d", "curve")
 
 
-def clip(mesh: Mesh, table: DataFrame, marked: DataFrame, walls: DataFrame) -> Mesh:
-    """Delete the faces reached from ``marked`` (fid) without crossing ``walls`` (eid)."""
-    regions = materialize(flood(table.select("fid").distinct(), shared_edges(mesh, table), walls), "clip-regions")
+def clip(mesh: Mesh, table: DataFrame, marked: DataFrame, walls: DataFrame, regions: DataFrame | None = None) -> Mesh:
+    """Delete the faces reached from ``marked`` (fid) without crossing ``walls`` (eid); ``regions`` are those of :func:`flood`, if they are known."""
+    if regions is None:
+        regions = materialize(flood(table.select("fid").distinct(), shared_edges(mesh, table), walls), "clip-regions")
     gone_regions = regions.join(marked.select("fid"), "fid", "left_semi").select("region").distinct()
     gone = materialize(table.join(regions.join(gone_regions, "region", "left_semi"), "fid").select("d"), "clip-gone")
     hit = gone.select("d", F.lit(True).alias("_gone"))
@@ -189,13 +193,15 @@ class Captured:
     ``sides`` (d, u, v) names the points that darts run between: grid corners
     first, then points of interest (``poi_base`` + 2 id) and crossings (odd
     places); ``boundary`` (d, side) marks darts along it Left and against it Right;
-    ``nodes`` (vid, id) are the points of interest in the mesh.
+    ``nodes`` (vid, id) are the points of interest in the mesh; ``regions`` (fid,
+    region) are what the boundary parts its faces into, known once it is clipped.
     """
 
     mesh: Mesh
     sides: DataFrame
     boundary: DataFrame
     nodes: DataFrame
+    regions: DataFrame | None = None
 
 
 def kept_points(segments: DataFrame, hits: DataFrame, poi: DataFrame) -> DataFrame:
@@ -212,10 +218,18 @@ def edge_data(segments: DataFrame, kept: DataFrame) -> DataFrame:
     grid line ties them to the mesh.
     """
     crossed = kept.where("kind = 1").select("seg_id").distinct()
-    linked = segments.select(F.col("v0").alias("a"), F.col("v1").alias("b"))
-    loop = materialize(connected_components(linked), "capture-loops")
-    seg_loop = segments.join(loop.select(F.col("node").alias("v0"), "component"), "v0").select("seg_id", "component")
-    tied = materialize(seg_loop.join(crossed, "seg_id").select("component").distinct().join(seg_loop, "component").select("seg_id"), "capture-tied")
+    # Ends of crossed segments are one node, below all others: only runs of segments without a crossing take part in the rounds.
+    linked = segments.join(crossed.withColumn("hit", F.lit(True)), "seg_id", "left").select("seg_id", "v0", "v1", F.coalesce("hit", F.lit(False)).alias("hit"))
+    linked = materialize(linked, "capture-linked")
+    lowest = linked.agg(F.min(F.least("v0", "v1"))).head()[0]
+    hub = F.lit((lowest or 0) - 1).cast("bigint")
+    ends = linked.where("hit").select(F.explode(F.array("v0", "v1")).alias("id")).distinct().withColumn("at", hub)
+    runs = linked.where("not hit")
+    for end in ("v0", "v1"):
+        runs = runs.join(ends.select(F.col("id").alias(end), F.col("at").alias(f"{end}_at")), end, "left").withColumn(f"{end}_at", F.coalesce(f"{end}_at", end))
+    runs = materialize(runs.select("seg_id", F.col("v0_at").alias("a"), F.col("v1_at").alias("b")), "capture-runs")
+    loop = connected_components(runs.select("a", "b"), one_task_rows=ONE_TASK_EDGES).where(F.col("component") == hub).select(F.col("node").alias("a"))
+    tied = materialize(linked.where("hit").select("seg_id").union(runs.join(loop, "a").select("seg_id")), "capture-tied")
     name = F.struct("kind", "seg_id", "key")
     kept = materialize(kept.join(tied, "seg_id").select("seg_id", "s", "kind", name.alias("p")), "capture-kept")
     along = Window.partitionBy("seg_id").orderBy("s", "kind", "p")
@@ -279,7 +293,12 @@ def insert_boundary(points: DataFrame, segments: DataFrame, poi: DataFrame, n_ce
     all_points = materialize(all_points, "capture-points")
     edges = materialize(whole.union(pieces).union(chain.select("u", "v")).distinct(), "capture-drawing")
     x1, y1 = (all_points.where(F.col("id") == base - 1).select("x", "y").head())
-    mesh, sides = mesh_of_edges(all_points, edges, outside_of_box(float(origin[0]), float(origin[1]), float(x1), float(y1)), "captured")
+    # A face lies in one cell of the grid: that to the left of its darts.
+    middle = lambda a, k: (F.col(f"u{a}") + F.col(f"v{a}")) / (2 * cell[k]) - origin[k] / cell[k]
+    column = F.floor(middle("x", 0) - 1e-6 * F.signum(F.col("vy") - F.col("uy")))
+    row = F.floor(middle("y", 1) + 1e-6 * F.signum(F.col("vx") - F.col("ux")))
+    outside = outside_of_box(float(origin[0]), float(origin[1]), float(x1), float(y1))
+    mesh, sides = mesh_of_edges(all_points, edges, outside, "captured", (column + nx * row).cast("bigint"))
     left = sides.join(chain, ["u", "v"]).select("d", F.lit(LEFT).alias("side"))
     right = sides.join(chain.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"]).select("d", F.lit(RIGHT).alias("side"))
     boundary = materialize(left.unionByName(right).dropDuplicates(["d"]), "capture-boundary")
@@ -302,12 +321,18 @@ def clip_side(captured: Captured, side: str) -> Captured:
     regions = materialize(flood(table.select("fid").distinct(), shared_edges(mesh, table), walls), "clip-sides")
     if not marked.join(regions, "fid").groupBy("region").agg(F.countDistinct("side").alias("n")).where("n > 1").isEmpty():
         raise MeshError("inconsistent orientation between boundaries")
-    out = clip(mesh, table, marked.where(F.col("side") == side).select("fid").distinct(), walls)
+    out = clip(mesh, table, marked.where(F.col("side") == side).select("fid").distinct(), walls, regions)
     left = out.darts.where("not unused").select("d")
-    # Vertices were named by the least dart that is left at each point.
-    moved = captured.sides.join(left, "d").groupBy("u").agg(F.min("d").alias("now"))
+    sides = materialize(captured.sides.join(left, "d"), "clip-left")
+    # Faces are left whole, and vertices were named by the least dart that is left at each point; unused darts are alone.
+    alone = out.darts.where("unused").select("d", F.col("d").alias("id"))
+    out = out.with_(ids={"face": table.select("d", "fid").join(left, "d").union(alone), "vertex": least_at(sides, "u", "vid").union(alone)})
+    moved = sides.groupBy("u").agg(F.min("d").alias("now"))
     nodes = captured.sides.join(captured.nodes.select(F.col("vid").alias("d"), "id"), "d").select("u", "id").join(moved, "u").select(F.col("now").alias("vid"), "id")
-    return Captured(out, captured.sides.join(left, "d"), captured.boundary.join(left, "d"), materialize(nodes, "clip-nodes"))
+    # No dart of the boundary has both its sides left, so the regions that are left are still apart.
+    gone = marked.where(F.col("side") == side).join(regions, "fid").select("region").distinct()
+    kept = materialize(regions.join(gone, "region", "left_anti").select("fid", "region"), "clip-kept")
+    return Captured(out, sides, captured.boundary.join(left, "d"), materialize(nodes, "clip-nodes"), kept)
 
 
 def grisubal(points: DataFrame, segments: DataFrame, poi: DataFrame, cell: tuple[float, float], side: str | None = None, keep_all_poi: bool = False) -> Captured:
@@ -329,17 +354,17 @@ def capture_geometry(points: DataFrame, segments: DataFrame, poi: DataFrame, cel
     return grisubal(points, segments, poi, cell, side, keep_all_poi=True)
 
 
-def classify(mesh: Mesh, nodes: DataFrame) -> dict[str, DataFrame]:
+def classify(mesh: Mesh, nodes: DataFrame, table: DataFrame | None = None, regions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Anchors of a captured mesh: vertex (vid, dim, id), edge (eid, dim, id) and face (fid, dim, id).
 
     Nodes have dimension 0, boundary curves between nodes 1, and surfaces, the
     faces within them, 2; what lies on a curve takes it, all else its surface.
     """
-    table = cells(mesh)
+    table = cells(mesh) if table is None else table
     used = mesh.darts.where("not unused").select("d")
     table = materialize(table.join(used, "d", "left_semi"), "classify-cells")
     curves = materialize(boundary_curves(mesh, table, nodes).join(table.select("d", "vid", "eid"), "d"), "classify-curves")
-    surfaces = materialize(classify_surfaces(mesh, table, curves.select("eid")), "classify-surfaces")
+    surfaces = materialize(classify_surfaces(mesh, table, curves.select("eid"), regions), "classify-surfaces")
     faces = surfaces.select("fid", F.lit(2).alias("dim"), F.col("surface").alias("id"))
     of_face = table.join(surfaces, "fid")
     anchor = lambda dim, value: F.struct(F.lit(dim).alias("dim"), F.col(value).cast("bigint").alias("id"))
@@ -359,11 +384,12 @@ def first_mesh(points: DataFrame, segments: DataFrame, poi: DataFrame, cell: tup
     """
     captured = capture_geometry(points, segments, poi, cell, side)
     mesh = captured.mesh
-    anchors = classify(mesh, captured.nodes)
     table = cells(mesh)
+    anchors = classify(mesh, captured.nodes, table, captured.regions)
     found = materialize(triangulate(mesh, table, "earclip").where("tri > 0"), "first-triangles")
     loops = found.select(F.struct("fid", "tri").alias("f"), F.posexplode(F.array("v0", "v1", "v2")).alias("k", "u"))
     out, sides = mesh_of_loops(loops, mesh.vertices.withColumnRenamed("vid", "id"), "first-mesh")
+    out = out.with_(ids={"face": least_at(sides, "f", "fid"), "vertex": least_at(sides, "u", "vid")})
     new = materialize(sides.join(cells(out), "d"), "first-cells")
     ends = mesh.darts.where("not unused").join(table.select("d", "vid", "eid"), "d").join(table.select(F.col("d").alias("b1"), F.col("vid").alias("w")), "b1")
     old_edge = ends.join(anchors["edge"], "eid").select(F.col("vid").alias("u"), F.col("w").alias("v"), F.struct("dim", "id").alias("old"))

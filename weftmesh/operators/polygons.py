@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from .edits import ready, set_images
 from .measure import edge_lengths, shift
 from .planar import mesh_of_loops
 
+#: Corners of a face up to which points within an ear are looked for one by one, and by arrays beyond.
+MANY_CORNERS = 32
+
 
 def insert_vertices(mesh: Mesh, table: DataFrame, at: DataFrame) -> tuple[Mesh, DataFrame]:
     """Split edges at shares: at (eid, t) with 0 < t < 1 along the edge's id dart.
@@ -100,22 +105,54 @@ def _fan(points: list[tuple[float, float]]) -> tuple[str | None, list[tuple[int,
 
 
 def _ears(points: list[tuple[float, float]], left: bool) -> tuple[str | None, list[tuple[int, int, int]]]:
-    rest, out = list(range(len(points))), []
+    """Clip the first ear of what is left until three corners are.
+
+    A corner that is no ear is judged again only when a neighbour of it or the
+    point that was found within it is gone, so many corners don't cost their cube.
+    """
+    n, out = len(points), []
     sign = 1 if left else -1
-    while len(rest) > 3:
-        for k in range(len(rest)):
-            a, b, c = rest[k - 1], rest[k], rest[(k + 1) % len(rest)]
-            if sign * _turn(points[a], points[b], points[c]) <= 0:
-                continue
-            sides = [[_turn(points[u], points[v], points[p]) for u, v in ((a, b), (b, c), (c, a))] for p in rest if p not in (a, b, c)]
-            if any(all(sign * s >= 0 for s in x) for x in sides):
-                continue
-            out.append((a, b, c))
-            rest.remove(b)
-            break
-        else:
+    before, after, alive, queued = [n - 1, *range(n - 1)], [*range(1, n), 0], [True] * n, [True] * n
+    todo, waits, m = list(range(n)), {}, n
+    live, at = None, None
+
+    def within(a: int, b: int, c: int) -> int | None:
+        """A point that is left within the triangle or on its sides."""
+        nonlocal live, at
+        p, q, r = points[a], points[b], points[c]
+        if m <= MANY_CORNERS:
+            k = after[c]
+            while k != a:
+                s = points[k]
+                if sign * _turn(p, q, s) >= 0 and sign * _turn(q, r, s) >= 0 and sign * _turn(r, p, s) >= 0:
+                    return k
+                k = after[k]
+            return None
+        if live is None or 2 * m < len(live):
+            live = np.flatnonzero(alive)
+            at = np.array(points)[live].T.copy()
+        found = live[(sign * _turn(p, q, at) >= 0) & (sign * _turn(q, r, at) >= 0) & (sign * _turn(r, p, at) >= 0)].tolist()
+        return next((k for k in found if alive[k] and k not in (a, b, c)), None)
+
+    while m > 3:
+        if not todo:
             return "NoEar", []
-    return None, [*out, tuple(rest)]
+        b = heapq.heappop(todo)
+        queued[b] = False
+        a, c = before[b], after[b]
+        if not alive[b] or sign * _turn(points[a], points[b], points[c]) <= 0:
+            continue
+        hit = within(a, b, c)
+        if hit is not None:
+            waits.setdefault(hit, []).append(b)
+            continue
+        out.append((a, b, c))
+        alive[b], after[a], before[c], m = False, c, a, m - 1
+        for k in (a, c, *waits.pop(b, ())):
+            if alive[k] and not queued[k]:
+                queued[k] = True
+                heapq.heappush(todo, k)
+    return None, [*out, tuple(k for k in range(n) if alive[k])]
 
 
 def triangulate(mesh: Mesh, table: DataFrame, method: str = "fan", left: bool = True) -> DataFrame:
@@ -127,23 +164,30 @@ def triangulate(mesh: Mesh, table: DataFrame, method: str = "fan", left: bool =
     """
     if method not in ("fan", "earclip"):
         raise MeshError("method must be fan or earclip")
-    corner = face_corners(mesh, table).join(mesh.vertices, "vid")
-    faces = corner.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("pos", "vid", "x", "y"))).alias("corners"))
+    corner = mesh.darts.select("d", "b1").join(table.select("d", "fid", "vid"), "d").join(mesh.vertices, "vid", "left")
+    faces = corner.groupBy("fid").agg(F.collect_list(F.struct("d", "b1", "vid", "x", "y")).alias("corners"), F.count("x").alias("known")).where("known > 0").drop("known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, rows = batch.column("corners"), []
             at, flat = lists.offsets.to_pylist(), lists.values
-            vids = flat.field("vid").to_pylist()
-            points = list(zip(flat.field("x").to_pylist(), flat.field("y").to_pylist(), strict=True))
+            darts, images, all_vids = (flat.field(c).to_pylist() for c in ("d", "b1", "vid"))
+            places = list(zip(flat.field("x").to_pylist(), flat.field("y").to_pylist(), strict=True))
             for fid, a, b in zip(batch.column("fid").to_pylist(), at[:-1], at[1:], strict=True):
-                if b - a < 3:
+                # Around the face from its id dart; corners without a place are passed over.
+                nth, order, d = {darts[k]: k for k in range(a, b)}, [], fid
+                while d in nth:
+                    order.append(nth.pop(d))
+                    d = images[order[-1]]
+                order = [k for k in order if places[k][0] is not None]
+                vids, points = [all_vids[k] for k in order], [places[k] for k in order]
+                if len(order) < 3:
                     err, found = "UndefinedFace", []
-                elif b - a == 3:
+                elif len(order) == 3:
                     err, found = "AlreadyTriangulated", [(0, 1, 2)]
                 else:
-                    err, found = _fan(points[a:b]) if method == "fan" else _ears(points[a:b], left)
-                rows += [(fid, k + 1, *(vids[a + i] for i in t), err) for k, t in enumerate(found)] or [(fid, 0, None, None, None, err)]
+                    err, found = _fan(points) if method == "fan" else _ears(points, left)
+                rows += [(fid, k + 1, *(vids[i] for i in t), err) for k, t in enumerate(found)] or [(fid, 0, None, None, None, err)]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["fid", "tri", "v0", "v1", "v2", "err"])
